@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, pieces, quality, simhash, toxicity, warc
+from quillstone.llm import fingerprints, mixing, pieces, quality, simhash, toxicity, warc
 from quillstone.runtime import table
 
 QUERIES: dict = {}
@@ -107,3 +107,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, pieces.read_model(docs))
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.with_copies(docs).select(
+        "row.doc_id", "domain", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), "copies", "budget"
+    )
