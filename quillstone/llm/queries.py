@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, mixing, pieces, quality, simhash, toxicity, warc
+from quillstone.llm import fingerprints, mixing, pieces, quality, simhash, substrings, toxicity, warc
 from quillstone.runtime import table
 
 QUERIES: dict = {}
@@ -115,3 +115,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(docs).select(
         "row.doc_id", "domain", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), "copies", "budget"
     )
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs, keep=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
