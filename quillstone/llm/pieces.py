@@ -300,7 +300,7 @@ class Coder:
                 start = end + 1
 
     def decode(self, ids: list) -> list[str]:
-        return self.whole.decode_batch([list(x) for x in ids], skip_special_tokens=False)
+        return self.whole.decode_batch([x.tolist() if isinstance(x, np.ndarray) else x for x in ids], skip_special_tokens=False)
 
 
 _CODERS: dict[str, Coder] = {}
