@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, mixing, pieces, quality, simhash, substrings, toxicity, warc
+from quillstone.llm import fingerprints, mixing, pieces, pii, quality, simhash, substrings, toxicity, warc
 from quillstone.runtime import table
 
 QUERIES: dict = {}
@@ -122,3 +122,9 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substrings.remove_repeats(docs, keep=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.fit(docs))
