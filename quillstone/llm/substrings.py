@@ -2,25 +2,23 @@
 
 The question: which bytes lie in a string of ``LENGTH`` bytes that also starts earlier, in
 a smaller document or further left in the same one? A suffix array answers it by sorting
-all positions by rank pairs at doubling offsets. Of all positions only those that can
-still matter are sorted here:
-
-1. *32 bytes.* Every window of ``LENGTH`` bytes is led by its anchor, the 32-byte gram in it
-   of smallest rank (leftmost of equals): equal windows have equal anchors at equal offsets.
-   Consecutive windows mostly share one, so there is about one anchor to 35 positions.
-   Spark sorts anchors by rank; one whose rank is unique is done with, and all windows it
-   leads are unique.
-2. *The anchor's whole run of windows.* Anchors that share a rank are told apart by the
-   rank of all bytes their windows span. Of anchors with equal spans all but the first
-   repeat it entirely.
-3. *32 + 32, then 64 + 64 overlapping, past the threshold.* First anchors of spans that share
-   a gram but differ are taken position by position: rank pairs (32 bytes at p, at p + 32)
-   give 64, pairs of those (at p, at p + 36) give 100. Spark sorts these, and all but the
-   first of equal positions repeat.
-
-Ranks are 64-bit hashes, so a position's name needs no round trip; spans are compared by
-two of them, positions by 95 bits. Sorted rows are read as a stream that keeps one row: no
-group of repeats is ever gathered, of whatever size.
+all positions by rank pairs at doubling offsets until ranks are unique or the threshold
+is passed. The rounds here compare 32, then 64, then 100 bytes, and in each only those
+positions are sorted that can still matter:
+
+- Every window of ``LENGTH`` bytes is led by its anchor, the gram of the round's length in
+  it that has the smallest rank (leftmost of equals). Equal windows have equal anchors at
+  equal offsets, so an anchor stands for the run of consecutive windows that it leads: of
+  32-byte grams there is one to about 30 positions, of 100-byte grams one to each.
+- Spark sorts anchors by the rank of their gram, then by the rank of all bytes that the
+  run's windows span, then by place. Where the gram's rank is unique no window of the run
+  repeats. Of equal spans all but the first repeat entirely. First runs of a gram with
+  several spans stay open, and only their windows enter the next round.
+
+The rank of a gram is a 64-bit hash, which names it everywhere without a round trip; it is
+what a pair of ranks at an offset would be renamed to. Runs are taken as equal by 89 bits of two ranks.
+Sorted rows are read as a stream that keeps one row: no group of repeats is ever gathered,
+of whatever size.
 
 Texts are UTF-8 bytes; null texts are empty; matches don't cross documents. Rows that
 repeat both id and text are one document and get one result each. Rows that share an id
@@ -34,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +40,11 @@ from quillstone.llm import text as tx
 from quillstone.runtime import cut
 
 LENGTH = 100
-GRAM = 32
-WINDOW = LENGTH - GRAM + 1
-#: Bytes of one step's buffer; longer texts are taken in slices of so many windows.
+#: Bytes that the rounds compare; the last is the threshold.
+ROUNDS = (32, 64, LENGTH)
+#: Windows of one step; longer texts are taken in slices of so many.
 SLICE = 1 << 20
 _INDEX = np.uint64((1 << 26) - 1)
-_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slid(g: np.ndarray, width: int) -> np.ndarray:
@@ -64,23 +62,29 @@ def _grams(sums: np.ndarray, length: int) -> np.ndarray:
     return tx.mix((sums[length:] - sums[:-length]) * tx.POWERS.get(len(sums))[1][:n])
 
 
-def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """Per anchor: text number, first window, number of windows, rank of gram, rank of span."""
+def _anchors(texts: list[bytes], gram: int, open_: list[np.ndarray | None]) -> tuple[np.ndarray, ...] | None:
+    """Per run of windows: text number, first window, windows, rank of gram, rank of span.
+
+    ``open_`` has for each text which windows count, or None for all.
+    """
     buf, at = tx.joined(texts)
-    if len(buf) < LENGTH + 1:
+    room = np.maximum(np.diff(at) - LENGTH, 0)  # windows of each text
+    if not room.sum():
         return None
     sums = tx.prefix_hash(buf)
-    g = _grams(sums, GRAM)
-    least = _slid((g & ~_INDEX) | np.arange(len(g), dtype=np.uint64), WINDOW)
-    room = np.maximum(np.diff(at) - 1 - LENGTH + 1, 0)  # windows of each text
+    g = _grams(sums, gram)
+    least = _slid((g & ~_INDEX) | np.arange(len(g), dtype=np.uint64), LENGTH - gram + 1)
     doc = np.repeat(np.arange(len(texts)), room)
-    if not len(doc):
-        return None
     base = np.concatenate(([0], np.cumsum(room)))
     window = np.arange(len(doc)) - base[doc] + at[doc]
+    if any(x is not None for x in open_):
+        mask = np.concatenate([np.ones(n, dtype=bool) if x is None else x for x, n in zip(open_, room)])
+        doc, window = doc[mask], window[mask]
+        if not len(doc):
+            return None
     anchor = (least[window] & _INDEX).astype(np.int64)
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     lead = np.flatnonzero(new)
     count = np.diff(np.append(lead, len(doc)))
     start, own = window[lead], anchor[lead]
@@ -89,29 +93,71 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     return doc[lead], start - at[doc[lead]], count, g[own], span
 
 
-def _slices(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-    """Document, offset and bytes; slices of long texts overlap so that each window is in one."""
-    for i, t in rows:
+def _slices(rows, runs) -> Iterator[tuple[int, int, bytes, np.ndarray | None]]:
+    """Document, offset, bytes and open windows; slices overlap so that each window is in one."""
+    for k, (i, t) in enumerate(rows):
+        mask = None
+        if runs is not None:
+            open_ = runs(k)
+            open_ = open_[open_ & 1 == 0]
+            if not len(open_):
+                continue
+            edge = np.zeros(max(1, len(t) - LENGTH + 1) + 1, dtype=np.int32)
+            np.add.at(edge, open_ >> 8, 1)
+            np.add.at(edge, (open_ >> 8) + (open_ >> 1 & 127), -1)
+            mask = np.cumsum(edge[:-1]) > 0
         for s in range(0, max(1, len(t) - LENGTH + 1), SLICE):
-            yield i, s, t[s : s + SLICE + LENGTH - 1]
+            yield i, s, t[s : s + SLICE + LENGTH - 1], None if mask is None else mask[s : s + SLICE]
+
 
+def _packed(text: bytes) -> bytes:
+    return zstandard.compress(text, 3)
 
-def _texts(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, bytes]]:
-    return ((i, t.as_py() or b"") for i, t in zip(b.column(0).to_pylist(), b.column(k)))
 
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _texts(b: pa.RecordBatch, packed: bool) -> Iterator[tuple[int, bytes]]:
+    for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+        t = t.as_py() or b""
+        yield i, _unpacked(t) if packed else t
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they move once, by document."""
     for b in batches:
-        for part in tx.pieces(_slices(_texts(b, 1)), lambda x: len(x[2]) + 64, SLICE):
-            found = _anchors([t for *_, t in part])
-            if found is None:
-                continue
-            doc, start, count, gram, span = found
-            ids, offsets = np.array([x[0] for x in part]), np.array([x[1] for x in part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[doc]), pa.array(((start + offsets[doc]) << 8) | (count << 1))],
-                ["gram", "span", "doc", "run"],
-            )
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(t) for _, t in _texts(b, False)], pa.binary())], ["doc", "text"])
+
+
+def _list_of(b: pa.RecordBatch, k: int, i: int) -> np.ndarray:
+    v = b.column(k)[i].values
+    return np.zeros(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False)
+
+
+def _emit_anchors(gram: int, packed: bool):
+    """Rows of the sort: ``key`` has 48 bits of the gram's rank and 16 of the span's, ``rest`` 25
+    more of the span's, 7 of the number of windows and 32 of the first window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = (lambda k, b=b: _list_of(b, 2, k)) if packed else None
+            if packed:  # only texts with open runs are unpacked
+                ids, texts = b.column(0).to_pylist(), b.column(1)
+                rows = ((i, _unpacked(texts[k].as_py()) if len(runs(k)) else b"") for k, i in enumerate(ids))
+            else:
+                rows = _texts(b, False)
+            for part in tx.pieces(_slices(rows, runs), lambda x: len(x[2]) + 64, SLICE):
+                found = _anchors([x[2] for x in part], gram, [x[3] for x in part])
+                if found is None:
+                    continue
+                doc, start, count, rank, span = found
+                ids, offsets = np.array([x[0] for x in part]), np.array([x[1] for x in part])
+                key = (rank & np.uint64(0xFFFFFFFFFFFF0000)) | (span >> np.uint64(48))
+                rest = (span << np.uint64(39)) | (count.astype(np.uint64) << np.uint64(32)) | (start + offsets[doc]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(ids[doc], pa.int64())], ["key", "rest", "doc"])
+
+    return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +170,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        gram, span, doc, run = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        lead = (gram[0], span[0], doc[0], run[0]) if last is None else last
-        g0, s0, d0, r0 = (np.concatenate(([x], y[:-1])) for x, y in zip(lead, (gram, span, doc, run)))
-        new_gram, new_span = gram != g0, span != s0
+        key, rest, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        run = ((rest & 0xFFFFFFFF) << 8) | ((rest >> 32 & 127) << 1)
+        lead = (key[0], rest[0], doc[0]) if last is None else last
+        k0, r0, d0 = (np.concatenate(([x], y[:-1])) for x, y in zip(lead, (key, rest, doc)))
+        new_gram = key >> 16 != k0 >> 16
         if last is None:
             new_gram[0] = True
-        new_span |= new_gram
-        again = ~new_span & ((doc != d0) | (run != r0))  # the same row twice is no repeat
+        new_span = new_gram | (key != k0) | (rest >> 39 != r0 >> 39)
+        again = ~new_span & ((doc != d0) | (rest != r0))  # the same row twice is no repeat
         second = new_span & ~new_gram
         group = np.cumsum(new_gram)
         has = np.zeros(group[-1] + 1, dtype=bool)
@@ -145,96 +192,66 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group[-1]:
             k = np.flatnonzero(new_gram)[-1]
             waiting = None if has[-1] else np.array([doc[k], run[k]])
-        last = (gram[-1], span[-1], doc[-1], run[-1])
+        last = (key[-1], rest[-1], doc[-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(runs))], ["doc", "run"])
 
 
-def _list_of(b: pa.RecordBatch, k: int, i: int) -> np.ndarray:
-    v = b.column(k)[i].values
-    return np.zeros(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False)
-
-
-def _emit_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rank of every window in the first runs: (rank, document, 31 more bits << 32 | window)."""
-    for b in batches:
-        for i, (doc, text) in enumerate(_texts(b, 1)):
-            run = _list_of(b, 2, i)
-            run = np.sort(run[run & 1 == 0])
-            if not len(run):
-                continue
-            start, count = run >> 8, run >> 1 & 127
-            for s in range(0, len(text), SLICE):
-                here = (start >= s) & (start < s + SLICE)
-                if not here.any():
-                    continue
-                n = count[here]
-                at = np.repeat(start[here] - s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                piece = np.frombuffer(text, dtype=np.uint8)[s : s + SLICE + 128 + LENGTH]
-                sums = tx.prefix_hash(piece)
-                r32 = _grams(sums, GRAM)
-                r64 = lambda p: tx.mix(r32[p] * _M + r32[p + GRAM])  # noqa: E731,B023
-                rest = LENGTH - 2 * GRAM
-                rank = tx.mix(r64(at) * _M + r64(at + rest))
-                more = tx.mix((sums[at + LENGTH] - sums[at]) * tx.POWERS.get(len(piece) + 1)[1][at] + _M) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rank.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array((more.astype(np.int64) << 32) | (at + s))],
-                    ["rank", "doc", "place"],
-                )
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From positions sorted by rank and place: all but the first of each rank."""
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rank, doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        lead = (rank[0], doc[0], place[0]) if last is None else last
-        r0, d0, p0 = (np.concatenate(([x], y[:-1])) for x, y in zip(lead, (rank, doc, place)))
-        same = (rank == r0) & (place >> 32 == p0 >> 32) & ((doc != d0) | (place != p0))
-        if last is None:
-            same[0] = False
-        last = (rank[-1], doc[-1], place[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(place[same] & 0x7FFFFFFF)], ["doc", "at"])
+def _ranked(anchors: DataFrame, n: int) -> DataFrame:
+    """One round's sort; runs that repeat or stay open."""
+    span, start = F.shiftrightunsigned("rest", 39), F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))
+    dealt = anchors.repartition(n, F.shiftrightunsigned("key", 16))
+    return dealt.sortWithinPartitions("key", span, "doc", start).mapInArrow(_repeats, "doc long, run long")
 
 
-def removed(n: int, runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+def removed(n: int, runs: np.ndarray) -> np.ndarray:
     """Which of ``n`` bytes lie in a repeated window."""
     edge = np.zeros(n + 1, dtype=np.int32)
-    whole = runs[runs & 1 == 1]
-    np.add.at(edge, whole >> 8, 1)
-    np.add.at(edge, (whole >> 8) + (whole >> 1 & 127) - 1 + LENGTH, -1)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + LENGTH, -1)
+    runs = runs[runs & 1 == 1]
+    np.add.at(edge, runs >> 8, 1)
+    np.add.at(edge, (runs >> 8) + (runs >> 1 & 127) - 1 + LENGTH, -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(doc, id, text)`` where doc orders documents as their ids do and names one text each."""
+def _numbered(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``(doc, text)`` where doc orders documents as their ids do and names one text each, and
+    ``(doc, id)`` where these differ."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     ids = docs.agg(F.count("*").alias("n"), F.count(id_col).alias("some"), F.count_distinct(id_col).alias("ids")).first()
     if ids.n == ids.some == ids.ids:
-        return rows.select(F.col("id").alias("doc"), "id", "text")
+        return rows.select(F.col("id").alias("doc"), "text"), None
     named = rows.select("id", F.xxhash64("text").alias("th")).distinct()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = cut(named.repartitionByRange(n, "id", "th").sortWithinPartitions("id", "th").withColumn("doc", F.monotonically_increasing_id()))
     named = named.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "doc")
     match = F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
-    return rows.join(named, match).select("doc", "id", "text")
+    return rows.join(named, match).select("doc", "text"), named.select("doc", F.col("__id").alias("id"))
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, text, runs, at)``: every row's repeated runs and positions, for ``removed``."""
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, text, runs)``: every row's packed text and the runs of windows that repeat."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _numbered(docs, id_col, text).repartition(n, "doc")
-    anchors = rows.select("doc", "text").mapInArrow(_emit_anchors, "gram long, span long, doc long, run long")
-    ranked = anchors.repartition(n, "gram").sortWithinPartitions("gram", "span", "doc", "run")
-    runs = ranked.mapInArrow(_repeats, "doc long, run long").groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    with_runs = rows.join(runs, "doc", "left").select("doc", "text", "runs", "id")
-    places = with_runs.select("doc", "text", "runs").filter("runs is not null").mapInArrow(_emit_positions, "rank long, doc long, place long")
-    later = places.repartition(n, "rank").sortWithinPartitions("rank", "doc", F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)))
-    at = later.mapInArrow(_later, "doc long, at long").groupBy("doc").agg(F.collect_list("at").alias("at"))
-    return with_runs.join(at, "doc", "left").select("id", "text", "runs", "at")
+    plain, names = _numbered(docs, id_col, text)
+    schema = "key long, rest long, doc long"
+    first = cut(_ranked(plain.mapInArrow(_emit_anchors(ROUNDS[0], False), schema), n))
+    # the packed texts move once: every later round and the end read the same exchange
+    rows = plain.mapInArrow(_pack, "doc long, text binary").repartition(n, "doc")
+
+    def joined(runs: DataFrame) -> DataFrame:
+        return rows.join(runs.groupBy("doc").agg(F.collect_list("run").alias("runs")), "doc", "left")
+
+    found, repeats = first, [first]
+    for gram in ROUNDS[1:]:
+        open_ = joined(found.filter(F.col("run").bitwiseAND(F.lit(1)) == 0))
+        found = _ranked(open_.select("doc", "text", "runs").mapInArrow(_emit_anchors(gram, True), schema), n)
+        repeats.append(found)
+    end = None
+    for x in repeats:
+        x = x.filter(F.col("run").bitwiseAND(F.lit(1)) == 1)
+        end = x if end is None else end.unionByName(x)
+    out = joined(end)
+    if names is None:
+        return out.select(F.col("doc").alias("id"), "text", "runs")
+    return out.join(names, "doc").select("id", "text", "runs")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -245,12 +262,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in tx.pieces(enumerate(_texts(b, 1)), lambda x: len(x[1][1]) + 200):
+            for part in tx.pieces(enumerate(_texts(b, True)), lambda x: len(x[1][1]) + 200):
                 out = []
                 for i, (doc, t) in part:
-                    runs, at = _list_of(b, 2, i), _list_of(b, 3, i)
-                    if len(runs) or len(at):
-                        gone = removed(len(t), runs, at)
+                    runs = _list_of(b, 2, i)
+                    if len(runs):
+                        gone = removed(len(t), runs)
                         left = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     else:
@@ -259,4 +276,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4]), pa.array(cols[5], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return repeated_substrings(docs, id_col, text).mapInArrow(run, RESULT)
+    return repeated_runs(docs, id_col, text).mapInArrow(run, RESULT)
