@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import fingerprints, mixing, pieces, pii, quality, simhash, substrings, toxicity, warc
+from quillstone.llm import contextmix, fingerprints, mixing, pieces, pii, quality, simhash, substrings, toxicity, warc
 from quillstone.runtime import table
 
 QUERIES: dict = {}
@@ -128,3 +128,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.detect(docs, pii.fit(docs))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
