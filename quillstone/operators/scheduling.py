@@ -118,7 +118,11 @@ def enumerate_longest_first(jobs: DataFrame, machines: DataFrame) -> DataFrame:
     )
     first = inst.withColumn("one", _fold(F.col("a"), F.col("machines"), F.array_repeat(F.lit(0).cast("long"), F.col("machines"))))
     both = first.withColumn("two", _fold(F.col("b"), F.col("machines"), F.col("one.loads")))
-    tagged = F.concat(*[F.transform(F.col(f"{c}.out"), lambda x, p=p: F.struct(F.lit(p).alias("phase"), x["job"].alias("job"), x["machine"].alias("machine"), x["start"].alias("start"))) for c, p in (("one", "credit"), ("two", "search"))])
+
+    def tag(parts: Column, phase: str) -> Column:
+        return F.transform(parts, lambda x: F.struct(F.lit(phase).alias("phase"), x["job"].alias("job"), x["machine"].alias("machine"), x["start"].alias("start")))
+
+    tagged = F.concat(tag(F.col("one.out"), "credit"), tag(F.col("two.out"), "search"))
     return both.select("instance_id", F.posexplode(tagged).alias("seq", "x")).select("instance_id", "x.phase", (F.col("seq") + 1).cast("long").alias("seq"), "x.job", "x.machine", "x.start")
 
 
