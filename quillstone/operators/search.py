@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +68,6 @@ def reduce_to_component(graph: Graph, source: int) -> Graph:
     return Graph(keep, ends.join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*graph.edges.columns), graph.directed)
 
 
-def adjacency(vertices: list[int], arcs: pd.DataFrame) -> dict[int, list[int]]:
-    out = {v: [] for v in vertices}
-    for u, v in zip(arcs["src"], arcs["dst"]):
-        out[u].append(v)
-    return out
-
-
 def bfs_events(near: dict[int, list[int]], source: int | None = None) -> Iterator[tuple]:
     """(kind, u, v): a vertex is discovered, reached over a tree edge, finished. Starts at the
     smallest vertex unless told otherwise."""
@@ -151,15 +144,45 @@ def finish_order(near: dict[int, list[int]]) -> list[int]:
 
 
 def _grouped(graphs: DataFrame, arcs: DataFrame, body, schema: str) -> DataFrame:
-    """Run ``body(graph_id, near)`` for every graph of ``graphs(graph_id, id)`` and ``arcs(graph_id,
-    src, dst, adj)``; rows of one graph meet in one task, those of different graphs don't."""
+    """Run ``body(near)`` for every graph of ``graphs(graph_id, id)`` and ``arcs(graph_id, src, dst, adj)``.
 
-    def run(key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near = adjacency(sorted(v["id"]), e.sort_values("adj"))
-        rows = [(key[0], *r) for r in body(near)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return graphs.groupBy("graph_id").cogroup(arcs.groupBy("graph_id")).applyInPandas(run, schema)
+    Vertices and edges are dealt out and sorted by graph, and a task reads them as a stream:
+    one graph is held at a time, and many small ones cost no call each.
+    """
+    n = int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = graphs.select("graph_id", F.lit(0).alias("part"), F.col("id").alias("adj"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))
+    e = arcs.select("graph_id", F.lit(1).alias("part"), F.col("adj").cast("long").alias("adj"), "src", "dst")
+    rows = v.unionByName(e).repartition(n, "graph_id").sortWithinPartitions("graph_id", "part", "adj").select("graph_id", "src", "dst")
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {"long": pa.int64(), "string": pa.string()}
+    kinds = [types[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        graph, near, out = None, {}, []
+
+        def batch():
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+        for b in batches:
+            for g, src, dst in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if g != graph:
+                    if near:
+                        out.extend((graph, *r) for r in body(near))
+                        if len(out) >= 10_000:
+                            yield batch()
+                    graph, near = g, {}
+                if dst is None:
+                    near[src] = []
+                else:
+                    near[src].append(dst)
+        if near:
+            out.extend((graph, *r) for r in body(near))
+        if out:
+            yield batch()
+
+    return rows.mapInArrow(run, schema)
 
 
 def dfs(graphs: DataFrame, arcs: DataFrame) -> DataFrame:
