@@ -143,9 +143,9 @@ def cascade(ranked: list[dict], feature: Callable[[str], Column]) -> Column:
 def keep_quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Rows of ``df`` that no rule rejects, with all their columns."""
     ranked = rank_rules(df, text, rules)
-    w = "__quality_words"
-    f = features(F.col(text), F.col(w))
-    return df.withColumn(w, words(F.col(text))).filter(cascade(ranked, f.__getitem__).isNull()).drop(w)
+    # the words are bound once; a column of them would be put in for every use by the optimiser
+    rejected = let(words(F.col(text)), lambda w: cascade(ranked, features(F.col(text), w).__getitem__))
+    return df.filter(rejected.isNull())
 
 
 def quality_report(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
