@@ -1,16 +1,16 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is read as its tokens: lower-cased words, each closed by a space, and the end
-symbol. Bytes become bits by a Huffman code of the training bytes (about four decisions a
-byte). Several contexts, hashed with the code's node into slots of zeros and ones, predict
-every bit: the last two and the last four bytes of the word, counted over all distinct
-training words, and its whole beginning, counted over all occurrences of the ``HOT_WORDS``
-most frequent words. Each fills up its estimate from the next shorter one; the last two
-share a word by how well each has foretold it so far, so a new word is spelled and a known
-one looked up. The estimates' log odds are mixed by weights of two sets; a gate, whether
-the beginning is known, opens the second. After every bit the weights, and a table of
-hashed contexts of the text itself, move along the gradient, so the mix refines itself
-while it reads. A text's score is the sum of log10 of the bits' probabilities.
+A text is read as its tokens: lower-cased words and the end symbol. Each token becomes
+bits: a Huffman code over the ``HOT_WORDS`` most frequent training words, the end, and a
+mark for any other word, which is then spelled, closed by a space, in a Huffman code of
+the training bytes. Several contexts predict every bit: the node of the word code, counted
+over all training tokens; and for spelled words the last two and the last four bytes with
+the node, hashed into slots of zeros and ones that are counted over all distinct training
+words, the longer filled up from the shorter. Their log odds are mixed by weights of two
+sets; a gate, whether the word before was a frequent one, chooses between them. After
+every word the weights, and a table of hashed contexts of the text itself, move along the
+gradient of its bits, so the mix refines itself while it reads. A text's score is the sum
+of log10 of the bits' probabilities.
 
 Weights start anew every ``SEGMENT`` bytes, which lets a long text be read side by side
 with others. Tables have a fixed size (``SLOT_BITS``), whatever the corpus; what fills them,
@@ -35,29 +35,25 @@ from pyspark.sql import functions as F
 from quillstone.llm import text as tx
 from quillstone.runtime import cut
 
-#: Slots of each context's table, as powers of two; the last is that of whole beginnings.
-BITS = (20, 21, 22)
-ORDERS = len(BITS)
+#: Slots of each spelling context's table, as powers of two.
+BITS = (20, 21)
+ORDERS = len(BITS) + 1
 #: Values of the tables that are counted over the corpus, and the blocks that they are summed in.
-COUNTED = sum(2 << b for b in BITS[:-1])
+COUNTED = sum(2 << b for b in BITS)
 BLOCKS = 64
 OWN_SLOTS = 256
 #: Bytes after which the next word starts with fresh weights.
 SEGMENT = 384
 LANES = 8192
 #: Bytes read side by side: bounds a task's memory.
-STEP_BYTES, COUNT_BYTES = 3 << 20, 6 << 20
-#: Words whose beginnings are contexts and whose counts are sent to all tasks; rarer ones are joined.
-HOT_WORDS = 1 << 18
-#: Where mixing starts: weights by context, those that the gate adds, and rates of learning.
-START = np.array([0.0, 0.0, 1.0], dtype=np.float32)
-GATED = np.array([0.0, 0.0, 0.0], dtype=np.float32)
-RATE, OWN_RATE = 0.004, 0.12
-KNOWN = 3
+STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
+#: Words with codes of their own, whose counts are sent to all tasks; rarer ones are spelled and joined.
+HOT_WORDS = 1 << 17
+#: Where mixing starts: weights by gate and context, and rates of learning.
+START = np.array([[0.0, 1.0, 1.0], [0.0, 1.0, 1.0]], dtype=np.float32)
+RATE, OWN_RATE = np.float32(0.004), np.float32(0.12)
 #: Counts' worth of the next shorter context in each estimate.
-BACKOFF = (0.8, 2.0, 0.05)
-#: How likely a word is new, before its first bit.
-NEW = 0.06
+BACKOFF = (0.8, 2.0)
 _C = np.uint32(0x9E3779B1)
 
 
@@ -77,26 +73,29 @@ class Code:
 
 def huffman(counts: np.ndarray) -> Code:
     """Every value has a code, as if seen once more; ties go to the smaller value."""
-    heap = [(int(c) + 1, v, v) for v, c in enumerate(counts)]
+    many = len(counts)
+    heap = [(int(c) + 1, v) for v, c in enumerate(counts)]
     heapq.heapify(heap)
-    kids: dict[int, tuple[int, int]] = {}
-    n = len(counts)
+    above, side = np.zeros(2 * many, dtype=np.int32), np.zeros(2 * many, dtype=np.uint8)
+    n = many
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        kids[n] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], n, n))
+        above[[a[1], b[1]]], side[[a[1], b[1]]] = n, (0, 1)
+        heapq.heappush(heap, (a[0] + b[0], n))
         n += 1
-    paths: list = [None] * len(counts)
-    stack = [(n - 1, ())]
-    while stack:
-        at, path = stack.pop()
-        if at < len(counts):
-            paths[at] = path
-        else:
-            stack += [(kids[at][k], (*path, (at - len(counts), k))) for k in (0, 1)]
-    length = np.array([len(p) for p in paths])
-    flat = [x for p in paths for x in p]
-    return Code(length, np.cumsum(length) - length, np.array([x[0] for x in flat], np.uint32), np.array([x[1] for x in flat], np.uint8))
+    # all values climb to the root together; their steps are then read from the top
+    at, length, steps = np.arange(many), np.zeros(many, dtype=np.int64), []
+    while (on := at != n - 1).any():
+        steps.append((np.where(on, above[at] - many, -1).astype(np.int32), side[at]))
+        length += on
+        at = np.where(on, above[at], at)
+    first = np.cumsum(length) - length
+    node, bit = np.empty(int(length.sum()), np.uint32), np.empty(int(length.sum()), np.uint8)
+    for k, (x, y) in enumerate(steps):
+        on = x >= 0
+        place = first[on] + length[on] - 1 - k
+        node[place], bit[place] = x[on], y[on]
+    return Code(length, first, node, bit)
 
 
 @dataclass
@@ -138,11 +137,10 @@ class Decisions:
 
     count: np.ndarray  # bits of each word
     slots: list[np.ndarray]
-    check: np.ndarray | None  # of whole beginnings: 16 more bits that a slot must agree in
     bit: np.ndarray
 
 
-def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int, ...] = (0, 1, 2)) -> Decisions:
+def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int, ...] = (0, 1)) -> Decisions:
     b = data.astype(np.uint32)
     first = np.cumsum(size) - size
     start = np.repeat(first, size)
@@ -155,15 +153,12 @@ def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int,
         return out
 
     two = back(1) | back(2) << np.uint32(8)
-    contexts, begin = [], None
+    contexts = []
     for k in orders:
         if k == 0:
             contexts.append(two | np.uint32(1 << 20))
-        elif k == 1:
-            contexts.append((two | back(3) << np.uint32(16) | back(4) << np.uint32(24)) ^ np.uint32(0x5BD1E995))
         else:
-            sums = tx.prefix_hash(data)
-            begin = tx.mix((sums[:-1] - sums[start]) * tx.POWERS.get(len(b) + 1)[1][start])
+            contexts.append((two | back(3) << np.uint32(16) | back(4) << np.uint32(24)) ^ np.uint32(0x5BD1E995))
     length = code.length[data]
     rep = np.repeat(np.arange(len(b), dtype=np.int32), length)
     step = np.arange(len(rep), dtype=np.int32) + np.repeat((code.first[data] - (np.cumsum(length) - length)).astype(np.int32), length)
@@ -176,13 +171,7 @@ def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int,
         h *= np.uint32(0x2C1B3C6D)
         h >>= np.uint32(32 - BITS[k])
         slots.append(h.view(np.int32))
-    check = None
-    if begin is not None:
-        key = begin[rep] ^ (code.node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[step]
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        slots.append((key >> np.uint64(64 - BITS[-1])).astype(np.int32))
-        check = (key >> np.uint64(20)).astype(np.uint16)
-    return Decisions(np.add.reduceat(length, first) if len(first) else length, slots, check, code.bit[step])
+    return Decisions(np.add.reduceat(length, first) if len(first) else length, slots, code.bit[step])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int = 0) -> Iterator[tuple]:
@@ -227,7 +216,7 @@ def _count_slots(code: Code):
             any_, at = True, 0
             size = np.array([len(t) + 1 for (t,) in part])
             data = np.frombuffer(b"".join(t + b" " for (t,) in part), dtype=np.uint8)
-            for k, bits in enumerate(BITS[:-1]):
+            for k, bits in enumerate(BITS):
                 _add(flat[at : at + (2 << bits)], code, size, data, np.ones(len(size)), k)
                 at += 2 << bits
         if any_:
@@ -244,31 +233,6 @@ def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(odds, -127, 127).round().astype(np.int8), np.minimum(8 * np.log2(1 + n.sum(axis=1)), 255).round().astype(np.uint8)
 
 
-def _beginnings(code: Code, size: np.ndarray, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table of whole beginnings seen at least twice: odds, times and checks. Of two in a slot the
-    more frequent one stays."""
-    ends, keys, counts = np.cumsum(size), [], []
-    for a in range(0, len(size), 50_000):
-        b = min(a + 50_000, len(size))
-        d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, (ORDERS - 1,))
-        key = (d.slots[0].astype(np.int64) << 16 | d.check) << 1 | d.bit
-        key, inv = np.unique(key, return_inverse=True)
-        keys.append(key)
-        counts.append(np.bincount(inv, np.repeat(n[a:b], d.count), len(key)))
-    odds, seen, check = np.zeros(1 << BITS[-1], np.int8), np.zeros(1 << BITS[-1], np.uint8), np.zeros(1 << BITS[-1], np.uint16)
-    if keys:
-        key, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        both, at = np.unique(key >> 1, return_inverse=True)
-        table = np.zeros((len(both), 2))
-        np.add.at(table, (at, key & 1), np.bincount(inv, np.concatenate(counts), len(key)))
-        order = np.argsort(table.sum(axis=1), kind="stable")
-        order = order[table.sum(axis=1)[order] >= 2]
-        o, m = _small(table[order])
-        slot = both[order] >> 16
-        odds[slot], seen[slot], check[slot] = o, m, both[order] & 0xFFFF
-    return odds, seen, check
-
-
 def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of blocks over all tasks."""
     held, total = None, None
@@ -291,104 +255,158 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    code: Code
-    odds: list[np.ndarray]  # of each context's slots, int8, twelfths
+    code: Code  # of bytes
+    odds: list[np.ndarray]  # of each spelling context's slots, int8, twelfths
     seen: list[np.ndarray]  # uint8, see ``_small``
-    check: np.ndarray
-    hot: np.ndarray  # hashes of the most frequent words, sorted
+    hot: np.ndarray  # hashes of the frequent words and of the end, an empty word; sorted
     hot_log: np.ndarray  # log10(count + 1)
+    words: Code  # of those, and last of the mark for any other
+    word_odds: np.ndarray  # log odds of each of its nodes
     train_tokens: int
     distinct: int
     ends: int
 
 
-def bits_of(model: Model, u: Units) -> np.ndarray:
-    """log2 probability of each text."""
-    d = decisions(u.size, u.data, model.code)
+def word_code(counts: np.ndarray) -> tuple[Code, np.ndarray]:
+    """A Huffman code and the log odds of its nodes' ones."""
+    code = huffman(counts)
+    n = np.zeros((max(1, len(counts) - 1), 2))
+    np.add.at(n, (code.node, code.bit), np.repeat(counts + 0.4, code.length))
+    return code, (np.log(n[:, 1] + 0.4) - np.log(n[:, 0] + 0.4)).astype(np.float32)
+
+
+def static(model: Model, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What doesn't change while reading, for all bits of spelled words: log odds by context, slot in
+    the text's own table, the bit; and the bits of each word."""
+    d = decisions(size, data, model.code)
     times = (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
-    share = (1 / (1 + np.exp(-np.arange(-128, 128) / 12))).astype(np.float32)
-    inputs, p, shorter = [], np.float32(0.5), None
-    bit = d.bit.astype(bool)
-    for k in range(ORDERS):  # each context's estimate is filled up from the next shorter one
+    share = np.roll((1 / (1 + np.exp(-np.arange(-128, 128) / 12))).astype(np.float32), 128)  # by byte
+    mark = slice(model.words.first[-1], model.words.first[-1] + model.words.length[-1])
+    lead, n_lead = model.words.node[mark], int(model.words.length[-1])
+    count = d.count + n_lead
+    begin = np.cumsum(count) - count
+    spelled = np.ones(int(count.sum()), dtype=bool)
+    marks = (begin[:, None] + np.arange(n_lead)).ravel()
+    spelled[marks] = False
+    inputs = np.zeros((ORDERS, len(spelled)), np.float32)
+    p = np.float32(0.5)
+    for k in range(len(BITS)):  # the longer context's estimate is filled up from the shorter one
         n = times[model.seen[k][d.slots[k]]]
-        if k == ORDERS - 1:
-            n[model.check[d.slots[k]] != d.check] = 0
-            shorter = p
-        p = (n * share[model.odds[k][d.slots[k]].astype(np.int16) + 128] + np.float32(BACKOFF[k]) * p) / (n + np.float32(BACKOFF[k]))
-        if k < ORDERS - 1:
-            inputs.append(np.log(p / (1 - p)))
-    # known or new: the odds that the word is new move by how well both have foretold its bits
-    told = np.log(np.where(bit, shorter, 1 - shorter)) - np.log(np.where(bit, p, 1 - p))
-    run = np.cumsum(told, dtype=np.float64) - told
-    first = np.cumsum(d.count) - d.count
-    run -= np.repeat(run[first], d.count)
-    new = (1 / (1 + np.exp(-np.clip(run + np.log(NEW / (1 - NEW)), -60, 60)))).astype(np.float32)
-    p = np.clip(p + new * (shorter - p), 1e-6, 1 - 1e-6)
-    inputs.append(np.log(p / (1 - p)))
-    # own slot, gate and bit of a decision in one number
-    packed = ((d.slots[0] & (OWN_SLOTS - 1)) << 2 | (n >= KNOWN).astype(np.int32) << 1 | d.bit).astype(np.int16)
-    begin = (np.cumsum(d.count) - d.count)[u.of]
-    size = d.count[u.of]
-
-    # lanes: stretches of about SEGMENT bytes of one text, longest first
-    text_of = np.repeat(np.arange(len(u.tokens)), u.tokens)
-    at = np.cumsum(u.size[u.of]) - u.size[u.of]
-    first = np.cumsum(u.tokens) - u.tokens
-    stretch = (at - np.repeat(at[first], u.tokens)) // SEGMENT
-    new = np.ones(len(text_of), dtype=bool)
-    new[1:] = (stretch[1:] != stretch[:-1]) | (text_of[1:] != text_of[:-1])
-    lane_first = np.flatnonzero(new)
-    lane_size = np.add.reduceat(size, lane_first)
-    flat = np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
-    lane_at = np.cumsum(lane_size) - lane_size
-    order = np.argsort(-lane_size, kind="stable")
-    total = np.zeros(len(u.tokens))
-    for s in range(0, len(order), LANES):
-        lanes = order[s : s + LANES]
-        n, at = lane_size[lanes], lane_at[lanes]
-        width, steps = len(lanes), int(n[0])
-        live = np.searchsorted(-n, -np.arange(steps), side="left")
-        w = np.repeat(START[:, None], width, axis=1)
-        g = np.repeat(GATED[:, None], width, axis=1)
-        own = np.zeros(width * OWN_SLOTS, dtype=np.float32)
-        home = np.arange(width) * OWN_SLOTS
-        loss = np.zeros(width)
-        x, y = np.empty((ORDERS, width), np.float32), np.empty((ORDERS, width), np.float32)
-        part = np.zeros(width, np.float32)
-        for t in range(steps):
-            m = int(live[t])
-            i = flat[at[:m] + t]
-            xm, ym = x[:, :m], y[:, :m]
-            for k in range(ORDERS):
-                np.take(inputs[k], i, out=xm[k], mode="clip")
-            code = packed[i]
-            gm = (code >> 1 & 1).astype(np.float32)
-            slot = home[:m] + (code >> 2)
-            mine = own[slot]
-            np.multiply(g[:, :m], gm, out=ym)
-            ym += w[:, :m]
-            ym *= xm
-            z = ym.sum(axis=0)
-            z += mine
-            np.maximum(z, np.float32(-12), out=z)
-            np.minimum(z, np.float32(12), out=z)
-            p = 1 / (1 + np.exp(-z))
-            err = (code & 1) - p
-            own[slot] = mine + OWN_RATE * err
-            part[:m] += np.log2(1 - np.abs(err))
-            xm *= RATE * err
-            w[:, :m] += xm
-            xm *= gm
-            g[:, :m] += xm
-            if t % 64 == 63:
-                loss[:m] += part[:m]
-                part[:m] = 0
-            elif t + 1 < steps and live[t + 1] < m:
-                loss[live[t + 1] : m] += part[live[t + 1] : m]
-                part[live[t + 1] : m] = 0
-        loss += part
-        np.add.at(total, text_of[lane_first[lanes]], loss)
-    return total
+        own = share[model.odds[k].view(np.uint8)[d.slots[k]]]
+        own *= n
+        n += np.float32(BACKOFF[k])
+        own += np.float32(BACKOFF[k]) * p
+        own /= n
+        p = own
+        inputs[k, spelled] = np.log(p / (1 - p))
+    inputs[-1, marks] = np.tile(model.word_odds[lead], len(size))
+    own, bit = np.empty(len(spelled), np.int16), np.empty(len(spelled), np.uint8)
+    own[spelled], bit[spelled] = d.slots[0] & (OWN_SLOTS - 1), d.bit
+    own[marks], bit[marks] = np.tile(_own_slot(lead), len(size)), np.tile(model.words.bit[mark], len(size))
+    return inputs, own, bit, count
+
+
+def _own_slot(node: np.ndarray) -> np.ndarray:
+    return (node.astype(np.uint32) * _C >> np.uint32(7)).astype(np.int64) & (OWN_SLOTS - 1)
+
+
+class Reader:
+    """A model with the fixed part of all frequent words worked out, once a process."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, n = model, int(model.words.length[:-1].sum())
+        node = model.words.node[:n]
+        self.hot = n
+        self.inputs = np.zeros((ORDERS, n), np.float32)
+        self.inputs[-1] = model.word_odds[node]
+        self.own, self.bit = _own_slot(node).astype(np.int16), model.words.bit[:n]
+        self.begin, self.count = model.words.first[:-1], model.words.length[:-1]
+
+    def bits(self, u: Units) -> np.ndarray:
+        """log2 probability of each text."""
+        place, is_hot = find(self.model.hot, u.word)
+        cold = np.flatnonzero(~is_hot)
+        at = np.arange(u.size[cold].sum()) + np.repeat(u.first[cold] - (np.cumsum(u.size[cold]) - u.size[cold]), u.size[cold])
+        x, own, bit, count = static(self.model, u.size[cold], u.data[at]) if len(cold) else (np.empty((ORDERS, 0), np.float32), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        need = self.hot + len(bit)
+        if need > len(self.bit):  # behind the frequent words there is room for the others
+            grow = need + len(bit) // 2 - len(self.bit)
+            self.inputs = np.concatenate([self.inputs, np.empty((ORDERS, grow), np.float32)], axis=1)
+            self.own, self.bit = np.concatenate([self.own, np.empty(grow, np.int16)]), np.concatenate([self.bit, np.empty(grow, np.uint8)])
+        self.inputs[:, self.hot : need], self.own[self.hot : need], self.bit[self.hot : need] = x, own, bit
+        begin, bits = np.empty(len(u.size), np.int64), np.empty(len(u.size), np.int64)
+        if len(self.count):
+            begin[is_hot], bits[is_hot] = self.begin[place[is_hot]], self.count[place[is_hot]]
+        begin[cold], bits[cold] = self.hot + np.cumsum(count) - count, count
+        return self._read(u, begin, bits, is_hot)
+
+    def _read(self, u: Units, begin: np.ndarray, bits: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
+        # lanes: stretches of about SEGMENT bytes of one text, those of most words first
+        text_of = np.repeat(np.arange(len(u.tokens)), u.tokens)
+        at = np.cumsum(u.size[u.of]) - u.size[u.of]
+        stretch = (at - np.repeat(at[np.cumsum(u.tokens) - u.tokens], u.tokens)) // SEGMENT
+        new = np.ones(len(text_of), dtype=bool)
+        new[1:] = (stretch[1:] != stretch[:-1]) | (text_of[1:] != text_of[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(text_of)))
+        order = np.argsort(-n, kind="stable")
+        total = np.zeros(len(u.tokens))
+        for s in range(0, len(order), LANES):
+            lanes = order[s : s + LANES]
+            width, size, start = len(lanes), n[lanes], first[lanes]
+            live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+            w = np.repeat(START[:, :, None], width, axis=2)  # gate, context, lane
+            own, loss = np.zeros(width * OWN_SLOTS, dtype=np.float32), np.zeros(width)
+            home, gate = np.arange(width) * OWN_SLOTS, np.ones(width, dtype=bool)
+            for t, m in enumerate(live.tolist()):
+                word = u.of[start[:m] + t]
+                c = bits[word]
+                lead = np.cumsum(c)
+                many = int(lead[-1])
+                lead -= c
+                i = np.arange(many) + np.repeat(begin[word] - lead, c)
+                g = gate[:m]  # of the word before, which is known when a word begins
+                slot = np.repeat(home[:m], c)
+                slot += self.own[i]
+                z = own[slot]
+                here = np.where(g, w[1, :, :m], w[0, :, :m])
+                x = [self.inputs[k][i] for k in range(ORDERS)]
+                for k in range(ORDERS):
+                    z += np.repeat(here[k], c) * x[k]
+                np.clip(z, np.float32(-12), np.float32(12), out=z)
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += 1
+                err = self.bit[i] - 1 / z
+                loss[:m] += np.add.reduceat(np.log2(1 - np.abs(err)), lead)
+                np.add.at(own, slot, OWN_RATE * err)
+                err *= RATE
+                for k in range(ORDERS):
+                    step = np.add.reduceat(err * x[k], lead)
+                    w[1, k, :m] += np.where(g, step, 0)
+                    w[0, k, :m] += np.where(g, 0, step)
+                gate[:m] = is_hot[word]
+            np.add.at(total, text_of[start], loss)
+        return total
+
+
+def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash among sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+_READERS: dict[tuple, Reader] = {}
+
+
+def reader(model: Model) -> Reader:
+    key = (model.train_tokens, model.distinct, len(model.hot), int(model.hot[:1].sum()), float(model.word_odds.sum()), int(model.seen[0].astype(np.int64).sum()))
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(model)
+    return _READERS[key]
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -408,7 +426,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         raw = zstandard.decompress(bytes(r["data"]))
         odds[r["block"]] = np.frombuffer(raw[: len(raw) // 2], np.int8)
         seen[r["block"]] = np.frombuffer(raw[len(raw) // 2 :], np.uint8)
-    at = np.cumsum([1 << b for b in BITS[:-1]])[:-1]
+    at = np.cumsum([1 << b for b in BITS])[:-1]
     odds, seen = np.split(odds.ravel(), at), np.split(seen.ravel(), at)
 
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -416,41 +434,34 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     # HOT_WORDS rows at most, whatever the corpus; words of great length are left to the join
     top = words.filter(F.length("word") <= 64).orderBy(F.col("c").desc(), "word").limit(HOT_WORDS).toPandas()
     c = top["c"].to_numpy(np.int64)
-    u_size = np.array([len(w) + 1 for w in top["word"]] + [1], dtype=np.int64)
-    data = np.frombuffer(b"".join(bytes(w) + b" " for w in top["word"]) + b"\n", dtype=np.uint8)
-    o, m, check = _beginnings(code, u_size, data, np.append(c, ends))
-    odds, seen = [*odds, o], [*seen, m]
-    sums = tx.prefix_hash(data)
-    u_size, first = u_size[:-1], (np.cumsum(u_size) - u_size)[:-1]
-    h = tx.mix((sums[first + u_size - 1] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
-    by = np.argsort(h)
+    size_of = np.array([len(w) for w in top["word"]] + [0], dtype=np.int64)
+    data = np.frombuffer(b"".join(bytes(w) for w in top["word"]), dtype=np.uint8)
+    sums, first = tx.prefix_hash(data), np.cumsum(size_of) - size_of
+    h = tx.mix((sums[first + size_of] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
+    by = np.argsort(h)  # the end, an empty word, is among them
+    c = np.append(c, ends)[by]
     # the end is a token too: counted once for each text
     train, distinct = (size.n or 0) + ends, size.v + (1 if ends else 0)
-    return Model(code, odds, seen, check, h[by], np.log10(c.astype(np.float64) + 1)[by], train, distinct, ends), words
+    words_code, word_odds = word_code(np.append(c, train - c.sum()))
+    logs = np.log10(c.astype(np.float64) + 1)
+    return Model(code, odds, seen, h[by], logs, words_code, word_odds, train, distinct, ends), words
 
 
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, bits_per_byte double, words array<binary>, times array<int>"
 
 
-def _is_hot(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(model.hot):
-        return np.zeros(len(h), dtype=bool), np.zeros(len(h))
-    at = np.minimum(np.searchsorted(model.hot, h), len(model.hot) - 1)
-    hit = model.hot[at] == h
-    return hit, np.where(hit, model.hot_log[at], 0.0)
-
-
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _steps(batches, 3):
             u = units([x[-1] for x in part])
-            bits = bits_of(model, u)
-            hit, log = _is_hot(model, u.word)
+            bits = reader(model).bits(u)
+            place, hit = find(model.hot, u.word)
+            log = np.where(hit, model.hot_log[place], 0.0)
             text_of = np.repeat(np.arange(len(part)), u.tokens)
             hot_log = np.bincount(text_of, log[u.of], len(part))
             hot_n = np.bincount(text_of, hit[u.of], len(part)).astype(np.int64)
-            hot_log += np.log10(model.ends + 1)  # the end is a token
-            hot_n += 1 if model.ends else 0
+            if not model.ends:
+                hot_n -= 1  # an end that no text was learnt from isn't known
             n_bytes = np.add.reduceat(u.size[u.of], np.cumsum(u.tokens) - u.tokens)
             # words that aren't sent to all tasks, for the join with their counts
             use = np.flatnonzero((~hit & (u.size > 1))[u.of])

@@ -66,10 +66,15 @@ def test_probabilities_add_up():
     rng = np.random.default_rng(1)
     odds = [rng.integers(-40, 40, 1 << b).astype(np.int8) for b in cm.BITS]
     seen = [rng.integers(0, 60, 1 << b).astype(np.uint8) for b in cm.BITS]
-    m = cm.Model(code, odds, seen, np.zeros(1 << cm.BITS[-1], np.uint16), np.zeros(0, np.uint64), np.zeros(0), 1, 1, 1)
-    # one byte, then a space: every first byte that isn't a space or an end, and what follows it
-    first = np.array([2.0 ** cm.bits_of(m, cm.units([b"ab " + bytes([v])]))[0] for v in range(33, 256) if not bytes([v]).isupper()])
-    assert 0 < first.sum() < 1
+    hot = cm.units([b"a b c"])
+    order = np.argsort(hot.word)
+    words, word_odds = cm.word_code(np.array([5, 3, 9, 2, 4]))
+    m = cm.Model(code, odds, seen, hot.word[order], np.zeros(4), words, word_odds, 1, 1, 1)
+    # second tokens: frequent words, the end, and words of one byte that are spelled
+    p = [2.0 ** cm.Reader(m).bits(cm.units([t]))[0] for t in (b"zz", b"zz a", b"zz b", b"zz c")]
+    assert all(0 < x < 1 for x in p)
+    one = [2.0 ** cm.Reader(m).bits(cm.units([bytes([v])]))[0] for v in range(33, 256) if not bytes([v]).isupper()]
+    assert 0 < 2.0 ** cm.Reader(m).bits(cm.units([b""]))[0] + sum(one) < 1
 
 
 def test_empty(spark):
