@@ -229,13 +229,18 @@ def search_topological_finish(spark, d):
     return search.topological_order(v, e, "finish")
 
 
-@query()
+_CHAIN = f"WITH {JOBS}, c AS (SELECT instance_id AS graph_id, job AS u, count(*) OVER (PARTITION BY instance_id) AS n FROM jobs)"
+
+
+@query(f"""{_CHAIN} SELECT graph_id, CASE WHEN u = 1 THEN 0 ELSE 3 * u - 4 END AS seq, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v FROM c
+UNION ALL SELECT graph_id, 3 * u - 2, 'tree', u, u + 1 FROM c WHERE u < n UNION ALL SELECT graph_id, CASE WHEN u < n THEN 3 * u ELSE 3 * n - 2 END, 'finished', u, NULL FROM c""")
 def search_bfs_events(spark, d):
     v, e = _line_chains(spark, d)
     return search.bfs(v, e)
 
 
-@query()
+@query(f"""{_CHAIN} SELECT graph_id, 2 * u - 2 AS seq, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v FROM c
+UNION ALL SELECT graph_id, 2 * u - 1, 'tree', u, u + 1 FROM c WHERE u < n UNION ALL SELECT graph_id, 3 * n - 1 - u, 'finished', u, NULL FROM c""")
 def search_dfs_events(spark, d):
     v, e = _line_chains(spark, d)
     return search.dfs(v, e)
