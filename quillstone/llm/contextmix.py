@@ -431,8 +431,17 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = src.count()
-    # HOT_WORDS rows at most, whatever the corpus; words of great length are left to the join
-    top = words.filter(F.length("word") <= 64).orderBy(F.col("c").desc(), "word").limit(HOT_WORDS).toPandas()
+    # the least count that at most HOT_WORDS words reach, from how many words have each count;
+    # then no task sends more rows than that, and the driver gets HOT_WORDS at most
+    short = words.filter(F.length("word") <= 64)  # words of great length are left to the join
+    level = F.least("c", F.lit(1 << 16))
+    seen_times = sorted(((r["k"], r["count"]) for r in short.groupBy(level.alias("k")).count().collect()), reverse=True)
+    least, total = 1 << 16, 0
+    for k, many in seen_times:
+        if (total := total + many) > HOT_WORDS:
+            break
+        least = k
+    top = short.filter(F.col("c") >= least).orderBy(F.col("c").desc(), "word").limit(HOT_WORDS).toPandas() if seen_times else short.limit(0).toPandas()
     c = top["c"].to_numpy(np.int64)
     size_of = np.array([len(w) for w in top["word"]] + [0], dtype=np.int64)
     data = np.frombuffer(b"".join(bytes(w) for w in top["word"]), dtype=np.uint8)
