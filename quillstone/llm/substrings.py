@@ -16,7 +16,7 @@ positions are sorted that can still matter:
   several spans stay open, and only their windows enter the next round.
 
 The rank of a gram is a 64-bit hash, which names it everywhere without a round trip; it is
-what a pair of ranks at an offset would be renamed to. Runs are taken as equal by 89 bits of two ranks.
+what a pair of ranks at an offset would be renamed to. Runs are taken as equal by 88 bits of two ranks.
 Sorted rows are read as a stream that keeps one row: no group of repeats is ever gathered,
 of whatever size.
 
@@ -135,9 +135,27 @@ def _list_of(b: pa.RecordBatch, k: int, i: int) -> np.ndarray:
     return np.zeros(0, np.int64) if v is None else v.to_numpy(zero_copy_only=False)
 
 
+def _known(key: np.ndarray, span: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which runs of a buffer follow an equal one, in a smaller document or further left."""
+    order = np.lexsort((place, doc, span, key))
+    key, span, doc, place = key[order], span[order], doc[order], place[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    out = np.zeros(len(key), dtype=bool)
+    out[order] = (doc != doc[lead]) | (place != place[lead])  # the same row twice is no repeat
+    return out
+
+
 def _emit_anchors(gram: int, packed: bool):
-    """Rows of the sort: ``key`` has 48 bits of the gram's rank and 16 of the span's, ``rest`` 25
-    more of the span's, 7 of the number of windows and 32 of the first window."""
+    """Rows of the sort: ``key`` has 48 bits of the gram's rank and 16 of the span's, ``rest`` 24
+    more of the span's, one that says the run is known to repeat, 7 of the number of windows
+    and 32 of the first window.
+
+    Of equal spans in one buffer only the first competes. The others are known to repeat
+    already; they get keys of their own and are dealt out evenly, so that a passage which many
+    documents hold fills no task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +172,11 @@ def _emit_anchors(gram: int, packed: bool):
                 doc, start, count, rank, span = found
                 ids, offsets = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 key = (rank & np.uint64(0xFFFFFFFFFFFF0000)) | (span >> np.uint64(48))
-                rest = (span << np.uint64(39)) | (count.astype(np.uint64) << np.uint64(32)) | (start + offsets[doc]).astype(np.uint64)
+                place = start + offsets[doc]
+                rest = (span << np.uint64(40)) | (count.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+                known = _known(key, span, ids[doc], place)
+                key = np.where(known, tx.mix(rest ^ ids[doc].astype(np.uint64)), key)
+                rest = rest | (known.astype(np.uint64) << np.uint64(39))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(ids[doc], pa.int64())], ["key", "rest", "doc"])
 
     return run
@@ -172,12 +194,18 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, rest, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         run = ((rest & 0xFFFFFFFF) << 8) | ((rest >> 32 & 127) << 1)
+        known = (rest >> 39 & 1).astype(bool)
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(run[known] | 1)], ["doc", "run"])
+            key, rest, doc, run = key[~known], rest[~known], doc[~known], run[~known]
+            if not len(key):
+                continue
         lead = (key[0], rest[0], doc[0]) if last is None else last
         k0, r0, d0 = (np.concatenate(([x], y[:-1])) for x, y in zip(lead, (key, rest, doc)))
         new_gram = key >> 16 != k0 >> 16
         if last is None:
             new_gram[0] = True
-        new_span = new_gram | (key != k0) | (rest >> 39 != r0 >> 39)
+        new_span = new_gram | (key != k0) | (rest >> 40 != r0 >> 40)
         again = ~new_span & ((doc != d0) | (rest != r0))  # the same row twice is no repeat
         second = new_span & ~new_gram
         group = np.cumsum(new_gram)
@@ -198,7 +226,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranked(anchors: DataFrame, n: int) -> DataFrame:
     """One round's sort; runs that repeat or stay open."""
-    span, start = F.shiftrightunsigned("rest", 39), F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))
+    span, start = F.shiftrightunsigned("rest", 40), F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))
     dealt = anchors.repartition(n, F.shiftrightunsigned("key", 16))
     return dealt.sortWithinPartitions("key", span, "doc", start).mapInArrow(_repeats, "doc long, run long")
 
