@@ -55,10 +55,10 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     lines = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("l_orderkey", "s_nationkey").agg(F.count("*").alias("n"))
     own = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
     t = lines.join(own, lines.l_orderkey == own.o_orderkey).groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.sum("n").alias("n"))
-    return t.withColumn("w", 1_000_000 - F.col("n") * 1000 + F.col("src") * 25 + F.col("dst"))
+    return t.withColumn("w", F.expr("(1000000 div n) * 625 + src * 25 + dst"))
 
 
-TRADE = """trade AS (SELECT src, dst, n, 1000000 - n * 1000 + src * 25 + dst AS w FROM (
+TRADE = """trade AS (SELECT src, dst, n, (1000000 // n) * 625 + src * 25 + dst AS w FROM (
   SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   GROUP BY 1, 2))"""
