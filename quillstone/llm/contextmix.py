@@ -3,18 +3,19 @@
 A text is read as its tokens: lower-cased words and the end symbol. Each token becomes
 bits: a Huffman code over the ``HOT_WORDS`` most frequent training words, the end, and a
 mark for any other word, which is then spelled, closed by a space, in a Huffman code of
-the training bytes. Several contexts predict every bit: the node of the word code, counted
-over all training tokens; and for spelled words the last two and the last four bytes with
-the node, hashed into slots of zeros and ones that are counted over all distinct training
-words, the longer filled up from the shorter. Their log odds are mixed by weights of two
-sets; a gate, whether the word before was a frequent one, chooses between them. After
-every word the weights, and a table of hashed contexts of the text itself, move along the
-gradient of its bits, so the mix refines itself while it reads. A text's score is the sum
-of log10 of the bits' probabilities.
-
-Weights start anew every ``SEGMENT`` bytes, which lets a long text be read side by side
-with others. Tables have a fixed size (``SLOT_BITS``), whatever the corpus; what fills them,
-and the word counts of the base score, covers every training text.
+the training bytes. Several contexts predict every bit, hashed into slots of zeros and
+ones: those of the word code its node, the word before with the node, and the two words
+before with the node, counted over all training tokens; spelled bits the last two and the
+last four bytes with the node, counted over all training words, those that are spelled as
+often as they occur. The longer is filled up from the shorter. Their log odds are mixed by
+weights of three sets; a gate, whether a bit is spelled and whether the word before was a
+frequent one, chooses among them. After every unit (a code or a spelling) the weights, and
+a table of hashed contexts of the text itself, move along the gradient of its bits, so the
+mix refines itself while it reads; both are carried through the whole text. A training word
+without a code is scored by the sum of two ways: its share of such words' counts, which a
+join brings, and its spelling. A text's score is the sum of log10 of the probabilities.
+
+Slot tables grow with the number of distinct training words (``table_bits``).
 
 Null texts are empty: one token, the end. Rows that repeat are scored alike; a row with a
 null id is learnt from. Words are counted by a 64-bit hash.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +36,31 @@ from pyspark.sql import functions as F
 from quillstone.llm import text as tx
 from quillstone.runtime import cut
 
-#: Slots of each spelling context's table, as powers of two.
-BITS = (20, 21)
-ORDERS = len(BITS) + 1
-#: Values of the tables that are counted over the corpus, and the blocks that they are summed in.
-COUNTED = sum(2 << b for b in BITS)
+#: Least slots of each spelling context's table, and of the tables of words before, as powers of two.
+BITS, WORD_BITS = (20, 21), (16, 16)
+ORDERS = 3
+#: Blocks that counts are summed in.
 BLOCKS = 64
 OWN_SLOTS = 256
-#: Bytes after which the next word starts with fresh weights.
-SEGMENT = 384
 LANES = 8192
 #: Bytes read side by side: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
 #: Words with codes of their own, whose counts are sent to all tasks; rarer ones are spelled and joined.
 HOT_WORDS = 1 << 17
 #: Where mixing starts: weights by gate and context, and rates of learning.
-START = np.array([[0.0, 1.0, 1.0], [0.0, 1.0, 1.0]], dtype=np.float32)
+START = np.array([[0.4, 0.3, 0.3], [0.4, 0.3, 0.3], [0.0, 1.0, 0.0]], dtype=np.float32)
 RATE, OWN_RATE = np.float32(0.004), np.float32(0.12)
 #: Counts' worth of the next shorter context in each estimate.
 BACKOFF = (0.8, 2.0)
 _C = np.uint32(0x9E3779B1)
 
 
+def table_bits(distinct: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Sizes of the spelling tables and of those of words before, for so many distinct words."""
+    n = int(distinct).bit_length()
+    return tuple(max(b, n - 2 + k) for k, b in enumerate(BITS)), tuple(max(b, n - 1) for b in WORD_BITS)
+
+
 def is_training(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
@@ -140,7 +144,7 @@ class Decisions:
     bit: np.ndarray
 
 
-def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int, ...] = (0, 1)) -> Decisions:
+def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int, ...] = (0, 1), sizes: tuple[int, ...] = BITS) -> Decisions:
     b = data.astype(np.uint32)
     first = np.cumsum(size) - size
     start = np.repeat(first, size)
@@ -169,7 +173,7 @@ def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int,
         h ^= node
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        h >>= np.uint32(32 - BITS[k])
+        h >>= np.uint32(32 - sizes[k])
         slots.append(h.view(np.int32))
     return Decisions(np.add.reduceat(length, first) if len(first) else length, slots, code.bit[step])
 
@@ -198,34 +202,98 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([b" %d" % v for v in range(256)], pa.binary()), pa.array(total)], ["word", "c"])
 
 
-def _add(table: np.ndarray, code: Code, size: np.ndarray, data: np.ndarray, n: np.ndarray, order: int) -> None:
+def _add(table: np.ndarray, code: Code, size: np.ndarray, data: np.ndarray, n: np.ndarray, order: int, sizes: tuple[int, ...]) -> None:
     """Add the bits of words, each ``n`` times, to a context's zeros and ones; some words at a time."""
     ends = np.cumsum(size)
     for a in range(0, len(size), 100_000):
         b = min(a + 100_000, len(size))
-        d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, (order,))
+        d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, (order,), sizes)
         np.add.at(table, 2 * d.slots[0] + d.bit, np.repeat(n[a:b].astype(np.uint32), d.count))
 
 
-def _count_slots(code: Code):
-    """Zeros and ones of the counted contexts over a task's distinct words, as compressed blocks."""
+def _blocks(flat: np.ndarray) -> pa.RecordBatch:
+    data = [zstandard.compress(x.tobytes(), 1) for x in flat.reshape(BLOCKS, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(data, pa.binary())], ["block", "data"])
+
+
+def _count_slots(code: Code, sizes: tuple[int, ...]):
+    """Zeros and ones of the spelling contexts over a task's words, ``n`` times each, as compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, any_ = np.zeros(COUNTED, dtype=np.uint32), False
-        for part in _steps(batches, 0, STEP_BYTES):
+        flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
+        for part in _steps(batches, 1, STEP_BYTES):
             any_, at = True, 0
-            size = np.array([len(t) + 1 for (t,) in part])
-            data = np.frombuffer(b"".join(t + b" " for (t,) in part), dtype=np.uint8)
-            for k, bits in enumerate(BITS):
-                _add(flat[at : at + (2 << bits)], code, size, data, np.ones(len(size)), k)
+            n = np.array([n for n, _ in part])
+            size = np.array([len(t) + 1 for _, t in part])
+            data = np.frombuffer(b"".join(t + b" " for _, t in part), dtype=np.uint8)
+            for k, bits in enumerate(sizes):
+                _add(flat[at : at + (2 << bits)], code, size, data, n, k, sizes)
                 at += 2 << bits
         if any_:
-            data = [zstandard.compress(x.tobytes(), 1) for x in flat.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(data, pa.binary())], ["block", "data"])
+            yield _blocks(flat)
+
+    return run
+
+
+def before(u: Units) -> list[np.ndarray]:
+    """Hashes of the word before and of the two words before each token; a text follows an end."""
+    h = u.word[u.of]
+    one, two = np.zeros_like(h), np.zeros_like(h)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    first = np.cumsum(u.tokens) - u.tokens
+    one[first], two[first] = tx.mix(np.zeros(1, np.uint64))[0], np.uint64(1)
+    both = tx.mix(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(7))
+    return [(tx.mix(x + np.uint64(3)) >> np.uint64(32)).astype(np.uint32) for x in (one, both)]
+
+
+def word_slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    h = context ^ node
+    h *= _C
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h >>= np.uint32(32 - bits)
+    return h
+
+
+def _count_contexts(words: Code, hot: np.ndarray, sizes: tuple[int, ...]):
+    """Zeros and ones of the words before with each node, over all tokens of a task."""
+    nodes = words.node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
+        for part in _steps(batches, 0, STEP_BYTES):
+            any_ = True
+            u = units([t for (t,) in part])
+            place, hit = find(hot, u.word)
+            place, contexts = np.where(hit, place, len(hot))[u.of], before(u)
+            for a in range(0, len(place), 100_000):
+                of = place[a : a + 100_000]
+                c = words.length[of]
+                i = np.arange(int(c.sum())) + np.repeat(words.first[of] - (np.cumsum(c) - c), c)
+                node, bit, at = nodes[i], words.bit[i], 0
+                for k, bits in enumerate(sizes):
+                    slot = word_slots(np.repeat(contexts[k][a : a + 100_000], c), node, bits).astype(np.int64)
+                    np.add.at(flat[at : at + (2 << bits)], 2 * slot + bit, np.uint32(1))
+                    at += 2 << bits
+        if any_:
+            yield _blocks(flat)
 
     return run
 
 
+def _summed(blocks: DataFrame, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both bytes (see ``_small``) of every table, from blocks of all tasks."""
+    n, slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(1 << b for b in sizes)
+    blocks = blocks.repartition(min(n, BLOCKS), "block").sortWithinPartitions("block").mapInArrow(_add_slots, "block long, data binary")
+    odds, seen = np.zeros((BLOCKS, slots // BLOCKS), np.int8), np.zeros((BLOCKS, slots // BLOCKS), np.uint8)
+    for r in blocks.toLocalIterator():  # a partition's blocks at a time
+        raw = zstandard.decompress(bytes(r["data"]))
+        odds[r["block"]] = np.frombuffer(raw[: len(raw) // 2], np.int8)
+        seen[r["block"]] = np.frombuffer(raw[len(raw) // 2 :], np.uint8)
+    at = np.cumsum([1 << b for b in sizes])[:-1]
+    return np.split(odds.ravel(), at), np.split(seen.ravel(), at)
+
+
 def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of (zeros, ones) in twelfths, and eighths of the binary log of 1 + their sum: a byte each."""
     n = n.astype(np.float64)
@@ -265,6 +333,10 @@ class Model:
     train_tokens: int
     distinct: int
     ends: int
+    before_odds: list[np.ndarray] = field(default_factory=list)  # of the slots of words before
+    before_seen: list[np.ndarray] = field(default_factory=list)
+    cold: int = 0  # tokens of training words without codes
+    new: float = 1.0  # share of words without codes that no training text has
 
 
 def word_code(counts: np.ndarray) -> tuple[Code, np.ndarray]:
@@ -275,35 +347,25 @@ def word_code(counts: np.ndarray) -> tuple[Code, np.ndarray]:
     return code, (np.log(n[:, 1] + 0.4) - np.log(n[:, 0] + 0.4)).astype(np.float32)
 
 
+_TIMES = (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
+_SHARE = np.roll((1 / (1 + np.exp(-np.arange(-128, 128) / 12))).astype(np.float32), 128)  # by byte
+
+
 def static(model: Model, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What doesn't change while reading, for all bits of spelled words: log odds by context, slot in
     the text's own table, the bit; and the bits of each word."""
-    d = decisions(size, data, model.code)
-    times = (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
-    share = np.roll((1 / (1 + np.exp(-np.arange(-128, 128) / 12))).astype(np.float32), 128)  # by byte
-    mark = slice(model.words.first[-1], model.words.first[-1] + model.words.length[-1])
-    lead, n_lead = model.words.node[mark], int(model.words.length[-1])
-    count = d.count + n_lead
-    begin = np.cumsum(count) - count
-    spelled = np.ones(int(count.sum()), dtype=bool)
-    marks = (begin[:, None] + np.arange(n_lead)).ravel()
-    spelled[marks] = False
-    inputs = np.zeros((ORDERS, len(spelled)), np.float32)
-    p = np.float32(0.5)
+    d = decisions(size, data, model.code, (0, 1), tuple(len(x).bit_length() - 1 for x in model.odds))
+    inputs, p = np.zeros((2, len(d.bit)), np.float32), np.float32(0.5)
     for k in range(len(BITS)):  # the longer context's estimate is filled up from the shorter one
-        n = times[model.seen[k][d.slots[k]]]
-        own = share[model.odds[k].view(np.uint8)[d.slots[k]]]
+        n = _TIMES[model.seen[k][d.slots[k]]]
+        own = _SHARE[model.odds[k].view(np.uint8)[d.slots[k]]]
         own *= n
         n += np.float32(BACKOFF[k])
         own += np.float32(BACKOFF[k]) * p
         own /= n
         p = own
-        inputs[k, spelled] = np.log(p / (1 - p))
-    inputs[-1, marks] = np.tile(model.word_odds[lead], len(size))
-    own, bit = np.empty(len(spelled), np.int16), np.empty(len(spelled), np.uint8)
-    own[spelled], bit[spelled] = d.slots[0] & (OWN_SLOTS - 1), d.bit
-    own[marks], bit[marks] = np.tile(_own_slot(lead), len(size)), np.tile(model.words.bit[mark], len(size))
-    return inputs, own, bit, count
+        inputs[k] = np.log(p / (1 - p))
+    return inputs, (d.slots[0] & (OWN_SLOTS - 1)).astype(np.int16), d.bit, d.count
 
 
 def _own_slot(node: np.ndarray) -> np.ndarray:
@@ -311,83 +373,112 @@ def _own_slot(node: np.ndarray) -> np.ndarray:
 
 
 class Reader:
-    """A model with the fixed part of all frequent words worked out, once a process."""
+    """A model with the fixed part of the word code worked out, once a process."""
 
     def __init__(self, model: Model) -> None:
-        self.model, n = model, int(model.words.length[:-1].sum())
-        node = model.words.node[:n]
-        self.hot = n
-        self.inputs = np.zeros((ORDERS, n), np.float32)
-        self.inputs[-1] = model.word_odds[node]
-        self.own, self.bit = _own_slot(node).astype(np.int16), model.words.bit[:n]
-        self.begin, self.count = model.words.first[:-1], model.words.length[:-1]
+        self.model, n = model, len(model.words.node)
+        node, self.hot = model.words.node, n
+        self.inputs = np.zeros((2, n), np.float32)
+        self.inputs[0] = model.word_odds[node]
+        self.prob = 1 / (1 + np.exp(-self.inputs[0]))
+        self.node = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.own, self.bit = _own_slot(node).astype(np.int16), model.words.bit
+        # slots of words before: both bytes in one; a slot is trusted by what it holds
+        # beyond what other contexts bring into it in the mean
+        self.cells = [o.view(np.uint8).astype(np.uint16) | s.astype(np.uint16) << np.uint16(8) for o, s in zip(model.before_odds, model.before_seen)]
+        load = [float(np.bincount(s, minlength=256) @ _TIMES) / len(s) for s in model.before_seen]
+        self.trust = [_TIMES / (_TIMES + np.float32(1 + 2 * x)) for x in load]
 
     def bits(self, u: Units) -> np.ndarray:
         """log2 probability of each text."""
+        return self.read(u)[0]
+
+    def read(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
+        """log2 probability of each text, all words without codes being spelled; and of each
+        token's spelling, 0 for frequent words."""
+        words = self.model.words
         place, is_hot = find(self.model.hot, u.word)
         cold = np.flatnonzero(~is_hot)
         at = np.arange(u.size[cold].sum()) + np.repeat(u.first[cold] - (np.cumsum(u.size[cold]) - u.size[cold]), u.size[cold])
-        x, own, bit, count = static(self.model, u.size[cold], u.data[at]) if len(cold) else (np.empty((ORDERS, 0), np.float32), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        x, own, bit, count = static(self.model, u.size[cold], u.data[at]) if len(cold) else (np.empty((2, 0), np.float32), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(0, np.int64))
         need = self.hot + len(bit)
-        if need > len(self.bit):  # behind the frequent words there is room for the others
+        if need > len(self.bit):  # behind the word code there is room for spellings
             grow = need + len(bit) // 2 - len(self.bit)
-            self.inputs = np.concatenate([self.inputs, np.empty((ORDERS, grow), np.float32)], axis=1)
+            self.inputs = np.concatenate([self.inputs, np.empty((2, grow), np.float32)], axis=1)
             self.own, self.bit = np.concatenate([self.own, np.empty(grow, np.int16)]), np.concatenate([self.bit, np.empty(grow, np.uint8)])
         self.inputs[:, self.hot : need], self.own[self.hot : need], self.bit[self.hot : need] = x, own, bit
-        begin, bits = np.empty(len(u.size), np.int64), np.empty(len(u.size), np.int64)
-        if len(self.count):
-            begin[is_hot], bits[is_hot] = self.begin[place[is_hot]], self.count[place[is_hot]]
-        begin[cold], bits[cold] = self.hot + np.cumsum(count) - count, count
-        return self._read(u, begin, bits, is_hot)
-
-    def _read(self, u: Units, begin: np.ndarray, bits: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
-        # lanes: stretches of about SEGMENT bytes of one text, those of most words first
-        text_of = np.repeat(np.arange(len(u.tokens)), u.tokens)
-        at = np.cumsum(u.size[u.of]) - u.size[u.of]
-        stretch = (at - np.repeat(at[np.cumsum(u.tokens) - u.tokens], u.tokens)) // SEGMENT
-        new = np.ones(len(text_of), dtype=bool)
-        new[1:] = (stretch[1:] != stretch[:-1]) | (text_of[1:] != text_of[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(text_of)))
+        spell, spell_bits = np.zeros(len(u.size), np.int64), np.zeros(len(u.size), np.int64)
+        spell[cold], spell_bits[cold] = self.hot + np.cumsum(count) - count, count
+
+        # units: the code of every token, and behind the mark the spelling of other words
+        hot = is_hot[u.of]
+        code = np.where(is_hot, place, len(words.length) - 1)[u.of]
+        after = np.ones(len(hot), dtype=np.int8)  # the word before, which is known when a word begins
+        after[1:] = hot[:-1]
+        after[np.cumsum(u.tokens) - u.tokens] = 1
+        where = np.cumsum(1 + ~hot) - (1 + ~hot)
+        n = len(hot) + int((~hot).sum())
+        begin, bits, gate = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, 2, np.int8)
+        contexts = [np.zeros(n, np.uint32) for _ in self.cells]
+        begin[where], bits[where], gate[where] = words.first[code], words.length[code], after
+        for c, h in zip(contexts, before(u)):
+            c[where] = h
+        spelled = where[~hot] + 1
+        begin[spelled], bits[spelled] = spell[u.of[~hot]], spell_bits[u.of[~hot]]
+        first = where[np.cumsum(u.tokens) - u.tokens]
+        loss = self._read(first, np.diff(np.append(first, n)), begin, bits, gate, contexts)
+        own_loss = np.zeros(len(hot))
+        own_loss[~hot] = loss[spelled]
+        loss[spelled] += np.log2(self.model.new)
+        return np.add.reduceat(loss, first), own_loss
+
+    def _read(self, first: np.ndarray, n: np.ndarray, begin: np.ndarray, bits: np.ndarray, gate: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """log2 probability of each unit; lanes are whole texts, those of most units first."""
+        out = np.zeros(len(begin))
         order = np.argsort(-n, kind="stable")
-        total = np.zeros(len(u.tokens))
+        sizes = [len(c).bit_length() - 1 for c in self.cells]
         for s in range(0, len(order), LANES):
             lanes = order[s : s + LANES]
             width, size, start = len(lanes), n[lanes], first[lanes]
             live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-            w = np.repeat(START[:, :, None], width, axis=2)  # gate, context, lane
-            own, loss = np.zeros(width * OWN_SLOTS, dtype=np.float32), np.zeros(width)
-            home, gate = np.arange(width) * OWN_SLOTS, np.ones(width, dtype=bool)
+            w = [np.repeat(START[:, k], width) for k in range(ORDERS)]  # by gate and lane
+            own, lane = np.zeros(width * OWN_SLOTS, dtype=np.float32), np.arange(width)
             for t, m in enumerate(live.tolist()):
-                word = u.of[start[:m] + t]
-                c = bits[word]
+                unit = start[:m] + t
+                c = bits[unit]
                 lead = np.cumsum(c)
                 many = int(lead[-1])
                 lead -= c
-                i = np.arange(many) + np.repeat(begin[word] - lead, c)
-                g = gate[:m]  # of the word before, which is known when a word begins
-                slot = np.repeat(home[:m], c)
+                i = np.arange(many) + np.repeat(begin[unit] - lead, c)
+                g = gate[unit]
+                mine = g * np.int64(width) + lane[:m]
+                slot = np.repeat(lane[:m] * OWN_SLOTS, c)
                 slot += self.own[i]
+                x = [self.inputs[0][i], self.inputs[1][i], np.zeros(many, np.float32)]
+                coded = np.flatnonzero(np.repeat(g < 2, c))
+                if len(coded):
+                    j = i[coded]
+                    p, node = self.prob[j], self.node[j]
+                    x[1][coded] = x[2][coded] = x[0][coded]
+                    for k, cells in enumerate(self.cells):  # the longer is filled up from the shorter
+                        cell = cells[word_slots(np.repeat(contexts[k][unit], c)[coded], node, sizes[k])]
+                        p = p + self.trust[k][cell >> np.uint16(8)] * (_SHARE[cell & np.uint16(255)] - p)
+                        np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
+                        x[k + 1][coded] = np.log(p / (1 - p))
                 z = own[slot]
-                here = np.where(g, w[1, :, :m], w[0, :, :m])
-                x = [self.inputs[k][i] for k in range(ORDERS)]
                 for k in range(ORDERS):
-                    z += np.repeat(here[k], c) * x[k]
+                    z += np.repeat(w[k][mine], c) * x[k]
                 np.clip(z, np.float32(-12), np.float32(12), out=z)
                 np.negative(z, out=z)
                 np.exp(z, out=z)
                 z += 1
                 err = self.bit[i] - 1 / z
-                loss[:m] += np.add.reduceat(np.log2(1 - np.abs(err)), lead)
+                out[unit] = np.add.reduceat(np.log2(1 - np.abs(err)), lead)
                 np.add.at(own, slot, OWN_RATE * err)
                 err *= RATE
                 for k in range(ORDERS):
-                    step = np.add.reduceat(err * x[k], lead)
-                    w[1, k, :m] += np.where(g, step, 0)
-                    w[0, k, :m] += np.where(g, 0, step)
-                gate[:m] = is_hot[word]
-            np.add.at(total, text_of[start], loss)
-        return total
+                    w[k][mine] += np.add.reduceat(err * x[k], lead)
+        return out
 
 
 def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +502,6 @@ def reader(model: Model) -> Reader:
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and ``(word, c)`` counts of all words, from all texts of ``docs(text)``."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("text").cast("binary").alias("text"))
     counted = cut(src.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     is_byte = F.substring("word", 1, 1) == F.lit(b" ")
@@ -419,17 +509,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     for r in counted.filter(is_byte).collect():
         values[int(bytes(r["word"]))] = r["c"]
     code, words = huffman(values), counted.filter(~is_byte)
-    blocks = words.select("word").mapInArrow(_count_slots(code), "block long, data binary")
-    blocks = blocks.repartition(min(n, BLOCKS), "block").sortWithinPartitions("block").mapInArrow(_add_slots, "block long, data binary")
-    odds, seen = np.zeros((BLOCKS, COUNTED // 2 // BLOCKS), np.int8), np.zeros((BLOCKS, COUNTED // 2 // BLOCKS), np.uint8)
-    for r in blocks.collect():  # BLOCKS rows of fixed size
-        raw = zstandard.decompress(bytes(r["data"]))
-        odds[r["block"]] = np.frombuffer(raw[: len(raw) // 2], np.int8)
-        seen[r["block"]] = np.frombuffer(raw[len(raw) // 2 :], np.uint8)
-    at = np.cumsum([1 << b for b in BITS])[:-1]
-    odds, seen = np.split(odds.ravel(), at), np.split(seen.ravel(), at)
-
-    size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = src.count()
     # the least count that at most HOT_WORDS words reach, from how many words have each count;
     # then no task sends more rows than that, and the driver gets HOT_WORDS at most
@@ -443,6 +523,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         least = k
     top = short.filter(F.col("c") >= least).orderBy(F.col("c").desc(), "word").limit(HOT_WORDS).toPandas() if seen_times else short.limit(0).toPandas()
     c = top["c"].to_numpy(np.int64)
+    cold, once = int((size.n or 0) - c.sum()), size.once - int((c == 1).sum())
     size_of = np.array([len(w) for w in top["word"]] + [0], dtype=np.int64)
     data = np.frombuffer(b"".join(bytes(w) for w in top["word"]), dtype=np.uint8)
     sums, first = tx.prefix_hash(data), np.cumsum(size_of) - size_of
@@ -453,17 +534,23 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     train, distinct = (size.n or 0) + ends, size.v + (1 if ends else 0)
     words_code, word_odds = word_code(np.append(c, train - c.sum()))
     logs = np.log10(c.astype(np.float64) + 1)
-    return Model(code, odds, seen, h[by], logs, words_code, word_odds, train, distinct, ends), words
+    bits, word_bits = table_bits(size.v)
+    # words without codes are spelled as often as they occur; those with codes are examples
+    times = F.when((F.col("c") < least) | (F.length("word") > 64), F.col("c")).otherwise(F.lit(1).cast("long"))
+    odds, seen = _summed(words.select(times.alias("n"), "word").mapInArrow(_count_slots(code, bits), "block long, data binary"), bits)
+    before_odds, before_seen = _summed(src.mapInArrow(_count_contexts(words_code, h[by], word_bits), "block long, data binary"), word_bits)
+    new = (once + 1) / (cold + 2) if cold else 1.0
+    return Model(code, odds, seen, h[by], logs, words_code, word_odds, train, distinct, ends, before_odds, before_seen, cold, new), words
 
 
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, bits_per_byte double, words array<binary>, times array<int>"
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, n_bytes long, words array<binary>, spelled array<double>"
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _steps(batches, 3):
             u = units([x[-1] for x in part])
-            bits = reader(model).bits(u)
+            bits, spelled = reader(model).read(u)
             place, hit = find(model.hot, u.word)
             log = np.where(hit, model.hot_log[place], 0.0)
             text_of = np.repeat(np.arange(len(part)), u.tokens)
@@ -474,14 +561,13 @@ def _score(model: Model):
             n_bytes = np.add.reduceat(u.size[u.of], np.cumsum(u.tokens) - u.tokens)
             # words that aren't sent to all tasks, for the join with their counts
             use = np.flatnonzero((~hit & (u.size > 1))[u.of])
-            pair, times = np.unique(text_of[use] * len(u.word) + u.of[use], return_counts=True)
-            rare = pa.array(texts_of(u, pair % len(u.word)), pa.binary())
-            at = pa.array(np.searchsorted(pair // len(u.word), np.arange(len(part) + 1)).astype(np.int32))
+            rare = pa.array(texts_of(u, u.of[use]), pa.binary())
+            at = pa.array(np.searchsorted(text_of[use], np.arange(len(part) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in part], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
-                + [pa.array(u.tokens), pa.array(hot_log), pa.array(hot_n), pa.array(bits * np.log10(2)), pa.array(-bits / n_bytes)]
-                + [pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))],
-                ["key", "doc_id", "held_out", "n_tokens", "hot_log", "hot_known", "score", "bits_per_byte", "words", "times"],
+                + [pa.array(u.tokens), pa.array(hot_log), pa.array(hot_n), pa.array(bits * np.log10(2)), pa.array(n_bytes.astype(np.int64))]
+                + [pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(spelled[use] * np.log10(2)))],
+                ["key", "doc_id", "held_out", "n_tokens", "hot_log", "hot_known", "score", "n_bytes", "words", "spelled"],
             )
 
     return run
@@ -498,12 +584,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
     data = F.col("text").cast("binary")
     scored = cut(rows.select(key.alias("key"), "doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), data.alias("text")).mapInArrow(_score(model), SCORED))
-    cold = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("m"))
-    hits = cold.join(words, "word").groupBy("key").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("log"), F.sum("m").alias("known"))
+    cold = scored.select("key", F.explode(F.arrays_zip("words", "spelled")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.spelled").alias("s"))
+    # a known word's probability behind the mark: its share of the counts, and its spelling
+    share = F.col("c") * F.lit((1 - model.new) / max(model.cold, 1)) + F.lit(model.new) * F.pow(F.lit(10.0), "s")
+    gain = F.log10(share) - F.col("s") - F.lit(float(np.log10(model.new)))
+    hits = cold.join(words, "word").groupBy("key").agg(F.sum(F.log10(F.col("c") + 1)).alias("log"), F.count("*").alias("known"), F.sum(gain).alias("gain"))
     # rows that repeat share a key, so their words met the counts as often as there are rows
     copies = scored.groupBy("key").agg(F.count("*").alias("rows"))
-    extra = hits.join(copies, "key").select("key", (F.col("log") / F.col("rows")).alias("log"), (F.col("known") / F.col("rows")).cast("long").alias("known"))
+    each = [(F.col(x) / F.col("rows")).alias(x) for x in ("log", "gain")]
+    extra = hits.join(copies, "key").select("key", *each, (F.col("known") / F.col("rows")).cast("long").alias("known"))
     base = F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(model.train_tokens + model.distinct + 1)))
+    total = F.col("score") + F.coalesce("gain", F.lit(0.0))
     return scored.join(extra, "key", "left").select(
         "doc_id",
         "held_out",
@@ -511,6 +602,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
-        "bits_per_byte",
+        total.alias("score"),
+        (-total / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -79,3 +79,33 @@ def test_probabilities_add_up():
 
 def test_empty(spark):
     assert cm.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_before_predict_frequent_words(spark):
+    """Each word fixes the next one, so the words before tell what their frequencies don't."""
+    rng = np.random.default_rng(5)
+    names = ["w%03d" % i for i in range(200)]
+    rows = [(i, " ".join(names[(a + k) % 200] for k in range(30)), "k") for i, a in enumerate(rng.integers(0, 200, 400).tolist())]
+    rows += [(10_000, " ".join(names[k] for k in range(30)), "k"), (10_001, " ".join(rng.permutation(names[:30])), "k")]
+    by = {r.doc_id: r for r in cm.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert by[10_000].score > 0.7 * by[10_001].score
+
+
+def test_state_is_carried_through_a_text(spark):
+    rows = corpus(60)
+    rng = np.random.default_rng(7)
+    part = " ".join("".join(rng.choice(list("stuvwxyz"), 6)) for _ in range(150))  # longer than 1,000 bytes
+    once, often = (9_000, part, "k"), (9_001, " ".join([part] * 12), "k")
+    model, _ = cm.fit(spark.createDataFrame(rows, SCHEMA))
+    a, b = cm.Reader(model).bits(cm.units([once[1].encode(), often[1].encode()]))
+    assert b > 0.97 * 12 * a
+
+
+def test_words_without_codes_are_scored_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(cm, "HOT_WORDS", 3)
+    train = [(i, "aa bb cc " * 6 + "qqxy " * 4 + "zzvw" * (i == 1) + f" new{i:05d}k", "k") for i in range(0, 300)]
+    df = spark.createDataFrame(train + [(50_000, "qqxy", "k"), (50_001, "zzvw", "k")], SCHEMA)
+    by = {r.doc_id: r.score for r in cm.score(df).collect()}
+    assert by[50_000] > by[50_001] + 1.5
+    # tables grow with the number of distinct words
+    assert cm.table_bits(10**9)[0] > cm.table_bits(10**7)[0] > cm.table_bits(10**3)[0]
