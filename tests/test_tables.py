@@ -173,3 +173,11 @@ def test_runner(spark, tmp_path):
     out = runner.run_set(spark, [*sets.SETS["sorting"], runner.Algorithm("broken", lambda df: 1 / 0)], lambda n, seed: generate.elements(spark, n, seed), [50, 10**9], 1, runner.Options(runs=2, max_size=1000, log=lambda s: None), f"{tmp_path}/m")
     assert out.count() == 6 and spark.read.parquet(f"{tmp_path}/m").count() == 6
     assert set(sets.SETS) >= {"mst", "p-cmax", "apsd-weighted", "lazy-array"} and len(sets.SETS["mst"]) == 10
+
+
+def test_sorting_enumerations_give_every_element(spark):
+    values = [(i * 7919) % 3001 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "value long")
+    for a in sets.SETS["sorting"][1:]:
+        got = [r.value for r in sorted(a.solve(df).collect(), key=lambda r: r.seq)]
+        assert got == sorted(values, reverse=a.name == "enum-ihs")
