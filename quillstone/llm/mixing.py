@@ -151,11 +151,17 @@ def with_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         placed.join(cuts, LEAF)
         .filter("bucket = cut")
         .withColumn("sum", F.col("before") + F.sum("n").over(w))
+        .withColumn("of", F.count("*").over(Window.partitionBy(*LEAF, "at", "own")))
         .filter("sum <= rest")
+        .groupBy(*LEAF, "at", "own")
+        .agg(F.count("*").alias("fit"), F.max("of").alias("of"))
         .groupBy(*LEAF)
-        .agg(F.max(F.struct("at", "own")).alias("last"))
+        .agg(F.max(F.struct("at", "own", "fit", "of")).alias("e"))
+        .select(*LEAF, F.struct("e.at", "e.own").alias("last"), "e.fit", "e.of")
     )
-    edge = F.broadcast(cut(edge))  # at most one row a leaf
+    edge = cut(edge)  # at most one row a leaf
+    parted = edge.filter("fit < of").limit(1).count() > 0
+    edge = F.broadcast(edge)
     found = (
         keyed.join(shares, LEAF, "left")
         .withColumn("at", order())
@@ -165,7 +171,14 @@ def with_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     )
     inside = F.struct(F.col("at"), F.col("own")) <= F.col("last")
     partial = (F.col("rest") > 0) & F.coalesce((F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & inside), F.lit(False))
-    return found.select("row", *LEAF, (F.col("whole") + partial.cast("long")).alias("copies"), "budget")
+    copies = lambda partial: (F.col("whole") + partial.cast("long")).alias("copies")
+    if not parted:
+        return found.select("row", *LEAF, copies(partial), "budget")
+    # the cut falls among rows that repeat: as many of them as fit are taken
+    tie = F.coalesce((F.struct(F.col("at"), F.col("own")) == F.col("last")) & (F.col("fit") < F.col("of")), F.lit(False))
+    tied = found.filter(tie).withColumn("nth", F.row_number().over(Window.partitionBy(*LEAF).orderBy("at")))
+    others = found.filter(~tie).select("row", *LEAF, copies(partial), "budget")
+    return others.unionByName(tied.select("row", *LEAF, copies(F.col("nth") <= F.col("fit")), "budget"))
 
 
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:

@@ -79,3 +79,12 @@ def test_taken_rows_keep_their_columns(spark):
     assert 0.9 * n < m <= n
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df.filter("text is null")).count() == 0
+
+
+def test_cut_among_repeated_rows(spark):
+    """Of rows that repeat as many are taken as the budget holds."""
+    rows = [(1, "a b c", "en", "src1", 5, "x")] * 10
+    plan = mixing.Plan(weights=(), share=0.5, max_epochs=1)
+    got = mixing.with_copies(spark.createDataFrame(rows, SCHEMA), plan).collect()
+    assert sorted(r.copies for r in got) == [0] * 5 + [1] * 5
+    assert sum(3 * r.copies for r in got) <= got[0].budget
