@@ -1,24 +1,28 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is read as its tokens: lower-cased words and the end symbol. Each token becomes
-bits: a Huffman code over the ``HOT_WORDS`` most frequent training words, the end, and a
-mark for any other word, which is then spelled, closed by a space, in a Huffman code of
-the training bytes. Several contexts predict every bit, hashed into slots of zeros and
-ones: those of the word code its node, the word before with the node, and the two words
-before with the node, counted over all training tokens; spelled bits the last two and the
-last four bytes with the node, counted over all training words, those that are spelled as
-often as they occur. The longer is filled up from the shorter. Their log odds are mixed by
-weights of three sets; a gate, whether a bit is spelled and whether the word before was a
-frequent one, chooses among them. After every unit (a code or a spelling) the weights, and
-a table of hashed contexts of the text itself, move along the gradient of its bits, so the
-mix refines itself while it reads; both are carried through the whole text. A training word
-without a code is scored by the sum of two ways: its share of such words' counts, which a
-join brings, and its spelling. A text's score is the sum of log10 of the probabilities.
-
-Slot tables grow with the number of distinct training words (``table_bits``).
+A text is read as its tokens: lower-cased words, each closed by a space, and the end, a line
+feed. A byte becomes bits by a Huffman code of the training bytes that follow the byte before
+it. Five contexts predict every bit of every token, each hashed with the node of the code into
+slots of zeros and ones: the last four bytes, the word so far, the last short word (it tells
+language and topic) with the last three bytes, the word before with the word so far, and the
+two words before with it. The first two are counted over all training words, as often as they
+occur, the others over all training tokens. The log odds of a slot, drawn towards zero the more
+the less it holds, are mixed by weights of several sets; a gate, how often the word so far was
+seen and whether the word before is known to lead here, chooses among them. Two tables of the
+text itself, of words so far and of the last two bytes, are added. Weights and tables start
+alike for each text and follow the gradient of all bits after every ``BLOCK`` tokens, so a
+prediction rests on what came before it only, and the mix refines itself through the whole
+text. A new word has no mark or code of its own: it is spelled by the same bits, so
+the score is a probability over all strings. It is the sum of log10 over the tokens.
+
+Slot tables grow with the number of distinct training words (``table_bits``) up to
+``MOST_BITS``, which bounds the model that is sent to all tasks; beyond, contexts share slots,
+and an estimate is trusted by what its slot holds more than others bring into it in the mean.
+How words are counted for the base score (``HOT_WORDS`` by a list, the rest by a join) doesn't
+touch the score.
 
 Null texts are empty: one token, the end. Rows that repeat are scored alike; a row with a
-null id is learnt from. Words are counted by a 64-bit hash.
+null id is learnt from. Words are counted by a 64-bit hash. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -36,29 +40,41 @@ from pyspark.sql import functions as F
 from quillstone.llm import text as tx
 from quillstone.runtime import cut
 
-#: Least slots of each spelling context's table, and of the tables of words before, as powers of two.
-BITS, WORD_BITS = (20, 21), (16, 16)
-ORDERS = 3
+#: Contexts that depend on the word alone: its last four bytes, all so far; and all contexts,
+#: with those of the words before: the last short one, the last, the last two.
+SPELLING, CONTEXTS = 2, 5
+#: Bytes of a short word with its end.
+SHORT = 4
+#: Least slots of a context's table, and what a table has beyond the power of two that holds
+#: all distinct words; all as powers of two, and the most of any.
+LEAST_BITS, MORE = (18, 18, 18, 18, 18), (1, 3, 3, 3, 3)
+MOST_BITS = 22
 #: Blocks that counts are summed in.
 BLOCKS = 64
-OWN_SLOTS = 256
-LANES = 8192
-#: Bytes read side by side: bounds a task's memory.
+#: Tokens of a text between two steps along the gradient, and texts that are read side by side.
+BLOCK, LANES = 16, 256
+OWN_SLOTS = 2048
+#: Bytes taken at a time: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
-#: Words with codes of their own, whose counts are sent to all tasks; rarer ones are spelled and joined.
+#: Words whose counts for the base score are sent to all tasks; others are joined.
 HOT_WORDS = 1 << 17
-#: Where mixing starts: weights by gate and context, and rates of learning.
-START = np.array([[0.4, 0.3, 0.3], [0.4, 0.3, 0.3], [0.0, 1.0, 0.0]], dtype=np.float32)
-RATE, OWN_RATE = np.float32(0.004), np.float32(0.12)
-#: Counts' worth of the next shorter context in each estimate.
-BACKOFF = (0.8, 2.0)
+#: Eighths of a binary log of 1 + times seen that part gates: never, about once, a few, often.
+KNOWN = np.array([1, 12, 28])
+GATES = 2 * (len(KNOWN) + 1)
+#: Where mixing starts: weights by context; rates of learning of weights and of both own tables.
+START = np.array([0.4, 0.4, 0.4, 0.3, 0.3], dtype=np.float32)
+RATE, OWN_RATES = np.float32(0.004), (np.float32(0.1), np.float32(0.1))
+#: Counts' worth of no opinion in each slot, and of each other context that shares it in the mean.
+DOUBT, SHARED = (1.0, 1.0, 1.5, 1.0, 0.5), 1.5
 _C = np.uint32(0x9E3779B1)
+_D = np.uint32(0x85EBCA6B)
+_E = np.uint32(0x2C1B3C6D)
 
 
-def table_bits(distinct: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Sizes of the spelling tables and of those of words before, for so many distinct words."""
+def table_bits(distinct: int) -> tuple[int, ...]:
+    """Sizes of the tables for so many distinct words, as powers of two."""
     n = int(distinct).bit_length()
-    return tuple(max(b, n - 2 + k) for k, b in enumerate(BITS)), tuple(max(b, n - 1) for b in WORD_BITS)
+    return tuple(min(MOST_BITS, max(least, n + more)) for least, more in zip(LEAST_BITS, MORE))
 
 
 def is_training(id_col: Column) -> Column:
@@ -67,39 +83,46 @@ def is_training(id_col: Column) -> Column:
 
 @dataclass
 class Code:
-    """A Huffman code of the byte values: nodes and bits along each value's path."""
+    """Huffman codes of byte values, one for each byte before: nodes and bits along the paths."""
 
-    length: np.ndarray
+    length: np.ndarray  # by 256 * byte before + byte
     first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
 
 
-def huffman(counts: np.ndarray) -> Code:
-    """Every value has a code, as if seen once more; ties go to the smaller value."""
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and nodes and bits of all paths one after the other; every value has a code, as
+    if seen once more; ties go to the smaller value."""
     many = len(counts)
     heap = [(int(c) + 1, v) for v, c in enumerate(counts)]
     heapq.heapify(heap)
-    above, side = np.zeros(2 * many, dtype=np.int32), np.zeros(2 * many, dtype=np.uint8)
+    above, side = [0] * (2 * many), [0] * (2 * many)
     n = many
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        above[[a[1], b[1]]], side[[a[1], b[1]]] = n, (0, 1)
+        above[a[1]] = above[b[1]] = n
+        side[b[1]] = 1
         heapq.heappush(heap, (a[0] + b[0], n))
         n += 1
-    # all values climb to the root together; their steps are then read from the top
-    at, length, steps = np.arange(many), np.zeros(many, dtype=np.int64), []
-    while (on := at != n - 1).any():
-        steps.append((np.where(on, above[at] - many, -1).astype(np.int32), side[at]))
-        length += on
-        at = np.where(on, above[at], at)
-    first = np.cumsum(length) - length
-    node, bit = np.empty(int(length.sum()), np.uint32), np.empty(int(length.sum()), np.uint8)
-    for k, (x, y) in enumerate(steps):
-        on = x >= 0
-        place = first[on] + length[on] - 1 - k
-        node[place], bit[place] = x[on], y[on]
-    return Code(length, first, node, bit)
+    length, node, bit = [], [], []
+    for v in range(many):
+        path, at = [], v
+        while at != n - 1:
+            path.append((above[at] - many, side[at]))
+            at = above[at]
+        length.append(len(path))
+        node.extend(x for x, _ in reversed(path))
+        bit.extend(x for _, x in reversed(path))
+    return np.array(length), np.array(node, np.uint32), np.array(bit, np.uint8)
+
+
+def code_of(pairs: np.ndarray) -> Code:
+    """The code of how often each byte follows each, 256 by 256."""
+    got = [huffman(row) for row in pairs]
+    length = np.concatenate([x[0] for x in got])
+    node = np.concatenate([x[1] + np.uint32(256 * k) for k, x in enumerate(got)])
+    return Code(length, np.cumsum(length) - length, node, np.concatenate([x[2] for x in got]))
 
 
 @dataclass
@@ -137,45 +160,68 @@ def texts_of(u: Units, which: np.ndarray) -> list[bytes]:
 
 @dataclass
 class Decisions:
-    """All bits of distinct words, one after the other: slots by context, own slot, the bit."""
+    """All bits of distinct words, one after the other."""
 
     count: np.ndarray  # bits of each word
-    slots: list[np.ndarray]
+    slots: list[np.ndarray]  # by spelling context
+    two: np.ndarray  # hash of the last two bytes and the node
+    three: np.ndarray  # hash of the last three and the node
+    word: np.ndarray  # hash of the word so far and the node
     bit: np.ndarray
 
+    @property
+    def keys(self) -> list[np.ndarray]:
+        """What the contexts of words before are hashed with."""
+        return [self.three, self.word, self.word]
 
-def decisions(size: np.ndarray, data: np.ndarray, code: Code, orders: tuple[int, ...] = (0, 1), sizes: tuple[int, ...] = BITS) -> Decisions:
-    b = data.astype(np.uint32)
-    first = np.cumsum(size) - size
-    start = np.repeat(first, size)
-    pos = np.arange(len(b)) - start
 
-    def back(k: int) -> np.ndarray:
-        out = np.zeros_like(b)
-        out[k:] = b[:-k]
-        out[pos < k] = 0
-        return out
+def back(data: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """The byte ``k`` places before each in the same word, or 0."""
+    out = np.zeros(len(data), dtype=np.uint32)
+    out[k:] = data[:-k]
+    out[pos < k] = 0
+    return out
+
+
+def slot_of(h: np.ndarray, bits: int) -> np.ndarray:
+    h ^= h >> np.uint32(15)
+    h *= _E
+    h >>= np.uint32(32 - bits)
+    return h.view(np.int32)
+
+
+def _bits_of(begin: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Places of all bits of tokens whose words begin at ``begin`` and have ``c`` bits."""
+    return np.arange(int(c.sum())) + np.repeat(begin - (np.cumsum(c) - c), c)
 
-    two = back(1) | back(2) << np.uint32(8)
-    contexts = []
-    for k in orders:
-        if k == 0:
-            contexts.append(two | np.uint32(1 << 20))
-        else:
-            contexts.append((two | back(3) << np.uint32(16) | back(4) << np.uint32(24)) ^ np.uint32(0x5BD1E995))
-    length = code.length[data]
-    rep = np.repeat(np.arange(len(b), dtype=np.int32), length)
-    step = np.arange(len(rep), dtype=np.int32) + np.repeat((code.first[data] - (np.cumsum(length) - length)).astype(np.int32), length)
-    node = (code.node * np.uint32(0x85EBCA6B))[step]
-    slots = []
-    for k, c in zip(orders, contexts):
-        h = (c * _C)[rep]
+
+def decisions(size: np.ndarray, data: np.ndarray, code: Code, sizes: tuple[int, ...] = ()) -> Decisions:
+    """Bits of words that lie one after the other in ``data``; slots for the sizes given."""
+    first = np.cumsum(size) - size
+    start = np.repeat(first, size)
+    pos = np.arange(len(data)) - start
+    one, two = back(data, pos, 1), back(data, pos, 2)
+    three = two | back(data, pos, 3) << np.uint32(8)
+    sums = tx.prefix_hash(data)
+    so_far = (tx.mix((sums[:-1] - sums[start]) * tx.POWERS.get(len(data) + 1)[1][start]) >> np.uint64(32)).astype(np.uint32)
+    value = (one << np.uint32(8)) | data
+    length = code.length[value]
+    rep = np.repeat(np.arange(len(data), dtype=np.int32), length)
+    step = _bits_of(code.first[value], length)
+    node = code.node[step] * _D  # the byte before is in the node
+
+    def keyed(c: np.ndarray) -> np.ndarray:
+        h = c[rep]
         h ^= node
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        h >>= np.uint32(32 - sizes[k])
-        slots.append(h.view(np.int32))
-    return Decisions(np.add.reduceat(length, first) if len(first) else length, slots, code.bit[step])
+        h *= _C
+        return h
+
+    word, slots = keyed(so_far), []
+    if sizes:
+        four = three | back(data, pos, 4) << np.uint32(16) | np.uint32(1 << 24)
+        slots = [slot_of(keyed(four * _C), sizes[0]), slot_of(word.copy(), sizes[1])]
+    count = np.add.reduceat(length, first) if len(first) else length
+    return Decisions(count, slots, keyed(two * _C), keyed((three | np.uint32(1 << 25)) * _C), word, code.bit[step])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int = 0) -> Iterator[tuple]:
@@ -189,26 +235,30 @@ def _steps(batches, k: int = 0, limit: int = 0):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Times of each word; and, under keys that no word can be, of each byte value."""
-    total = np.zeros(256, dtype=np.int64)
+    """Times of each word; the end is the empty one."""
     for part in _steps(batches, 0, COUNT_BYTES):
         u = units([t for (t,) in part])
-        n = np.bincount(u.of, minlength=len(u.word))
-        total += np.bincount(u.data, np.repeat(n, u.size), 256).astype(np.int64)
-        real = u.size > 1
-        _, lead, inv = np.unique(u.word[real], return_index=True, return_inverse=True)
-        c = np.bincount(inv, n[real], len(lead)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(texts_of(u, np.flatnonzero(real)[lead]), pa.binary()), pa.array(c)], ["word", "c"])
-    yield pa.RecordBatch.from_arrays([pa.array([b" %d" % v for v in range(256)], pa.binary()), pa.array(total)], ["word", "c"])
+        n = np.bincount(u.of, minlength=len(u.word)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(texts_of(u, np.arange(len(u.word))), pa.binary()), pa.array(n)], ["word", "c"])
+
+
+def _closed(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, sizes and bytes of counted words with what closes them."""
+    n = np.array([n for n, _ in part])
+    size = np.array([len(w) + 1 for _, w in part])
+    return n, size, np.frombuffer(b"".join(w + b" " if w else b"\n" for _, w in part), dtype=np.uint8)
 
 
-def _add(table: np.ndarray, code: Code, size: np.ndarray, data: np.ndarray, n: np.ndarray, order: int, sizes: tuple[int, ...]) -> None:
-    """Add the bits of words, each ``n`` times, to a context's zeros and ones; some words at a time."""
-    ends = np.cumsum(size)
-    for a in range(0, len(size), 100_000):
-        b = min(a + 100_000, len(size))
-        d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, (order,), sizes)
-        np.add.at(table, 2 * d.slots[0] + d.bit, np.repeat(n[a:b].astype(np.uint32), d.count))
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte follows each in words, by 256 * byte before + byte."""
+    total = np.zeros(1 << 16, dtype=np.int64)
+    for part in _steps(batches, 1):
+        n, size, data = _closed(part)
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        value = back(data, pos, 1) << np.uint32(8) | data
+        np.add.at(total, value, np.repeat(n, size))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
 
 def _blocks(flat: np.ndarray) -> pa.RecordBatch:
@@ -216,19 +266,21 @@ def _blocks(flat: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def _count_slots(code: Code, sizes: tuple[int, ...]):
-    """Zeros and ones of the spelling contexts over a task's words, ``n`` times each, as compressed blocks."""
+def _count_spelling(code: Code, sizes: tuple[int, ...]):
+    """Zeros and ones of the spelling contexts over a task's distinct words, as compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
-        for part in _steps(batches, 1, STEP_BYTES):
-            any_, at = True, 0
-            n = np.array([n for n, _ in part])
-            size = np.array([len(t) + 1 for _, t in part])
-            data = np.frombuffer(b"".join(t + b" " for _, t in part), dtype=np.uint8)
-            for k, bits in enumerate(sizes):
-                _add(flat[at : at + (2 << bits)], code, size, data, n, k, sizes)
-                at += 2 << bits
+        for part in _steps(batches, 1):
+            any_, (n, size, data) = True, _closed(part)
+            ends = np.cumsum(size)
+            for a in range(0, len(size), 50_000):
+                b = min(a + 50_000, len(size))
+                d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, sizes)
+                times, at = np.repeat(n[a:b].astype(np.uint32), d.count), 0
+                for k, bits in enumerate(sizes):
+                    np.add.at(flat[at : at + (2 << bits)], 2 * d.slots[k] + d.bit, times)
+                    at += 2 << bits
         if any_:
             yield _blocks(flat)
 
@@ -236,43 +288,38 @@ def _count_slots(code: Code, sizes: tuple[int, ...]):
 
 
 def before(u: Units) -> list[np.ndarray]:
-    """Hashes of the word before and of the two words before each token; a text follows an end."""
-    h = u.word[u.of]
-    one, two = np.zeros_like(h), np.zeros_like(h)
-    one[1:], two[2:] = h[:-1], h[:-2]
+    """Hashes of the last short word, of the word before and of the two words before each token,
+    all of the same text."""
+    h, n = u.word[u.of], len(u.of)
     first = np.cumsum(u.tokens) - u.tokens
-    one[first], two[first] = tx.mix(np.zeros(1, np.uint64))[0], np.uint64(1)
+    began, at = np.repeat(first, u.tokens), np.arange(n)
+    none = tx.mix(np.arange(3, dtype=np.uint64))
+    short = np.maximum.accumulate(np.where((u.size <= SHORT)[u.of], at, -1))
+    last = np.concatenate(([-1], short[:-1]))
+    topic = np.where(last >= began, h[np.maximum(last, 0)], none[0])
+    one = np.where(at - 1 >= began, h[np.maximum(at - 1, 0)], none[1])
+    two = np.where(at - 2 >= began, h[np.maximum(at - 2, 0)], none[2])
     both = tx.mix(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(7))
-    return [(tx.mix(x + np.uint64(3)) >> np.uint64(32)).astype(np.uint32) for x in (one, both)]
+    return [(tx.mix(x + np.uint64(3)) >> np.uint64(32)).astype(np.uint32) for x in (topic, one, both)]
 
 
-def word_slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = context ^ node
-    h *= _C
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    h >>= np.uint32(32 - bits)
-    return h
-
-
-def _count_contexts(words: Code, hot: np.ndarray, sizes: tuple[int, ...]):
-    """Zeros and ones of the words before with each node, over all tokens of a task."""
-    nodes = words.node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+def _count_contexts(code: Code, sizes: tuple[int, ...]):
+    """Zeros and ones of the contexts of words before, over all tokens of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
-        for part in _steps(batches, 0, STEP_BYTES):
+        for part in _steps(batches):
             any_ = True
             u = units([t for (t,) in part])
-            place, hit = find(hot, u.word)
-            place, contexts = np.where(hit, place, len(hot))[u.of], before(u)
-            for a in range(0, len(place), 100_000):
-                of = place[a : a + 100_000]
-                c = words.length[of]
-                i = np.arange(int(c.sum())) + np.repeat(words.first[of] - (np.cumsum(c) - c), c)
-                node, bit, at = nodes[i], words.bit[i], 0
+            d, contexts = decisions(u.size, u.data, code), before(u)
+            begin = np.cumsum(d.count) - d.count
+            for a in range(0, len(u.of), 50_000):
+                of = u.of[a : a + 50_000]
+                c = d.count[of]
+                i = _bits_of(begin[of], c)
+                bit, at = d.bit[i], 0
                 for k, bits in enumerate(sizes):
-                    slot = word_slots(np.repeat(contexts[k][a : a + 100_000], c), node, bits).astype(np.int64)
+                    slot = slot_of(np.repeat(contexts[k][a : a + 50_000], c) ^ d.keys[k][i], bits)
                     np.add.at(flat[at : at + (2 << bits)], 2 * slot + bit, np.uint32(1))
                     at += 2 << bits
         if any_:
@@ -281,23 +328,10 @@ def _count_contexts(words: Code, hot: np.ndarray, sizes: tuple[int, ...]):
     return run
 
 
-def _summed(blocks: DataFrame, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Both bytes (see ``_small``) of every table, from blocks of all tasks."""
-    n, slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(1 << b for b in sizes)
-    blocks = blocks.repartition(min(n, BLOCKS), "block").sortWithinPartitions("block").mapInArrow(_add_slots, "block long, data binary")
-    odds, seen = np.zeros((BLOCKS, slots // BLOCKS), np.int8), np.zeros((BLOCKS, slots // BLOCKS), np.uint8)
-    for r in blocks.toLocalIterator():  # a partition's blocks at a time
-        raw = zstandard.decompress(bytes(r["data"]))
-        odds[r["block"]] = np.frombuffer(raw[: len(raw) // 2], np.int8)
-        seen[r["block"]] = np.frombuffer(raw[len(raw) // 2 :], np.uint8)
-    at = np.cumsum([1 << b for b in sizes])[:-1]
-    return np.split(odds.ravel(), at), np.split(seen.ravel(), at)
-
-
 def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of (zeros, ones) in twelfths, and eighths of the binary log of 1 + their sum: a byte each."""
     n = n.astype(np.float64)
-    odds = (np.log(n[:, 1] + 0.4) - np.log(n[:, 0] + 0.4)) * 12
+    odds = (np.log(n[:, 1] + 0.02) - np.log(n[:, 0] + 0.02)) * 12
     return np.clip(odds, -127, 127).round().astype(np.int8), np.minimum(8 * np.log2(1 + n.sum(axis=1)), 255).round().astype(np.uint8)
 
 
@@ -321,163 +355,98 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-@dataclass
-class Model:
-    code: Code  # of bytes
-    odds: list[np.ndarray]  # of each spelling context's slots, int8, twelfths
-    seen: list[np.ndarray]  # uint8, see ``_small``
-    hot: np.ndarray  # hashes of the frequent words and of the end, an empty word; sorted
-    hot_log: np.ndarray  # log10(count + 1)
-    words: Code  # of those, and last of the mark for any other
-    word_odds: np.ndarray  # log odds of each of its nodes
-    train_tokens: int
-    distinct: int
-    ends: int
-    before_odds: list[np.ndarray] = field(default_factory=list)  # of the slots of words before
-    before_seen: list[np.ndarray] = field(default_factory=list)
-    cold: int = 0  # tokens of training words without codes
-    new: float = 1.0  # share of words without codes that no training text has
-
-
-def word_code(counts: np.ndarray) -> tuple[Code, np.ndarray]:
-    """A Huffman code and the log odds of its nodes' ones."""
-    code = huffman(counts)
-    n = np.zeros((max(1, len(counts) - 1), 2))
-    np.add.at(n, (code.node, code.bit), np.repeat(counts + 0.4, code.length))
-    return code, (np.log(n[:, 1] + 0.4) - np.log(n[:, 0] + 0.4)).astype(np.float32)
+def _summed(blocks: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Every table: a slot's two bytes (see ``_small``) in one number, from blocks of all tasks."""
+    n, slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(1 << b for b in sizes)
+    blocks = blocks.repartition(min(n, BLOCKS), "block").sortWithinPartitions("block").mapInArrow(_add_slots, "block long, data binary")
+    cells = np.zeros((BLOCKS, slots // BLOCKS), np.uint16)
+    for r in blocks.toLocalIterator():  # a partition's blocks at a time
+        raw = np.frombuffer(zstandard.decompress(bytes(r["data"])), np.uint8)
+        odds, seen = raw[: len(raw) // 2], raw[len(raw) // 2 :].astype(np.uint16)
+        cells[r["block"]] = odds | seen << np.uint16(8)
+    return np.split(cells.ravel(), np.cumsum([1 << b for b in sizes])[:-1])
 
 
 _TIMES = (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
-_SHARE = np.roll((1 / (1 + np.exp(-np.arange(-128, 128) / 12))).astype(np.float32), 128)  # by byte
-
 
-def static(model: Model, size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What doesn't change while reading, for all bits of spelled words: log odds by context, slot in
-    the text's own table, the bit; and the bits of each word."""
-    d = decisions(size, data, model.code, (0, 1), tuple(len(x).bit_length() - 1 for x in model.odds))
-    inputs, p = np.zeros((2, len(d.bit)), np.float32), np.float32(0.5)
-    for k in range(len(BITS)):  # the longer context's estimate is filled up from the shorter one
-        n = _TIMES[model.seen[k][d.slots[k]]]
-        own = _SHARE[model.odds[k].view(np.uint8)[d.slots[k]]]
-        own *= n
-        n += np.float32(BACKOFF[k])
-        own += np.float32(BACKOFF[k]) * p
-        own /= n
-        p = own
-        inputs[k] = np.log(p / (1 - p))
-    return inputs, (d.slots[0] & (OWN_SLOTS - 1)).astype(np.int16), d.bit, d.count
 
+@dataclass
+class Model:
+    code: Code
+    cells: list[np.ndarray]  # by context: slots, see ``_summed``
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of words counted here, sorted
+    hot_log: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10(count + 1)
+    train_tokens: int = 0
+    distinct: int = 0
 
-def _own_slot(node: np.ndarray) -> np.ndarray:
-    return (node.astype(np.uint32) * _C >> np.uint32(7)).astype(np.int64) & (OWN_SLOTS - 1)
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        return tuple(len(x).bit_length() - 1 for x in self.cells)
 
 
 class Reader:
-    """A model with the fixed part of the word code worked out, once a process."""
+    """A model with the log odds of all cells worked out, once a process."""
 
     def __init__(self, model: Model) -> None:
-        self.model, n = model, len(model.words.node)
-        node, self.hot = model.words.node, n
-        self.inputs = np.zeros((2, n), np.float32)
-        self.inputs[0] = model.word_odds[node]
-        self.prob = 1 / (1 + np.exp(-self.inputs[0]))
-        self.node = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-        self.own, self.bit = _own_slot(node).astype(np.int16), model.words.bit
-        # slots of words before: both bytes in one; a slot is trusted by what it holds
-        # beyond what other contexts bring into it in the mean
-        self.cells = [o.view(np.uint8).astype(np.uint16) | s.astype(np.uint16) << np.uint16(8) for o, s in zip(model.before_odds, model.before_seen)]
-        load = [float(np.bincount(s, minlength=256) @ _TIMES) / len(s) for s in model.before_seen]
-        self.trust = [_TIMES / (_TIMES + np.float32(1 + 2 * x)) for x in load]
-
-    def bits(self, u: Units) -> np.ndarray:
+        self.model, self.sizes, self.odds = model, model.sizes, []
+        odds = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float32) / 12
+        for cells, doubt in zip(model.cells, DOUBT):
+            free = max(np.count_nonzero(cells < 256) / len(cells), 1e-3)
+            others = -np.log(free)  # contexts and nodes that share a slot in the mean
+            trust = (_TIMES / (_TIMES + np.float32(doubt + SHARED * others))).astype(np.float32)
+            self.odds.append((trust[:, None] * odds).ravel())
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
         """log2 probability of each text."""
-        return self.read(u)[0]
-
-    def read(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
-        """log2 probability of each text, all words without codes being spelled; and of each
-        token's spelling, 0 for frequent words."""
-        words = self.model.words
-        place, is_hot = find(self.model.hot, u.word)
-        cold = np.flatnonzero(~is_hot)
-        at = np.arange(u.size[cold].sum()) + np.repeat(u.first[cold] - (np.cumsum(u.size[cold]) - u.size[cold]), u.size[cold])
-        x, own, bit, count = static(self.model, u.size[cold], u.data[at]) if len(cold) else (np.empty((2, 0), np.float32), np.zeros(0, np.int16), np.zeros(0, np.uint8), np.zeros(0, np.int64))
-        need = self.hot + len(bit)
-        if need > len(self.bit):  # behind the word code there is room for spellings
-            grow = need + len(bit) // 2 - len(self.bit)
-            self.inputs = np.concatenate([self.inputs, np.empty((2, grow), np.float32)], axis=1)
-            self.own, self.bit = np.concatenate([self.own, np.empty(grow, np.int16)]), np.concatenate([self.bit, np.empty(grow, np.uint8)])
-        self.inputs[:, self.hot : need], self.own[self.hot : need], self.bit[self.hot : need] = x, own, bit
-        spell, spell_bits = np.zeros(len(u.size), np.int64), np.zeros(len(u.size), np.int64)
-        spell[cold], spell_bits[cold] = self.hot + np.cumsum(count) - count, count
-
-        # units: the code of every token, and behind the mark the spelling of other words
-        hot = is_hot[u.of]
-        code = np.where(is_hot, place, len(words.length) - 1)[u.of]
-        after = np.ones(len(hot), dtype=np.int8)  # the word before, which is known when a word begins
-        after[1:] = hot[:-1]
-        after[np.cumsum(u.tokens) - u.tokens] = 1
-        where = np.cumsum(1 + ~hot) - (1 + ~hot)
-        n = len(hot) + int((~hot).sum())
-        begin, bits, gate = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, 2, np.int8)
-        contexts = [np.zeros(n, np.uint32) for _ in self.cells]
-        begin[where], bits[where], gate[where] = words.first[code], words.length[code], after
-        for c, h in zip(contexts, before(u)):
-            c[where] = h
-        spelled = where[~hot] + 1
-        begin[spelled], bits[spelled] = spell[u.of[~hot]], spell_bits[u.of[~hot]]
-        first = where[np.cumsum(u.tokens) - u.tokens]
-        loss = self._read(first, np.diff(np.append(first, n)), begin, bits, gate, contexts)
-        own_loss = np.zeros(len(hot))
-        own_loss[~hot] = loss[spelled]
-        loss[spelled] += np.log2(self.model.new)
-        return np.add.reduceat(loss, first), own_loss
-
-    def _read(self, first: np.ndarray, n: np.ndarray, begin: np.ndarray, bits: np.ndarray, gate: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """log2 probability of each unit; lanes are whole texts, those of most units first."""
-        out = np.zeros(len(begin))
-        order = np.argsort(-n, kind="stable")
-        sizes = [len(c).bit_length() - 1 for c in self.cells]
+        u = units(texts)
+        return np.add.reduceat(self.read(u), np.cumsum(u.tokens) - u.tokens)
+
+    def read(self, u: Units) -> np.ndarray:
+        """log2 probability of each token; texts of most tokens come first, ``LANES`` side by side."""
+        d = decisions(u.size, u.data, self.model.code, self.sizes)
+        cells = [self.model.cells[k][slots] for k, slots in enumerate(d.slots)]  # they depend on the word alone
+        fixed = [odds[cell] for odds, cell in zip(self.odds, cells)]
+        gate = np.searchsorted(KNOWN, cells[1] >> np.uint16(8), side="right").astype(np.int32)
+        shift = np.uint32(32 - OWN_SLOTS.bit_length() + 1)
+        owns = [(h * _E >> shift).view(np.int32) for h in (d.word, d.two)]
+        begin, contexts, first = np.cumsum(d.count) - d.count, before(u), np.cumsum(u.tokens) - u.tokens
+        out = np.zeros(len(u.of))
+        order = np.argsort(-u.tokens, kind="stable")
         for s in range(0, len(order), LANES):
             lanes = order[s : s + LANES]
-            width, size, start = len(lanes), n[lanes], first[lanes]
-            live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-            w = [np.repeat(START[:, k], width) for k in range(ORDERS)]  # by gate and lane
-            own, lane = np.zeros(width * OWN_SLOTS, dtype=np.float32), np.arange(width)
-            for t, m in enumerate(live.tolist()):
-                unit = start[:m] + t
-                c = bits[unit]
-                lead = np.cumsum(c)
-                many = int(lead[-1])
-                lead -= c
-                i = np.arange(many) + np.repeat(begin[unit] - lead, c)
-                g = gate[unit]
-                mine = g * np.int64(width) + lane[:m]
-                slot = np.repeat(lane[:m] * OWN_SLOTS, c)
-                slot += self.own[i]
-                x = [self.inputs[0][i], self.inputs[1][i], np.zeros(many, np.float32)]
-                coded = np.flatnonzero(np.repeat(g < 2, c))
-                if len(coded):
-                    j = i[coded]
-                    p, node = self.prob[j], self.node[j]
-                    x[1][coded] = x[2][coded] = x[0][coded]
-                    for k, cells in enumerate(self.cells):  # the longer is filled up from the shorter
-                        cell = cells[word_slots(np.repeat(contexts[k][unit], c)[coded], node, sizes[k])]
-                        p = p + self.trust[k][cell >> np.uint16(8)] * (_SHARE[cell & np.uint16(255)] - p)
-                        np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
-                        x[k + 1][coded] = np.log(p / (1 - p))
-                z = own[slot]
-                for k in range(ORDERS):
-                    z += np.repeat(w[k][mine], c) * x[k]
-                np.clip(z, np.float32(-12), np.float32(12), out=z)
-                np.negative(z, out=z)
-                np.exp(z, out=z)
-                z += 1
-                err = self.bit[i] - 1 / z
-                out[unit] = np.add.reduceat(np.log2(1 - np.abs(err)), lead)
-                np.add.at(own, slot, OWN_RATE * err)
+            size, start = u.tokens[lanes], first[lanes]
+            w = [np.full(len(lanes) * GATES, x, np.float32) for x in START]
+            tables = [np.zeros(len(lanes) * OWN_SLOTS, np.float32) for _ in owns]
+            for b in range(0, int(size[0]), BLOCK):
+                live = int(np.searchsorted(-size, -b, side="left"))
+                n = np.minimum(size[:live] - b, BLOCK)
+                token = _bits_of(start[:live] + b, n)
+                of = u.of[token]
+                c = d.count[of]
+                lead = np.cumsum(c) - c
+                i = _bits_of(begin[of], c)
+                lane = np.repeat(np.repeat(np.arange(live, dtype=np.int32), n), c)
+                xs, g, word = [x[i] for x in fixed], gate[i] + lane * GATES, d.word[i]
+                for k in range(SPELLING, CONTEXTS):
+                    h = np.repeat(contexts[k - SPELLING][token], c)
+                    h ^= d.three[i] if k == SPELLING else word
+                    cell = self.model.cells[k][slot_of(h, self.sizes[k])]
+                    xs.append(self.odds[k][cell])
+                    if k == SPELLING + 1:
+                        g += (cell > 255) * np.int32(GATES // 2)
+                slots = [own[i] + lane * OWN_SLOTS for own in owns]
+                z = tables[0][slots[0]] + tables[1][slots[1]]
+                for v, x in zip(w, xs):
+                    z += v[g] * x
+                np.clip(z, -12, 12, out=z)
+                err = d.bit[i] - 1 / (1 + np.exp(-z))
+                out[token] = np.add.reduceat(np.log2(1 - np.abs(err)), lead)
+                # one step along the gradient of the block's bits
+                for table, slot, rate in zip(tables, slots, OWN_RATES):
+                    np.add.at(table, slot, rate * err)
                 err *= RATE
-                for k in range(ORDERS):
-                    w[k][mine] += np.add.reduceat(err * x[k], lead)
+                for v, x in zip(w, xs):
+                    v[: live * GATES] += np.bincount(g, err * x, live * GATES)
         return out
 
 
@@ -493,81 +462,77 @@ _READERS: dict[tuple, Reader] = {}
 
 
 def reader(model: Model) -> Reader:
-    key = (model.train_tokens, model.distinct, len(model.hot), int(model.hot[:1].sum()), float(model.word_odds.sum()), int(model.seen[0].astype(np.int64).sum()))
+    key = (model.train_tokens, model.distinct, len(model.hot), *(int(c.astype(np.int64).sum()) for c in model.cells))
     if key not in _READERS:
         _READERS.clear()
         _READERS[key] = Reader(model)
     return _READERS[key]
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and ``(word, c)`` counts of all words, from all texts of ``docs(text)``."""
-    src = docs.select(F.col("text").cast("binary").alias("text"))
-    counted = cut(src.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    is_byte = F.substring("word", 1, 1) == F.lit(b" ")
-    values = np.zeros(256, dtype=np.int64)
-    for r in counted.filter(is_byte).collect():
-        values[int(bytes(r["word"]))] = r["c"]
-    code, words = huffman(values), counted.filter(~is_byte)
-    size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    ends = src.count()
-    # the least count that at most HOT_WORDS words reach, from how many words have each count;
-    # then no task sends more rows than that, and the driver gets HOT_WORDS at most
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """As ``units`` names them."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    sums, first = tx.prefix_hash(data), np.cumsum(size) - size
+    return tx.mix((sums[first + size] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
+
+
+def _hot(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of at most ``HOT_WORDS`` words: those above the least count that so many
+    reach, from how many words have each count; no task sends more rows than that."""
     short = words.filter(F.length("word") <= 64)  # words of great length are left to the join
     level = F.least("c", F.lit(1 << 16))
-    seen_times = sorted(((r["k"], r["count"]) for r in short.groupBy(level.alias("k")).count().collect()), reverse=True)
-    least, total = 1 << 16, 0
-    for k, many in seen_times:
+    least, total = (1 << 16) + 1, 0
+    for k, many in sorted(((r["k"], r["count"]) for r in short.groupBy(level.alias("k")).count().collect()), reverse=True):
         if (total := total + many) > HOT_WORDS:
             break
         least = k
-    top = short.filter(F.col("c") >= least).orderBy(F.col("c").desc(), "word").limit(HOT_WORDS).toPandas() if seen_times else short.limit(0).toPandas()
-    c = top["c"].to_numpy(np.int64)
-    cold, once = int((size.n or 0) - c.sum()), size.once - int((c == 1).sum())
-    size_of = np.array([len(w) for w in top["word"]] + [0], dtype=np.int64)
-    data = np.frombuffer(b"".join(bytes(w) for w in top["word"]), dtype=np.uint8)
-    sums, first = tx.prefix_hash(data), np.cumsum(size_of) - size_of
-    h = tx.mix((sums[first + size_of] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
-    by = np.argsort(h)  # the end, an empty word, is among them
-    c = np.append(c, ends)[by]
-    # the end is a token too: counted once for each text
-    train, distinct = (size.n or 0) + ends, size.v + (1 if ends else 0)
-    words_code, word_odds = word_code(np.append(c, train - c.sum()))
-    logs = np.log10(c.astype(np.float64) + 1)
-    bits, word_bits = table_bits(size.v)
-    # words without codes are spelled as often as they occur; those with codes are examples
-    times = F.when((F.col("c") < least) | (F.length("word") > 64), F.col("c")).otherwise(F.lit(1).cast("long"))
-    odds, seen = _summed(words.select(times.alias("n"), "word").mapInArrow(_count_slots(code, bits), "block long, data binary"), bits)
-    before_odds, before_seen = _summed(src.mapInArrow(_count_contexts(words_code, h[by], word_bits), "block long, data binary"), word_bits)
-    new = (once + 1) / (cold + 2) if cold else 1.0
-    return Model(code, odds, seen, h[by], logs, words_code, word_odds, train, distinct, ends, before_odds, before_seen, cold, new), words
-
-
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, n_bytes long, words array<binary>, spelled array<double>"
+    top = short.filter(F.col("c") >= least).toPandas()
+    h = word_hashes([bytes(w) for w in top["word"]])
+    by = np.argsort(h)
+    return h[by], top["c"].to_numpy(np.int64)[by]
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and ``(word, c)`` counts of all words, from all texts of ``docs(text)``."""
+    src = docs.select(F.col("text").cast("binary").alias("text"))
+    words = cut(src.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    counted = words.select(F.col("c").alias("n"), "word")
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    for r in counted.mapInArrow(_count_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        pairs[r["pair"]] = r["c"]
+    code, sizes = code_of(pairs.reshape(256, 256)), table_bits(size.v)
+    cells = _summed(counted.mapInArrow(_count_spelling(code, sizes[:SPELLING]), "block long, data binary"), sizes[:SPELLING])
+    cells += _summed(src.mapInArrow(_count_contexts(code, sizes[SPELLING:]), "block long, data binary"), sizes[SPELLING:])
+    hot, c = _hot(words)
+    return Model(code, cells, hot, np.log10(c.astype(np.float64) + 1), size.n or 0, size.v), words
+
+
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, n_bytes long, words array<binary>"
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _steps(batches, 3):
             u = units([x[-1] for x in part])
-            bits, spelled = reader(model).read(u)
+            first = np.cumsum(u.tokens) - u.tokens
+            bits = np.add.reduceat(reader(model).read(u), first)
             place, hit = find(model.hot, u.word)
-            log = np.where(hit, model.hot_log[place], 0.0)
+            log = np.zeros(len(hit))
+            log[hit] = model.hot_log[place[hit]]
             text_of = np.repeat(np.arange(len(part)), u.tokens)
             hot_log = np.bincount(text_of, log[u.of], len(part))
             hot_n = np.bincount(text_of, hit[u.of], len(part)).astype(np.int64)
-            if not model.ends:
-                hot_n -= 1  # an end that no text was learnt from isn't known
-            n_bytes = np.add.reduceat(u.size[u.of], np.cumsum(u.tokens) - u.tokens)
-            # words that aren't sent to all tasks, for the join with their counts
-            use = np.flatnonzero((~hit & (u.size > 1))[u.of])
+            n_bytes = np.add.reduceat(u.size[u.of], first)
+            use = np.flatnonzero(~hit[u.of])  # for the join with their counts
             rare = pa.array(texts_of(u, u.of[use]), pa.binary())
             at = pa.array(np.searchsorted(text_of[use], np.arange(len(part) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in part], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
                 + [pa.array(u.tokens), pa.array(hot_log), pa.array(hot_n), pa.array(bits * np.log10(2)), pa.array(n_bytes.astype(np.int64))]
-                + [pa.ListArray.from_arrays(at, rare), pa.ListArray.from_arrays(at, pa.array(spelled[use] * np.log10(2)))],
-                ["key", "doc_id", "held_out", "n_tokens", "hot_log", "hot_known", "score", "n_bytes", "words", "spelled"],
+                + [pa.ListArray.from_arrays(at, rare)],
+                ["key", "doc_id", "held_out", "n_tokens", "hot_log", "hot_known", "score", "n_bytes", "words"],
             )
 
     return run
@@ -584,17 +549,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
     data = F.col("text").cast("binary")
     scored = cut(rows.select(key.alias("key"), "doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), data.alias("text")).mapInArrow(_score(model), SCORED))
-    cold = scored.select("key", F.explode(F.arrays_zip("words", "spelled")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.spelled").alias("s"))
-    # a known word's probability behind the mark: its share of the counts, and its spelling
-    share = F.col("c") * F.lit((1 - model.new) / max(model.cold, 1)) + F.lit(model.new) * F.pow(F.lit(10.0), "s")
-    gain = F.log10(share) - F.col("s") - F.lit(float(np.log10(model.new)))
-    hits = cold.join(words, "word").groupBy("key").agg(F.sum(F.log10(F.col("c") + 1)).alias("log"), F.count("*").alias("known"), F.sum(gain).alias("gain"))
+    # counts of a word in a text are added before the words are dealt out, so that no word is hot
+    cold = scored.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    hits = cold.join(words, "word").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"), F.sum("n").alias("known"))
     # rows that repeat share a key, so their words met the counts as often as there are rows
     copies = scored.groupBy("key").agg(F.count("*").alias("rows"))
-    each = [(F.col(x) / F.col("rows")).alias(x) for x in ("log", "gain")]
-    extra = hits.join(copies, "key").select("key", *each, (F.col("known") / F.col("rows")).cast("long").alias("known"))
+    extra = hits.join(copies, "key").select("key", (F.col("log") / F.col("rows")).alias("log"), (F.col("known") / F.col("rows")).cast("long").alias("known"))
     base = F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(model.train_tokens + model.distinct + 1)))
-    total = F.col("score") + F.coalesce("gain", F.lit(0.0))
     return scored.join(extra, "key", "left").select(
         "doc_id",
         "held_out",
@@ -602,6 +563,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        total.alias("score"),
-        (-total / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("score"),
+        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
