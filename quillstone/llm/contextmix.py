@@ -28,8 +28,10 @@ null id is learnt from. Words are counted by a 64-bit hash. Texts of any length
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,8 @@ MOST_BITS = 22
 BLOCKS = 64
 #: Tokens of a text between two steps along the gradient, and texts that are read side by side.
 BLOCK, LANES = 16, 256
-OWN_SLOTS = 2048
+#: Slots of a text's own tables, as a power of two.
+OWN_BITS = 11
 #: Bytes taken at a time: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
 #: Words whose counts for the base score are sent to all tasks; others are joined.
@@ -66,8 +69,9 @@ START = np.array([0.4, 0.4, 0.4, 0.3, 0.3], dtype=np.float32)
 RATE, OWN_RATES = np.float32(0.004), (np.float32(0.1), np.float32(0.1))
 #: Counts' worth of no opinion in each slot, and of each other context that shares it in the mean.
 DOUBT, SHARED = (1.0, 1.0, 1.5, 1.0, 0.5), 1.5
+#: Slots that lie together for a context's nodes; rarer nodes share them.
+NODES = 32
 _C = np.uint32(0x9E3779B1)
-_D = np.uint32(0x85EBCA6B)
 _E = np.uint32(0x2C1B3C6D)
 
 
@@ -121,7 +125,8 @@ def code_of(pairs: np.ndarray) -> Code:
     """The code of how often each byte follows each, 256 by 256."""
     got = [huffman(row) for row in pairs]
     length = np.concatenate([x[0] for x in got])
-    node = np.concatenate([x[1] + np.uint32(256 * k) for k, x in enumerate(got)])
+    # the root is 0, and nodes that are passed more often come before others
+    node = np.concatenate([(len(pairs) - 2 - x[1]) & (NODES - 1) for x in got]).astype(np.uint8)
     return Code(length, np.cumsum(length) - length, node, np.concatenate([x[2] for x in got]))
 
 
@@ -129,44 +134,49 @@ def code_of(pairs: np.ndarray) -> Code:
 class Units:
     """Distinct words (with what closes them) of some texts, and where the texts use them."""
 
-    size: np.ndarray  # bytes of each distinct word with its end
+    names: list[bytes]  # each without its end; the end of a text is the empty one
+    size: np.ndarray  # bytes of each with its end
     data: np.ndarray  # their bytes, one after the other
-    first: np.ndarray  # where each begins in them
     word: np.ndarray  # hash of each without its end
     of: np.ndarray  # distinct word at every token place
-    tokens: np.ndarray  # of each text: its words, and an empty one for the end
+    tokens: np.ndarray  # of each text
 
 
-def units(texts: list[bytes]) -> Units:
-    split = [t.lower().split() for t in texts]
-    n_words = np.array([len(w) for w in split])
-    buf = np.frombuffer(b"".join(b" ".join([*w, b"\n"]) for w in split), dtype=np.uint8)
-    ends = np.flatnonzero((buf == 32) | (buf == 10))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    sums, down = tx.prefix_hash(buf), tx.POWERS.get(len(buf) + 1)[1][starts]
-    whole = tx.mix((sums[ends + 1] - sums[starts]) * down)
-    _, lead, of = np.unique(whole, return_index=True, return_inverse=True)
-    word = tx.mix((sums[ends[lead]] - sums[starts[lead]]) * down[lead])
-    size = ends[lead] - starts[lead] + 1
-    first = np.cumsum(size) - size
-    at = np.arange(size.sum()) - np.repeat(first - starts[lead], size)
-    return Units(size, buf[at], first, word, of.astype(np.int32), n_words + 1)
+def closed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and bytes of words with what closes them."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return size, np.frombuffer(b"".join([w + b" " if w else b"\n" for w in words]), dtype=np.uint8)
 
 
-def texts_of(u: Units, which: np.ndarray) -> list[bytes]:
-    raw = u.data.tobytes()
-    return [raw[a : a + n - 1] for a, n in zip(u.first[which].tolist(), u.size[which].tolist())]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    sums, first = tx.prefix_hash(data), np.cumsum(size) - size
+    return tx.mix((sums[first + size] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
+
+
+def units(texts: list[bytes]) -> Units:
+    split = [[*t.lower().split(), b""] for t in texts]
+    tokens = np.fromiter(map(len, split), np.int64, len(split))
+    index = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    of = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int32, int(tokens.sum()))
+    names = list(index)
+    size, data = closed(names)
+    return Units(names, size, data, word_hashes(names), of, tokens)
 
 
 @dataclass
-class Decisions:
-    """All bits of distinct words, one after the other."""
+class Spelled:
+    """Bytes of distinct words, one after the other, and all bits of those."""
 
+    size: np.ndarray  # bytes of each word
     count: np.ndarray  # bits of each word
-    slots: list[np.ndarray]  # by spelling context
-    two: np.ndarray  # hash of the last two bytes and the node
-    three: np.ndarray  # hash of the last three and the node
-    word: np.ndarray  # hash of the word so far and the node
+    length: np.ndarray  # bits of each byte
+    two: np.ndarray  # hash of the two bytes before each
+    three: np.ndarray
+    four: np.ndarray
+    word: np.ndarray  # hash of the word so far
+    node: np.ndarray  # low bits of the number of each bit's node
     bit: np.ndarray
 
     @property
@@ -183,8 +193,10 @@ def back(data: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slot_of(h: np.ndarray, bits: int) -> np.ndarray:
-    h ^= h >> np.uint32(15)
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """A slot of a context; its low bits are changed by the node's number, so that all bits of a
+    byte are found in one line of memory."""
+    h = h ^ (h >> np.uint32(15))
     h *= _E
     h >>= np.uint32(32 - bits)
     return h.view(np.int32)
@@ -195,33 +207,22 @@ def _bits_of(begin: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.arange(int(c.sum())) + np.repeat(begin - (np.cumsum(c) - c), c)
 
 
-def decisions(size: np.ndarray, data: np.ndarray, code: Code, sizes: tuple[int, ...] = ()) -> Decisions:
-    """Bits of words that lie one after the other in ``data``; slots for the sizes given."""
+def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
+    """Bits of words that lie one after the other in ``data``."""
     first = np.cumsum(size) - size
     start = np.repeat(first, size)
     pos = np.arange(len(data)) - start
     one, two = back(data, pos, 1), back(data, pos, 2)
-    three = two | back(data, pos, 3) << np.uint32(8)
     sums = tx.prefix_hash(data)
     so_far = (tx.mix((sums[:-1] - sums[start]) * tx.POWERS.get(len(data) + 1)[1][start]) >> np.uint64(32)).astype(np.uint32)
-    value = (one << np.uint32(8)) | data
+    value = one << np.uint32(8) | data
+    two = one | two << np.uint32(8)
+    three = two | back(data, pos, 3) << np.uint32(16)
+    four = three | back(data, pos, 4) << np.uint32(24)
     length = code.length[value]
-    rep = np.repeat(np.arange(len(data), dtype=np.int32), length)
     step = _bits_of(code.first[value], length)
-    node = code.node[step] * _D  # the byte before is in the node
-
-    def keyed(c: np.ndarray) -> np.ndarray:
-        h = c[rep]
-        h ^= node
-        h *= _C
-        return h
-
-    word, slots = keyed(so_far), []
-    if sizes:
-        four = three | back(data, pos, 4) << np.uint32(16) | np.uint32(1 << 24)
-        slots = [slot_of(keyed(four * _C), sizes[0]), slot_of(word.copy(), sizes[1])]
     count = np.add.reduceat(length, first) if len(first) else length
-    return Decisions(count, slots, keyed(two * _C), keyed((three | np.uint32(1 << 25)) * _C), word, code.bit[step])
+    return Spelled(size, count, length, two * _C, (three ^ np.uint32(0x5BD1E995)) * _C, four * _C, so_far, code.node[step], code.bit[step])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int = 0) -> Iterator[tuple]:
@@ -237,23 +238,15 @@ def _steps(batches, k: int = 0, limit: int = 0):
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Times of each word; the end is the empty one."""
     for part in _steps(batches, 0, COUNT_BYTES):
-        u = units([t for (t,) in part])
-        n = np.bincount(u.of, minlength=len(u.word)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(texts_of(u, np.arange(len(u.word))), pa.binary()), pa.array(n)], ["word", "c"])
-
-
-def _closed(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Times, sizes and bytes of counted words with what closes them."""
-    n = np.array([n for n, _ in part])
-    size = np.array([len(w) + 1 for _, w in part])
-    return n, size, np.frombuffer(b"".join(w + b" " if w else b"\n" for _, w in part), dtype=np.uint8)
+        n = Counter(chain.from_iterable([*t.lower().split(), b""] for (t,) in part))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each byte follows each in words, by 256 * byte before + byte."""
     total = np.zeros(1 << 16, dtype=np.int64)
     for part in _steps(batches, 1):
-        n, size, data = _closed(part)
+        (size, data), n = closed([w for _, w in part]), np.array([n for n, _ in part])
         pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
         value = back(data, pos, 1) << np.uint32(8) | data
         np.add.at(total, value, np.repeat(n, size))
@@ -272,15 +265,17 @@ def _count_spelling(code: Code, sizes: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
         for part in _steps(batches, 1):
-            any_, (n, size, data) = True, _closed(part)
-            ends = np.cumsum(size)
-            for a in range(0, len(size), 50_000):
-                b = min(a + 50_000, len(size))
-                d = decisions(size[a:b], data[ends[a] - size[a] : ends[b - 1]], code, sizes)
-                times, at = np.repeat(n[a:b].astype(np.uint32), d.count), 0
-                for k, bits in enumerate(sizes):
-                    np.add.at(flat[at : at + (2 << bits)], 2 * d.slots[k] + d.bit, times)
-                    at += 2 << bits
+            any_, at = True, 0
+            n = np.array([n for n, _ in part]).astype(np.uint32)
+            d = spelled(*closed([w for _, w in part]), code)
+            times = np.repeat(n, d.count)
+            for h, bits in zip((d.four, d.word), sizes):
+                slot = np.repeat(places(h, bits), d.length)
+                slot ^= d.node
+                slot <<= 1
+                slot += d.bit
+                np.add.at(flat[at : at + (2 << bits)], slot, times)
+                at += 2 << bits
         if any_:
             yield _blocks(flat)
 
@@ -311,16 +306,19 @@ def _count_contexts(code: Code, sizes: tuple[int, ...]):
         for part in _steps(batches):
             any_ = True
             u = units([t for (t,) in part])
-            d, contexts = decisions(u.size, u.data, code), before(u)
-            begin = np.cumsum(d.count) - d.count
-            for a in range(0, len(u.of), 50_000):
-                of = u.of[a : a + 50_000]
-                c = d.count[of]
-                i = _bits_of(begin[of], c)
-                bit, at = d.bit[i], 0
+            d, contexts = spelled(u.size, u.data, code), before(u)
+            begin, first = np.cumsum(d.count) - d.count, np.cumsum(d.size) - d.size
+            low = d.node << np.uint8(1) | d.bit  # the slot's part that no context changes, and which count
+            for a in range(0, len(u.of), 20_000):
+                of = u.of[a : a + 20_000]
+                j = _bits_of(first[of], d.size[of])
+                mine, length, at = low[_bits_of(begin[of], d.count[of])], d.length[j], 0
                 for k, bits in enumerate(sizes):
-                    slot = slot_of(np.repeat(contexts[k][a : a + 50_000], c) ^ d.keys[k][i], bits)
-                    np.add.at(flat[at : at + (2 << bits)], 2 * slot + bit, np.uint32(1))
+                    h = np.repeat(contexts[k][a : a + 20_000], d.size[of])
+                    h ^= d.keys[k][j]
+                    slot = np.repeat(places(h, bits) << 1, length)
+                    slot ^= mine
+                    np.add.at(flat[at : at + (2 << bits)], slot, np.uint32(1))
                     at += 2 << bits
         if any_:
             yield _blocks(flat)
@@ -384,6 +382,15 @@ class Model:
         return tuple(len(x).bit_length() - 1 for x in self.cells)
 
 
+def blocks(n: int) -> Iterator[tuple[int, int]]:
+    """Where the blocks of so many tokens begin, and their sizes."""
+    at = 0
+    while at < n:
+        size = BLOCK if at < BLOCK * 64 else 4 * BLOCK
+        yield at, size
+        at += size
+
+
 class Reader:
     """A model with the log odds of all cells worked out, once a process."""
 
@@ -403,50 +410,60 @@ class Reader:
 
     def read(self, u: Units) -> np.ndarray:
         """log2 probability of each token; texts of most tokens come first, ``LANES`` side by side."""
-        d = decisions(u.size, u.data, self.model.code, self.sizes)
-        cells = [self.model.cells[k][slots] for k, slots in enumerate(d.slots)]  # they depend on the word alone
-        fixed = [odds[cell] for odds, cell in zip(self.odds, cells)]
-        gate = np.searchsorted(KNOWN, cells[1] >> np.uint16(8), side="right").astype(np.int32)
-        shift = np.uint32(32 - OWN_SLOTS.bit_length() + 1)
-        owns = [(h * _E >> shift).view(np.int32) for h in (d.word, d.two)]
-        begin, contexts, first = np.cumsum(d.count) - d.count, before(u), np.cumsum(u.tokens) - u.tokens
-        out = np.zeros(len(u.of))
+        d = spelled(u.size, u.data, self.model.code)
+        # what depends on the word alone: a row for each bit, and gates of bytes
+        cells = [self.model.cells[k][np.repeat(places(h, self.sizes[k]), d.length) ^ d.node] for k, h in enumerate((d.four, d.word))]
+        lead = np.cumsum(d.length) - d.length
+        gate = np.searchsorted(KNOWN, cells[1][lead] >> np.uint16(8), side="right")
+        packed = d.node | d.bit.astype(np.uint32) << np.uint32(5)
+        for k, h in enumerate((d.word, d.two)):
+            own = np.repeat(places(h * _C, OWN_BITS), d.length) ^ d.node
+            packed |= own.view(np.uint32) << np.uint32(6 + OWN_BITS * k)
+        rows = np.stack([*(odds[cell] for odds, cell in zip(self.odds, cells)), packed.view(np.float32)], axis=1)
+        begin, first_byte, contexts = np.cumsum(d.count) - d.count, np.cumsum(d.size) - d.size, before(u)
+        first, out = np.cumsum(u.tokens) - u.tokens, np.zeros(len(u.of))
         order = np.argsort(-u.tokens, kind="stable")
         for s in range(0, len(order), LANES):
             lanes = order[s : s + LANES]
             size, start = u.tokens[lanes], first[lanes]
             w = [np.full(len(lanes) * GATES, x, np.float32) for x in START]
-            tables = [np.zeros(len(lanes) * OWN_SLOTS, np.float32) for _ in owns]
-            for b in range(0, int(size[0]), BLOCK):
+            tables = [np.zeros(len(lanes) << OWN_BITS, np.float32) for _ in OWN_RATES]
+            for b, block in blocks(int(size[0])):
                 live = int(np.searchsorted(-size, -b, side="left"))
-                n = np.minimum(size[:live] - b, BLOCK)
-                token = _bits_of(start[:live] + b, n)
+                n = np.minimum(size[:live] - b, block)
+                token, lane = _bits_of(start[:live] + b, n), np.repeat(np.arange(live), n)
                 of = u.of[token]
-                c = d.count[of]
-                lead = np.cumsum(c) - c
-                i = _bits_of(begin[of], c)
-                lane = np.repeat(np.repeat(np.arange(live, dtype=np.int32), n), c)
-                xs, g, word = [x[i] for x in fixed], gate[i] + lane * GATES, d.word[i]
+                c, n_bytes = d.count[of], d.size[of]
+                j = _bits_of(first_byte[of], n_bytes)
+                length = d.length[j]
+                lead = np.cumsum(length) - length
+                row = np.ascontiguousarray(rows.take(_bits_of(begin[of], c), axis=0).T)
+                packed, xs = row[2].view(np.int32), [row[0], row[1]]
+                node, word, g = packed & NODES - 1, d.word[j], gate[j] + np.repeat(lane, n_bytes) * GATES
                 for k in range(SPELLING, CONTEXTS):
-                    h = np.repeat(contexts[k - SPELLING][token], c)
-                    h ^= d.three[i] if k == SPELLING else word
-                    cell = self.model.cells[k][slot_of(h, self.sizes[k])]
-                    xs.append(self.odds[k][cell])
+                    h = np.repeat(contexts[k - SPELLING][token], n_bytes)
+                    h ^= d.three[j] if k == SPELLING else word
+                    slot = np.repeat(places(h, self.sizes[k]), length)
+                    slot ^= node
+                    cell = self.model.cells[k].take(slot)
+                    xs.append(self.odds[k].take(cell))
                     if k == SPELLING + 1:
-                        g += (cell > 255) * np.int32(GATES // 2)
-                slots = [own[i] + lane * OWN_SLOTS for own in owns]
-                z = tables[0][slots[0]] + tables[1][slots[1]]
+                        g += (cell[lead] > 255) * (GATES // 2)
+                at = np.repeat(lane << OWN_BITS, c)
+                slots = [(packed >> 6 + OWN_BITS * k & (1 << OWN_BITS) - 1) + at for k in range(2)]
+                z = tables[0].take(slots[0])
+                z += tables[1].take(slots[1])
                 for v, x in zip(w, xs):
-                    z += v[g] * x
+                    z += np.repeat(v.take(g), length) * x
                 np.clip(z, -12, 12, out=z)
-                err = d.bit[i] - 1 / (1 + np.exp(-z))
-                out[token] = np.add.reduceat(np.log2(1 - np.abs(err)), lead)
+                err = (packed >> 5 & 1).astype(np.float32) - 1 / (1 + np.exp(-z))
+                out[token] = np.add.reduceat(np.log2(1 - np.abs(err)), np.cumsum(c) - c)
                 # one step along the gradient of the block's bits
                 for table, slot, rate in zip(tables, slots, OWN_RATES):
                     np.add.at(table, slot, rate * err)
                 err *= RATE
                 for v, x in zip(w, xs):
-                    v[: live * GATES] += np.bincount(g, err * x, live * GATES)
+                    v[: live * GATES] += np.bincount(g, np.add.reduceat(err * x, lead), live * GATES)
         return out
 
 
@@ -469,14 +486,6 @@ def reader(model: Model) -> Reader:
     return _READERS[key]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """As ``units`` names them."""
-    size = np.array([len(w) for w in words], dtype=np.int64)
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    sums, first = tx.prefix_hash(data), np.cumsum(size) - size
-    return tx.mix((sums[first + size] - sums[first]) * tx.POWERS.get(len(data) + 1)[1][first])
-
-
 def _hot(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of at most ``HOT_WORDS`` words: those above the least count that so many
     reach, from how many words have each count; no task sends more rows than that."""
@@ -526,7 +535,7 @@ def _score(model: Model):
             hot_n = np.bincount(text_of, hit[u.of], len(part)).astype(np.int64)
             n_bytes = np.add.reduceat(u.size[u.of], first)
             use = np.flatnonzero(~hit[u.of])  # for the join with their counts
-            rare = pa.array(texts_of(u, u.of[use]), pa.binary())
+            rare = pa.array([u.names[k] for k in u.of[use].tolist()], pa.binary())
             at = pa.array(np.searchsorted(text_of[use], np.arange(len(part) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in part], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
