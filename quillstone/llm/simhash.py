@@ -1,16 +1,25 @@
 """SimHash near-duplicates, searched through pivot distance tables.
 
 A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are its
-coordinates. By the triangle inequality two fingerprints within ``radius`` bits differ by
-at most ``radius`` in each coordinate, so a pair is discarded by its maximum coordinate
-difference and only survivors are compared bit by bit.
-
-Pairs to look at come from groups that two linked fingerprints are certain to share: of
-five blocks of bits at least two are equal when three bits differ (ten groups for each
-fingerprint), and both fall into a common cell of the first pivot's distance. Inside a
-group rows are sorted by that distance and compared within a sliding window of it, so a
-task holds a window of a group. A group emits links that join parts not yet joined,
-not all its pairs. Copies count once: only distinct fingerprints are compared.
+coordinates, worked out once for each distinct fingerprint. By the triangle inequality two
+fingerprints within ``radius`` bits differ by at most ``radius`` in each coordinate, so a
+pair is discarded by its maximum coordinate difference and only survivors are compared bit
+by bit. A table alone prunes but doesn't part the rows; the pairs to look at come from groups:
+
+- ``near_duplicates`` links fingerprints of 64 bits at ``RADIUS`` or fewer differing bits.
+  Of five blocks of bits at least two are equal when three bits differ (ten groups for each
+  fingerprint), and both fall into a common cell of the first pivot's distance, so no link is
+  lost.
+- ``drop_near_duplicates`` links texts whose sets of five-word shingles have a similarity
+  (intersection over union) of ``SIMILARITY`` or more. Their fingerprints have 1,024 bits,
+  which tell a similarity to about 0.02; groups are bands of minimum hashes, which two texts
+  at the threshold miss with a chance of 0.002; survivors of the pivots and of the bits are
+  verified on their shingles.
+
+Inside a group rows are sorted by the first pivot's distance and compared within a sliding
+window of it, so a task holds a window of a group. A pair whose rows are joined already isn't
+compared, and a window whose rows are all joined is left, so a group of thousands of copies
+costs what its rows do. Copies count once: only distinct fingerprints or texts are compared.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm import text as tx
 from quillstone.operators.components import connected_components
 from quillstone.runtime import cut
 
@@ -79,82 +89,128 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _coordinates(fp: np.ndarray, piv: np.ndarray) -> np.ndarray:
+    """Distances (pivot, row) of fingerprints of one or more words of 64 bits."""
+    return np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.uint16) for p in piv])
+
+
+def _bytes_of(x: np.ndarray) -> pa.Array:
+    """Rows of a C-ordered array as binaries."""
+    width = x.shape[1] * x.itemsize
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _rows_of(col: pa.Array, dtype, width: int) -> np.ndarray:
+    data = b"".join(col.to_pylist())
+    return np.frombuffer(data, dtype=dtype).reshape(-1, width)
+
+
+def _with_coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    piv = pivots()[:, None]
+    for b in batches:
+        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+        table = _coordinates(fp, piv).astype(np.uint8).T
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table[:, 0].astype(np.int32)), _bytes_of(table)], ["fp", "d", "table"])
+
+
 def _grouped(fps: DataFrame) -> DataFrame:
-    """``(t, key, cell, d, fp)``: every group that a fingerprint belongs to."""
-    d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivots(1)[0])))))
+    """``(t, key, cell, d, fp, table)``: every group that a fingerprint belongs to."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_masks())])
     cells = F.array_distinct(F.array((F.col("d") / CELL).cast("int"), ((F.col("d") + RADIUS) / CELL).cast("int")))
     return (
-        fps.select("fp", d.cast("int").alias("d"))
-        .select("fp", "d", F.explode(tables).alias("g"), cells.alias("cells"))
-        .select("fp", "d", "g.t", "g.key", F.explode("cells").alias("cell"))
+        fps.select("fp")
+        .mapInArrow(_with_coordinates, "fp long, d int, table binary")
+        .select("fp", "d", "table", F.explode(tables).alias("g"), cells.alias("cells"))
+        .select("fp", "d", "table", "g.t", "g.key", F.explode("cells").alias("cell"))
     )
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside groups, from rows sorted by group and first pivot distance."""
-    piv = pivots()
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        t, key, cell, d, fp = cols[0], cols[1], cols[2], cols[3].astype(np.int16), cols[4].view(np.uint64)
-        rows = [t, key, cell, d, fp]
-        fresh = 0
-        if held is not None:
-            fresh = len(held[0])
-            rows = [np.concatenate(x) for x in zip(held, rows)]
-        t, key, cell, d, fp = rows
-        n = len(fp)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
-        group = np.cumsum(new)
-        # only rows with a neighbour in the group need coordinates
-        near = np.zeros(n, dtype=bool)
-        near[1:] |= ~new[1:]
-        near[:-1] |= ~new[1:]
-        coords = np.zeros((len(piv), n), dtype=np.uint8)
-        at = np.flatnonzero(near)
-        for j, p in enumerate(piv):
-            coords[j, at] = np.bitwise_count(fp[at] ^ p)
-        label, out, live, k = np.arange(n), [], at, 1
-        while True:
-            live = live[live + k < n]
-            live = live[(group[live] == group[live + k]) & (d[live + k] - d[live] <= RADIUS)]
-            if not len(live):
+def _join(label: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Labels after the parts of ``a`` and ``c`` are joined."""
+    root = np.arange(len(label))
+    np.minimum.at(root, np.maximum(label[a], label[c]), np.minimum(label[a], label[c]))
+    while not np.array_equal(root[root], root):
+        root = root[root]
+    return root[label]
+
+
+def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray, sure: int, radius: int, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``sure`` bits that join all such rows of a group, and pairs within the
+    radius of rows that aren't joined so. Rows are sorted by group and ``d``; pairs among the
+    first ``fresh`` rows were seen before."""
+    n = len(group)
+    label, live, k, out = np.arange(n), np.arange(n), 1, []
+    while True:
+        live = live[live + k < n]
+        live = live[(group[live] == group[live + k]) & (d[live + k] - d[live] <= radius)]
+        if not len(live):
+            break
+        a = live[(live + k >= fresh) & (label[live] != label[live + k])]
+        c = a + k
+        for j in range(1, table.shape[1]):
+            if not len(a):
                 break
-            a = live[live + k >= fresh]  # pairs inside the held rows were seen before
-            c = a + k
-            for j in range(1, len(piv)):
-                if not len(a):
-                    break
-                ok = np.abs(coords[j, a].astype(np.int16) - coords[j, c]) <= RADIUS
-                a, c = a[ok], c[ok]
-            ok = np.bitwise_count(fp[a] ^ fp[c]) <= RADIUS
-            a, c = a[ok], c[ok]
-            ok = label[a] != label[c]
+            ok = np.abs(table[a, j].astype(np.int32) - table[c, j]) <= radius
             a, c = a[ok], c[ok]
+        bits = np.bitwise_count(fp[a] ^ fp[c]).sum(axis=1, dtype=np.uint16)
+        ok = bits <= radius
+        if ok.any():
+            a, c, bits = a[ok], c[ok], bits[ok]
+            # of pairs of the same two parts in this step the nearest is enough
+            by = np.argsort(bits, kind="stable")
+            _, one = np.unique((label[a] * n + label[c])[by], return_index=True)
+            a, c, joins = a[by][one], c[by][one], bits[by][one] <= sure
+            out.append((a, c))
+            label = _join(label, a[joins], c[joins])
+        if k & (k - 1) == 0:  # now and then, groups whose rows are all joined are left
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            size = np.diff(np.append(first, n))
+            joined = np.minimum.reduceat(label, first) == np.maximum.reduceat(label, first)
+            live = live[~np.repeat(joined, size)[live]]
+        k += 1
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
+    """Links inside groups, from rows ``(keys..., d, table, fp, id)`` sorted by keys and ``d``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n_keys)], axis=1)
+            d = b.column(n_keys).to_numpy(zero_copy_only=False).astype(np.int32)
+            table = b.column(n_keys + 1)
+            table = _rows_of(table, pair_type, len(table[0].as_py()) // np.dtype(pair_type).itemsize)
+            fp = _rows_of(b.column(n_keys + 2), np.uint64, words) if words > 1 else b.column(n_keys + 2).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+            rows = [keys, d, table, fp, b.column(n_keys + 3).to_numpy(zero_copy_only=False)]
+            fresh = 0
+            if held is not None:
+                fresh = len(held[0])
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            keys, d, table, fp, id_ = rows
+            new = np.ones(len(d), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            group = np.cumsum(new)
+            a, c = _matches(group, d, table, fp, sure, radius, fresh)
+            keep = (group == group[-1]) & (d >= d[-1] - radius)
+            held = [x[keep] for x in rows]
             if len(a):
-                out.append((fp[a].view(np.int64), fp[c].view(np.int64)))
-                root = np.arange(n)
-                np.minimum.at(root, np.maximum(label[a], label[c]), np.minimum(label[a], label[c]))
-                while not np.array_equal(root[root], root):
-                    root = root[root]
-                label = root[label]
-            k += 1
-        keep = (group == group[-1]) & (d >= d[-1] - RADIUS)
-        held = [x[keep] for x in rows]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(id_[a]), pa.array(id_[c])], ["u", "v"])
+
+    return run
 
 
 def links(fps: DataFrame) -> DataFrame:
     """``(u, v)`` links that connect all distinct fingerprints within the radius."""
-    groups = _grouped(fps).select("t", "key", "cell", "d", "fp")
+    groups = _grouped(fps).select("t", "key", "cell", "d", "table", "fp", F.col("fp").alias("id"))
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(n, "t", "key", "cell").sortWithinPartitions("t", "key", "cell", "d", "fp")
-    return dealt.mapInArrow(_links, "u long, v long").distinct()
+    return dealt.mapInArrow(_search(3, 1, RADIUS, RADIUS, np.uint8), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,15 +234,124 @@ def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+#: Of the search by shingles: words of a shingle, least similarity, words of 64 bits in a
+#: fingerprint, bands and minimum hashes in each.
+SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 16
+BANDS, EACH = 12, 4
+
+
+def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
+    """Differing bits of wide fingerprints by which a pair is taken as similar, and up to which it
+    may be: 1.5 standard deviations below and 3 above those of a pair of the least similarity."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDTH
+    sd = np.sqrt(bits * share * (1 - share))
+    return int(bits * share - 1.5 * sd), int(np.ceil(bits * share + 3 * sd))
+
+
+def wide_pivots(n: int = N_PIVOTS) -> np.ndarray:
+    return tx.mix(np.arange(1, n * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(n, WIDTH)
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of texts, sorted in each, and where each text's begin (and the end)."""
+    h, doc = tx.shingle_hashes([t.lower() for t in texts], SHINGLE)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    return h, np.searchsorted(doc, np.arange(len(texts) + 1))
+
+
+def sketch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints (text, word) and bands (text, band); both zero for texts without words."""
+    h, at = shingle_sets(texts)
+    fps = np.zeros((len(texts), WIDTH), dtype=np.uint64)
+    bands = np.zeros((len(texts), BANDS), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if not len(some):
+        return fps, bands
+    first, size = at[some], np.diff(at)[some]
+    for k in range(WIDTH):
+        x = tx.mix(h + np.uint64(k * 0x632BE59BD9B4E019 + 1 & (1 << 64) - 1))
+        for i, a, n in zip(some.tolist(), first.tolist(), size.tolist()):
+            votes = np.zeros(64, dtype=np.int64)
+            for b in range(a, a + n, 1 << 16):
+                part = x[b : min(b + (1 << 16), a + n)]
+                votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            fps[i, k] = np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]
+    for k in range(BANDS):
+        band = np.zeros(len(some), dtype=np.uint64)
+        for j in range(EACH):
+            least = np.minimum.reduceat(tx.mix(h ^ np.uint64((k * EACH + j + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)), first)
+            band = tx.mix(band * np.uint64(0x9E3779B97F4A7C15) + least)
+        bands[some, k] = band
+    return fps, bands
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    piv = wide_pivots()
+    for b in batches:
+        for part in tx.pieces(((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))), lambda x: len(x[1]) + 100):
+            fps, bands = sketch([t for _, t in part])
+            table = _coordinates(fps, piv).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in part], pa.int64()), pa.array(table[:, 0].astype(np.int32)), _bytes_of(table), _bytes_of(fps)]
+                + [pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))],
+                ["id", "d", "table", "fp", "bands"],
+            )
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links whose texts are similar enough, from ``(u, v, text of u, text of v)``."""
+    for b in batches:
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3))
+        rows = ((u, v, x.as_py(), y.as_py()) for u, v, x, y in rows)
+        for part in tx.pieces(rows, lambda x: len(x[2]) + len(x[3]) + 100):
+            h, at = shingle_sets([x[k] for x in part for k in (2, 3)])
+            keep = []
+            for i, (u, v, _, _) in enumerate(part):
+                x, y = h[at[2 * i] : at[2 * i + 1]], h[at[2 * i + 1] : at[2 * i + 2]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= SIMILARITY * (len(x) + len(y) - both):
+                    keep.append((u, v))
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keep)], ["u", "v"])
+
+
+def similar_texts(texts: DataFrame) -> DataFrame:
+    """``(u, v)``: verified links that join similar rows of ``texts(id, text)``; distinct texts as
+    UTF-8 bytes under distinct ids. Texts without words are alike."""
+    sketches = cut(texts.mapInArrow(_sketches, "id long, d int, table binary, fp binary, bands array<long>"))
+    bands = sketches.select("id", F.posexplode("bands").alias("t", "key"))
+    shared = bands.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = bands.join(shared, ["t", "key"]).join(sketches.drop("bands"), "id")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.select("t", "key", "d", "table", "fp", "id").repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
+    found = dealt.mapInArrow(_search(2, WIDTH, *wide_radii(), np.uint16), "u long, v long")
+    found = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
+    return found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group stays: that of the smallest id. All columns are kept.
+    """One row of each group of similar texts stays: that of the smallest id. All columns are kept.
 
-    Rows with a null id take no part in the search and stay. Of rows that share the
-    smallest id, one stays.
+    Rows with a null id take no part in the search and stay. Of equal rows one stays; rows
+    that share an id but not the text are documents of their own, and one whose text is like
+    no other's stays. Null texts are empty. Columns may have any names.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text)
-    stay = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__rows"))
-    match = docs[id_col] == F.col("__stay")
-    once = docs.join(stay.filter("__rows = 1"), match, "left_semi")
-    more = docs.join(stay.filter("__rows > 1"), match, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.filter(F.col(id_col).isNull()))
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"))
+    known = rows.filter("id is not null")
+    body = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
+    texts = known.select(F.col("key").alias("id"), body.alias("text")).dropDuplicates(["id"])
+    comp = connected_components(similar_texts(cut(texts)))
+    first = known.groupBy("key").agg(F.min("id").alias("id"))
+    named = first.join(comp.select(F.col("v").alias("key"), "component"), "key", "left")
+    named = named.select("key", "id", F.coalesce("component", "key").alias("component"))
+    stay = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("s")).select("s.id", "s.key")
+    # the whole row, however often it repeats, is at one place: (id, key)
+    kept = known.join(stay, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return kept.unionByName(rows.filter("id is null")).select("row.*")

@@ -6,8 +6,7 @@ import sentencepiece
 
 import corpus_pipeline as cp
 from quillstone.llm import mixing, pieces, pii
-from tests.llm.test_simhash import brute as fingerprints
-from tests.llm.test_simhash import components
+from tests.llm.test_simhash import kept_by_brute_force
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,8 +39,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         after.append(docs.collect())
     # clean documents stay, junk goes
     assert {r.doc_id for r in after[0]} == {r[0] for r in rows} - {202, 203, 204}
-    comp = components(fingerprints([(r.doc_id, r.text) for r in after[0]]))
-    assert {r.doc_id for r in after[1]} == {i for i, c in comp.items() if i == c}
+    assert {r.doc_id for r in after[1]} == kept_by_brute_force([(r.doc_id, r.text) for r in after[0]])[0]
     assert 200 not in {r.doc_id for r in after[1]}
     # base personal data is gone, all else is as it was
     before = {r.doc_id: r.text for r in after[1]}

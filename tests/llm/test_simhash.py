@@ -71,11 +71,81 @@ def test_planted_distances_and_hot_group(spark):
     assert {x: found.get(x, x) for x in fps} == want
 
 
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_by_brute_force(rows):
+    """``(id, text)`` that stay: links at a similarity of 0.8 between all pairs of texts."""
+    texts = sorted({t or "" for i, t in rows if i is not None})
+    sets, part = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = part[a], part[b]
+                part = [x if p == y else p for p in part]
+    of = dict(zip(texts, part))
+    best = {}
+    for i, t in rows:
+        if i is not None:
+            best.setdefault(of[t or ""], set()).add((i, t or ""))
+    return {min(v)[0] for v in best.values()}, len(best)
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocab = ["w%d" % i for i in range(400)]
+    rows = []
+    for i in range(25):
+        w = rng.choice(vocab, 300).tolist()
+        rows.append((10 * i, " ".join(w)))
+        for k, edits in enumerate((1, 3, 6, 12, 30)):  # similarities from 0.97 down to 0.3
+            x = list(w)
+            for at in rng.choice(300, edits, replace=False):
+                x[at] = "edit"
+            rows.append((10 * i + 1 + k, " ".join(x)))
+    passage = " ".join(rng.choice(vocab, 100))
+    rows += [(1000 + i, passage + " " + " ".join(rng.choice(vocab, 100))) for i in range(40)]  # shared by many, similar to none
+    rows += [(2000, ""), (2001, None), (2002, "one"), (2003, "ONE"), (2004, "x " * 30_000), (2005, "x " * 29_000)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA))
+    ids, n = kept_by_brute_force(rows)
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == n and set(got) == ids
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(13)
+    vocab = ["w%d" % i for i in range(400)]
+    w = rng.choice(vocab, 200).tolist()
+    rows = []
+    for i in range(3000):
+        x = list(w)
+        x[int(rng.integers(0, 200))] = f"e{i}"
+        rows.append((i, " ".join(x), "en", "s", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = df.selectExpr("doc_id AS id", "cast(text AS binary) AS text")
+    links = simhash.similar_texts(texts).collect()
+    assert len(links) < 30 * len(rows)  # they join the copies; they aren't all pairs
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
+
+
+def test_rows_that_share_an_id(spark):
+    """An unlike text under the id of a copy stays."""
+    rng = np.random.default_rng(14)
+    a, b = (" ".join(rng.choice(["w%d" % i for i in range(300)], 200)) for _ in "ab")
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "y", 1), (2, a + " more", "en", "x", 1)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b)])
+
+
 def test_empty_repeats_and_extra_columns(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).count() == 0
     rows = [(1, "a b c d", "en", "x", 7, "z"), (1, "a b c d", "en", "x", 7, "z"), (2, "a b c d", None, None, None, "y"), (None, "a b c d", "en", "x", 1, "n")]
-    df = spark.createDataFrame(rows, SCHEMA + ", fp string")
+    assert simhash.drop_near_duplicates(none).count() == 0
+    df = spark.createDataFrame([(*r, "s", "r") for r in rows], SCHEMA + ", fp string, key string, row string")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
