@@ -1,17 +1,24 @@
 """Toxicity from two class-conditional Kneser-Ney models.
 
-One bigram model is estimated from toxic texts and one from ordinary texts. Every level
-of both interpolates discounted counts with a shorter one: a bigram with its second word,
-a word with its prefixes, and the shortest prefix with counts that the two classes share,
-so an expression too rare to tell the classes apart weighs nothing, and a rare form of a
-telling stem weighs what the stem does. The shared part is the same for both classes and
-cancels in their difference, so only its ratio to each class is kept. A text's score is
-the difference of its two log-likelihoods, per word, turned into a probability by a
-logistic curve that is fitted on labelled rows outside the counts.
+A word's count in a class is its Kneser-Ney continuation count: the number of distinct words
+that it follows in texts of the class. Every level of a class's model interpolates counts,
+less ``DISCOUNT``, with a shorter one: a word with its first six bytes, those with the first
+four, and these with the counts of both classes together. How a prefix's share is parted among
+its words is told by the counts of both classes as well, so it is the same in both models: an
+expression too rare to tell the classes apart has the ratio of its stem, and a rare stem hardly
+any. What the two log-likelihoods of a text differ by, length-normalised, becomes a probability
+by a logistic curve, fitted on labelled rows outside the counts. The curve sees the difference
+a word, and the part of it that lies in single telling words (above ``TELLING``) over the root
+of the number of words, since a long text with ten insults is toxic though the mean is small.
+
+The order above, words conditioned on the word before, was measured and left out: on the
+driver's tables a class's share of left-over mass differs by context with the size of the class
+alone, which cost a quarter of the recall (README).
 
 The models are fitted on a bounded sample of labelled rows (``MAX_LABELLED`` in the mean,
-drawn by a hash of the id; ``MAX_TYPES`` words and as many bigrams), which bounds what is
-collected and sent to executors. Every text is scored whole.
+drawn by a hash of the id). Of its words all that have counts above the discount in either
+class are collected; by the formula all others are determined by their prefixes, so none is
+dropped. Every text is scored whole.
 
 Words are lower-cased and parted by all ASCII characters but letters and digits. Null and
 empty texts score what a text that says nothing scores. Labels that are null are ignored;
@@ -33,16 +40,14 @@ from pyspark.sql import functions as F
 from quillstone.llm import text as tx
 from quillstone.runtime import cut
 
+#: Labelled rows to learn from, in the mean.
 MAX_LABELLED = 16_000
-MAX_TYPES = 250_000
-MIN_TEXTS = 3
-#: A word that is too rare is judged by its longest known prefix of so many bytes.
-PREFIXES = (4, 5, 6)
-DISCOUNT = 0.75
-#: Counts' worth of shared backoff that a class's own counts are set against.
-EVIDENCE = 1.5
-#: Log ratios up to this say nothing.
-MARGIN = 1.0
+#: Bytes of a word's prefixes, from short to long.
+PREFIXES = (4, 6)
+#: What counts lose to the shorter level; above 1, so that words met once or twice tell nothing.
+DISCOUNT = 2
+#: Log ratio above which a single word is telling.
+TELLING = 2.0
 _PART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -51,75 +56,56 @@ def crc_remainder(id_col, modulus: int):
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words and of their prefixes (levels by words), and how many words each text has.
-
-    The last level is the word; a prefix not shorter than its word has key 0.
-    """
+    """Keys of all words' prefixes and of the words (levels by words), and words of each text."""
     buf, at = tx.joined([t.lower().encode().translate(_PART) for t in texts])
     starts, ends = tx.words(buf)
     sums, down = tx.prefix_hash(buf), tx.POWERS.get(len(buf) + 1)[1][starts]
-    keys = np.zeros((len(PREFIXES) + 1, len(starts)), dtype=np.uint64)
-    for j, k in enumerate(PREFIXES):
-        h = tx.mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * down + np.uint64(k))
-        keys[j] = np.where(ends - starts > k, h, np.uint64(0))
-    keys[-1] = tx.mix((sums[ends] - sums[starts]) * down)
-    return keys, np.diff(np.searchsorted(starts, at))
+    keys = [tx.mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * down) for k in PREFIXES]
+    keys.append(tx.mix((sums[ends] - sums[starts]) * down))
+    return np.stack(keys), np.diff(np.searchsorted(starts, at))
 
 
 @dataclass
-class Lookup:
-    """Values by 64-bit key; absent keys give zeros."""
+class Level:
+    """Log ratios of a level's keys that have counts of their own, and what others add to those of
+    the level above."""
 
-    keys: np.ndarray
-    values: np.ndarray
+    keys: np.ndarray  # sorted
+    ratio: np.ndarray
+    rest: float
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
+    def __call__(self, h: np.ndarray, above: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.zeros((len(h), self.values.shape[1]), dtype=np.float32)
+            return above + self.rest
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where((self.keys[at] == h)[:, None], self.values[at], np.float32(0))
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h), dtype=bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h
-
-
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return tx.mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
+        return np.where(self.keys[at] == h, self.ratio[at], above + self.rest)
 
 
 @dataclass
 class Model:
-    words: Lookup  # log ratio of the word
-    pairs: Lookup  # log ratio of the bigram
+    levels: list[Level] = field(default_factory=list)  # from the shortest prefix to the word
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    fitted: bool = True
+
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log of a word's toxic probability over its ordinary one, and words of each text."""
+        keys, n = _tokens(texts)
+        out = np.zeros(keys.shape[1])
+        for level, h in zip(self.levels, keys):
+            out = level(h, out)
+        return out, n
 
     def measure(self, texts: list[str]) -> np.ndarray:
-        """Per text: log ratio a word, and over the root of the number of words."""
+        """Per text: the difference of log-likelihoods a word, and what telling words bring, over
+        the root of the number of words."""
         out = np.zeros((len(texts), 2))
-        keys, n = _tokens(texts)
-        h = keys[-1]
-        if not len(h):
-            return out
-        ratio, open_ = np.zeros(len(h)), np.arange(len(h))
-        for level in keys[::-1]:
-            here = self.words.has(level[open_])
-            ratio[open_[here]] = self.words(level[open_[here]])[:, 0]
-            open_ = open_[~here]
+        ratio, n = self.ratios(texts)
         text_of = np.repeat(np.arange(len(texts)), n)
-        follows = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1
-        pair = _pair(h[follows - 1], h[follows])
-        seen = self.pairs.has(pair)
-        ratio[follows] = np.where(seen, self.pairs(pair)[:, 0], ratio[follows])
-        total = np.bincount(text_of, ratio, len(texts))
-        out[:, 0] = total / np.maximum(n, 1)
-        out[:, 1] = total / np.sqrt(np.maximum(n, 1))
+        out[:, 0] = np.bincount(text_of, ratio, len(texts)) / np.maximum(n, 1)
+        out[:, 1] = np.bincount(text_of, np.maximum(ratio - TELLING, 0), len(texts)) / np.sqrt(np.maximum(n, 1))
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not self.fitted:
+        if not self.levels:
             return np.zeros(len(texts))
         x = self.measure(texts)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -40, 40)))
@@ -139,101 +125,75 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, modulus
     return cut(found.dropDuplicates(["copy", "toxic"]).select("text", "toxic", "fold"))
 
 
-def _count(order: int, keep: np.ndarray | None):
-    """Counts a batch: words (order 1), or bigrams of kept words (order 2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            for part in tx.pieces(rows, lambda x: len(x[0]) + 100):
-                for cls in (0, 1):
-                    keys, n = _tokens([t for t, y in part if y == cls])
-                    of, h = np.repeat(np.arange(len(n)), n), keys[-1]
-                    if order == 1:
-                        over = np.zeros_like(keys)
-                        for j in range(1, len(keys)):
-                            over[j] = np.where(keys[j - 1] != 0, keys[j - 1], over[j - 1])
-                        there = keys.ravel() != 0
-                        h, over, of = keys.ravel()[there], over.ravel()[there], np.tile(of, len(keys))[there]
-                        _, first = np.unique(tx.mix(h ^ of.astype(np.uint64)), return_index=True)
-                        k, lead, c = np.unique(h, return_index=True, return_counts=True)
-                        texts = np.bincount(np.searchsorted(k, h[first]), minlength=len(k))
-                        v = over[lead]
-                    else:
-                        rare = np.uint64(0)
-                        h = np.where(Lookup(keep, np.zeros((len(keep), 1))).has(h), h, rare)
-                        at = np.flatnonzero(of[1:] == of[:-1])
-                        pair = _pair(h[at], h[at + 1])
-                        _, first, c = np.unique(pair, return_index=True, return_counts=True)
-                        v, k, texts = h[at][first], h[at + 1][first], np.zeros(len(c), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v.view(np.int64)), pa.array(k.view(np.int64)), pa.array((c * (1 - cls)).astype(np.int64)), pa.array((c * cls).astype(np.int64)), pa.array(texts.astype(np.int64))],
-                        ["v", "w", "ordinary", "toxic", "texts"],
-                    )
-
-    return run
-
-
-COUNTS = "v long, w long, ordinary long, toxic long, texts long"
-
-
-def _ratio(count: np.ndarray, expected: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-    """A class's probability over the pooled one: discounted counts, the rest from the backoff."""
-    kept = np.maximum(count - DISCOUNT, 0) + np.minimum(DISCOUNT, expected) * backoff
-    return (kept + EVIDENCE * backoff) / (expected + EVIDENCE)
-
-
-def _weight(ratio: np.ndarray) -> np.ndarray:
-    """Log ratio of the classes, drawn towards 0 by ``MARGIN``: topic and language differ by less."""
-    x = np.log(ratio[:, 1]) - np.log(ratio[:, 0])
-    return (np.sign(x) * np.maximum(np.abs(x) - MARGIN, 0))[:, None].astype(np.float32)
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct bigrams of a batch: word before (0 at a text's start), keys of the word, classes."""
+    for b in batches:
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        for part in tx.pieces(rows, lambda x: len(x[0]) + 100):
+            keys, n = _tokens([t for t, _ in part])
+            if not keys.shape[1]:
+                continue
+            w, before = keys[-1], np.zeros(keys.shape[1], dtype=np.uint64)
+            before[1:] = w[:-1]
+            before[(np.cumsum(n) - n)[n > 0]] = 0
+            toxic = np.repeat(np.array([y for _, y in part], dtype=np.uint64), n)
+            _, one = np.unique(tx.mix(tx.mix(before * np.uint64(0x9E3779B97F4A7C15) + w) + toxic), return_index=True)
+            cols = [before, *keys[::-1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[one].view(np.int64)) for x in cols] + [pa.array(((toxic[one] == y) * 1).astype(np.int32)) for y in (0, 1)],
+                ["before", "word", *[f"p{k}" for k in PREFIXES[::-1]], "ordinary", "toxic"],
+            )
+
+
+BIGRAMS = "before long, word long, " + "".join(f"p{k} long, " for k in PREFIXES[::-1]) + "ordinary int, toxic int"
+
+
+def _level(counts: DataFrame, key: str, above: str | None, totals: np.ndarray, parent) -> tuple[Level, dict]:
+    """A level from ``(key, above, ordinary, toxic, both)``; ``parent`` maps the keys above to their
+    probabilities by class and their counts of both classes."""
+    left = [F.least(F.col(c), F.lit(DISCOUNT)) for c in ("ordinary", "toxic")]
+    mass = np.array(counts.agg(*[F.sum(x) for x in left]).first(), dtype=np.float64)
+    # others have no counts above the discount: their ratio is that of the level above
+    some = counts.filter(F.greatest("ordinary", "toxic") > DISCOUNT).toPandas()
+    n = some[["ordinary", "toxic"]].to_numpy(np.float64)
+    both = some["both"].to_numpy(np.float64)
+    p = np.ones_like(n)
+    share = np.full(len(some), parent[None][1]) if above is None else np.ones(len(some))
+    if above is not None:
+        found = [parent[k] for k in some[above].tolist()]
+        p = np.array([x[0] for x in found], dtype=np.float64).reshape(-1, 2)
+        share = np.array([x[1] for x in found], dtype=np.float64)
+    # a prefix's share is parted by the counts of both classes, one of them for what was never seen
+    p = (np.maximum(n - DISCOUNT, 0) + mass * p * (both / (share + 1))[:, None]) / totals
+    h = some[key].to_numpy(np.int64)
+    order = np.argsort(h.view(np.uint64))
+    level = Level(h.view(np.uint64)[order], np.log(p[order, 1] / p[order, 0]), float(np.log(mass[1] / totals[1]) - np.log(mass[0] / totals[0])))
+    return level, {k: (tuple(x), y) for k, x, y in zip(h.tolist(), p.tolist(), both.tolist())}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", modulus: int = 5) -> Model:
     """Learn from labelled rows whose crc32(id as text) mod ``modulus`` is not 0."""
     sample = _sample(docs.select(id_col, "text"), labels.select(id_col, label), id_col, label, modulus)
-    none = Model(Lookup(np.zeros(0, np.uint64), np.zeros((0, 1), np.float32)), Lookup(np.zeros(0, np.uint64), np.zeros((0, 1), np.float32)), fitted=False)
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return none
     train = sample.filter("fold > 0").select("text", "toxic")
-    sums = [F.sum(c).alias(c) for c in ("ordinary", "toxic", "texts")]
-    uni = cut(train.mapInArrow(_count(1, None), COUNTS).groupBy("w").agg(F.max("v").alias("v"), *sums))
-    totals = uni.agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).first()
-    if not totals.o or not totals.t:
-        return none
-    top = uni.filter(F.col("texts") >= MIN_TEXTS).orderBy(F.col("texts").desc(), "w").limit(MAX_TYPES).toPandas()
-    top = top.sort_values("w", key=lambda s: s.astype(np.int64).to_numpy().view(np.uint64))
-    words = top["w"].to_numpy(np.int64).view(np.uint64)
-    n = np.array([totals.o, totals.t], dtype=np.float64)
-    c = top[["ordinary", "toxic"]].to_numpy(np.float64)
-
-    # a class's probability is the pooled one times a ratio; the pooled Kneser-Ney backoff
-    # cancels between the classes, and little evidence leaves the ratio near 1
-    expected = c.sum(axis=1)[:, None] * n / n.sum()
-    over = np.minimum(np.searchsorted(words, top["v"].to_numpy(np.int64).view(np.uint64)), len(words) - 1)
-    led = (words[over] == top["v"].to_numpy(np.int64).view(np.uint64))[:, None]
-    ratio1 = np.ones_like(c)
-    for _ in range(len(PREFIXES) + 1):  # each level backs off to the next shorter prefix
-        ratio1 = _ratio(c, expected, np.where(led, ratio1[over], 1.0))
-    values = _weight(ratio1)
-
-    bi = cut(train.mapInArrow(_count(2, words), COUNTS).groupBy("v", "w").agg(*sums[:2]))
-    both = F.col("ordinary") + F.col("toxic")
-    known = bi.filter((F.col("v") != 0) & (F.col("w") != 0) & (both >= 2 * MIN_TEXTS))
-    pair = known.orderBy(both.desc(), "v", "w").limit(MAX_TYPES).toPandas()
-    pairs = none.pairs
-    if len(pair):
-        v, w = (pair[x].to_numpy(np.int64).view(np.uint64) for x in ("v", "w"))
-        cc = pair[["ordinary", "toxic"]].to_numpy(np.float64)
-        at_v, at_w = np.searchsorted(words, v), np.searchsorted(words, w)
-        context = _ratio(c[at_v], expected[at_v], np.ones_like(cc)) * n
-        expected2 = cc.sum(axis=1)[:, None] * context / context.sum(axis=1)[:, None]
-        ratio2 = _ratio(cc, expected2, ratio1[at_w])
-        keys = _pair(v, w)
-        order = np.argsort(keys)
-        pairs = Lookup(keys[order], _weight(ratio2)[order])
-    model = Model(Lookup(words, values), pairs)
+    pairs = train.mapInArrow(_bigrams, BIGRAMS).groupBy("before", "word")
+    names = [f"p{k}" for k in PREFIXES[::-1]]
+    once = pairs.agg(*[F.max(c).alias(c) for c in (*names, "ordinary", "toxic")])
+    sums = [F.sum(c).alias(c) for c in ("ordinary", "toxic")]
+    words = cut(once.groupBy("word").agg(*[F.max(c).alias(c) for c in names], *sums, F.count("*").alias("both")))
+    total = words.agg(*sums, F.sum("both").alias("both")).first()
+    if not total.ordinary or not total.toxic:
+        return Model()
+    totals = np.array([total.ordinary, total.toxic], dtype=np.float64)
+    model, parent = Model(), {None: ((1.0, 1.0), float(total.both))}
+    chain = ["word", *names]  # from the word to the shortest prefix
+    for i in range(len(chain) - 1, -1, -1):
+        key, above = chain[i], chain[i + 1] if i + 1 < len(chain) else None
+        counts = words
+        if i:
+            longer = [F.max(above).alias(above)] if above else []
+            counts = words.groupBy(key).agg(*longer, *sums, F.sum("both").alias("both"))
+        level, parent = _level(counts, key, above, totals, parent)
+        model.levels.append(level)
     model.curve = _curve(model, sample.filter("fold = 0").select("text", "toxic"))
     return model
 

@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from quillstone.llm import toxicity
 
@@ -37,12 +40,66 @@ def test_held_out_accuracy(spark):
     assert s[2000] == s[2001] and s[2000] < 0.5 < s[2002] and 0 <= min(s.values()) <= max(s.values()) <= 1
 
 
+def words_of(text):
+    return re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode())
+
+
+def brute(rows):
+    """A word's probabilities in both classes, from continuation counts in dictionaries."""
+    pairs = [set(), set()]
+    for text, y in rows:
+        w = words_of(text)
+        pairs[y] |= set(zip([None, *w], w))
+    cuts = [*toxicity.PREFIXES, None]
+
+    def counts(which):
+        out = [{} for _ in cuts]
+        for _, w in which:
+            for c, k in zip(out, cuts):
+                c[w[:k]] = c.get(w[:k], 0) + 1
+        return out
+
+    mine, both = [counts(x) for x in pairs], counts(pairs[0] | pairs[1])
+    d, size = toxicity.DISCOUNT, [len(x) for x in pairs]
+
+    def probability(w, y, level=len(cuts) - 1):
+        """Of a word, or of its prefix; where it was never seen, of all unseen ones of its prefix."""
+        p, share = (1.0, len(pairs[0] | pairs[1])) if level == 0 else (probability(w, y, level - 1), both[level - 1].get(w[: cuts[level - 1]], 0))
+        key = w[: cuts[level]]
+        mass = sum(min(c, d) for c in mine[y][level].values())
+        return (max(mine[y][level].get(key, 0) - d, 0) + mass * p * (both[level].get(key, 0) or 1) / (share + 1)) / size[y]
+
+    return probability, both
+
+
+def test_against_dictionaries(spark):
+    docs, labels = corpus(200)
+    docs += [(5000 + i, f"vileone vilelike{i} rot rotte w1", "x") for i in range(20)]
+    labels += [(5000 + i, 1, 1) for i in range(20)]
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit(d, lab)
+    sample = toxicity._sample(d.select("doc_id", "text"), lab.select("doc_id", "toxic"), "doc_id", "toxic", 5)
+    probability, both = brute([(r.text, r.toxic) for r in sample.filter("fold > 0").collect()])
+    seen = sorted(both[-1])
+    # prefixes add up to one, with one share for all unseen ones
+    for y in (0, 1):
+        assert sum(probability(w, y, 0) for w in [*both[0], b"\xff\xff\xff\xff"]) == pytest.approx(1)
+    words = [w.decode() for w in seen] + ["vilelikenever", "rottenmore", "zzzz", "w1x", "vi"]
+    got, n = model.ratios(words)
+    assert n.tolist() == [1] * len(words)
+    assert got == pytest.approx([math.log(probability(w.encode(), 1) / probability(w.encode(), 0)) for w in words], rel=1e-9)
+    texts = ["vileone w1 never", "", "w1 w2 w3 " * 50]
+    for t, (a, b) in zip(texts, model.measure(texts)):
+        r = [math.log(probability(w, 1) / probability(w, 0)) for w in words_of(t)] or [0.0]
+        assert a == pytest.approx(sum(r) / len(r)) and b == pytest.approx(sum(max(x - toxicity.TELLING, 0) for x in r) / len(r) ** 0.5)
+
+
 def test_labels_outside_the_share_do_not_matter(spark):
     docs, labels = corpus(300)
     flipped = [(i, q, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, q, y in labels]
     d = spark.createDataFrame(docs, DOCS)
     a, b = (toxicity.fit(d, spark.createDataFrame(x, LABELS)) for x in (labels, flipped))
-    assert np.array_equal(a.words.values, b.words.values) and np.array_equal(a.curve, b.curve)
+    assert all(np.array_equal(x.ratio, y.ratio) for x, y in zip(a.levels, b.levels)) and np.array_equal(a.curve, b.curve)
 
 
 def test_nothing_to_learn_from(spark):
