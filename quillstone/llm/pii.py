@@ -30,6 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Texts of the training sample, in the mean, and windows made of each.
 TRAIN_TEXTS = 800
 TRAIN_WINDOW = 64
+TRAIN_CHARS = 4_000
 #: Windows of decoding: their length, how much two neighbours share, how many at once.
 WINDOW, SHARED, LANES = 512, 64, 2048
 
@@ -183,8 +184,8 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tg.Tagger:
     """Train on a sample of ``TRAIN_TEXTS`` texts in the mean, drawn by a hash of the row.
 
-    At most 4,000 characters of a sampled text are learnt from, so what the driver gets is
-    bounded. Half the sample comes from texts that have digits or an @, where there are any.
+    Of a sampled text ``TRAIN_CHARS`` characters in a row are learnt from, from a place that a
+    hash tells, or all it has; so what the driver gets is bounded. Half the sample comes from texts that have digits or an @, where there are any.
     """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(F.col(id_col), F.lit("pii")).alias("h")).filter("t <> ''")
     n = docs.count()
@@ -193,31 +194,46 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tg.Tagge
         return F.pmod(F.shiftrightunsigned("h", 20), F.lit(1 << 30)) < int(min(1.0, k / max(n, 1)) * (1 << 30))
 
     marked = F.col("t").rlike("[0-9@]")
-    drawn = rows.filter(share(8.0 * TRAIN_TEXTS)).select("h", F.substring("t", 1, 4000).alias("t"), marked.alias("m"), share(TRAIN_TEXTS / 2).alias("s"))
+    begin = F.pmod(F.xxhash64("h", "t"), F.greatest(F.length("t") - TRAIN_CHARS, F.lit(0)) + 1).cast("int")
+    stretch = F.substring(F.col("t"), begin + 1, F.lit(TRAIN_CHARS))
+    drawn = rows.filter(share(8.0 * TRAIN_TEXTS)).select("h", stretch.alias("t"), marked.alias("m"), share(TRAIN_TEXTS / 2).alias("s"))
     drawn = drawn.filter("m or s").orderBy(F.col("s").desc(), "h", "t").limit(TRAIN_TEXTS).select("t")
     return tg.train(*training_windows([r.t for r in drawn.collect()]))
 
 
-def tag(model: tg.Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Label of every character of every text: windows decoded together and reconciled."""
+def emissions(model: tg.Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (place, K) of all characters of the texts, one after the other, and where each text
+    begins (and the end). Where windows overlap their scores are averaged, each weighing less
+    towards its end."""
     xs = [tg.classes(t) for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in xs], dtype=np.int64)))
+    out = np.zeros((at[-1], tg.K), dtype=np.float32)
     where = [(i, s) for i, x in enumerate(xs) for s in range(0, max(1, len(x) - SHARED), WINDOW - SHARED) if len(x)]
-    out = [np.zeros(len(x), dtype=np.uint8) for x in xs]
     where.sort(key=lambda w: -min(WINDOW, len(xs[w[0]]) - w[1]))
-    for at in range(0, len(where), LANES):
-        part = where[at : at + LANES]
+    rise = ((np.arange(SHARED) + 1) / (SHARED + 1)).astype(np.float32)[:, None]
+    for k in range(0, len(where), LANES):
+        part = where[k : k + LANES]
         n = np.array([min(WINDOW, len(xs[i]) - s) for i, s in part])
         grid = np.zeros((len(part), int(n[0])), dtype=np.uint8)
         for j, (i, s) in enumerate(part):
             grid[j, : n[j]] = xs[i][s : s + n[j]]
-        best = model.decode(np.ascontiguousarray(grid.T), n)
-        for j in np.flatnonzero(best.any(axis=0)):
-            i, s = part[j]
-            # a neighbour has the nearer half of what is shared
-            a = SHARED // 2 if s else 0
-            b = n[j] if s + n[j] == len(xs[i]) else n[j] - SHARED // 2
-            out[i][s + a : s + b] = best[a:b, j]
-    return out
+        e = model.emissions(np.ascontiguousarray(grid.T), n)
+        for j, (i, s) in enumerate(part):
+            own = e[: n[j], :, j]
+            if s:
+                own[:SHARED] *= rise[: n[j]]
+            if s + n[j] < len(xs[i]):
+                own[-SHARED:] *= rise[::-1]
+            out[at[i] + s : at[i] + s + n[j]] += own
+    return out, at
+
+
+def tag(model: tg.Tagger, texts: list[str]) -> list[np.ndarray]:
+    """Label of every character of every text: windows overlap, and one path over all of a text
+    decides (see ``Tagger.best_of_texts``)."""
+    e, at = emissions(model, texts)
+    label = model.best_of_texts(e, at)
+    return [label[a:b] for a, b in zip(at, at[1:])]
 
 
 def _runs(label: np.ndarray) -> list[tuple[int, int, int]]:

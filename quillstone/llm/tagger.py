@@ -84,13 +84,50 @@ class Tagger:
         return score
 
     def decode(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Best labels (steps, windows).
+        """Best labels (steps, windows) of windows apart."""
+        return self.best(self.emissions(x, n), n)
+
+    def certain(self) -> float:
+        """How far ``none`` must be ahead at a place for it to be on every best path, whatever the
+        labels around: no other label's transitions gain more."""
+        gain = self.move - self.move[:, :1], self.move - self.move[:1]
+        return float(max(0.0, gain[0].max()) + max(0.0, gain[1].max())) + 1e-3
+
+    def best_of_texts(self, e: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Labels on the best path of every text, over all its places; ``e`` is (place, K), texts lie
+        one after the other from ``at[i]`` to ``at[i + 1]``.
+
+        Places that are certainly ``none`` part a text into stretches whose paths don't depend
+        on each other, so these are searched side by side, each with the places around it.
+        """
+        out = np.zeros(len(e), dtype=np.uint8)
+        open_ = e[:, 1:].max(axis=1) - e[:, 0] > -self.certain()
+        edge = np.zeros(len(e) + 1, dtype=bool)
+        edge[at] = True
+        began = open_ & (edge[:-1] | ~np.concatenate(([False], open_[:-1])))
+        ended = open_ & (edge[1:] | ~np.concatenate((open_[1:], [False])))
+        first, last = np.flatnonzero(began), np.flatnonzero(ended) + 1
+        first, last = first - ~edge[first], last + ~edge[last]
+        n = last - first
+        order = np.argsort(-n, kind="stable")
+        k = 0
+        while k < len(order):
+            lanes = order[k : k + max(1, (1 << 20) // int(n[order[k]]))]
+            k += len(lanes)
+            m, steps = n[lanes], int(n[lanes[0]])
+            place = first[lanes] + np.minimum(np.arange(steps)[:, None], m - 1)
+            best = self.best(np.ascontiguousarray(e[place].transpose(0, 2, 1)), m)
+            some = best > 0
+            out[place[some]] = best[some]
+        return out
+
+    def best(self, e: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Best labels (steps, windows) by scores (steps, K, windows).
 
         A bound on what any stretch of labels can score over ``none`` (the best label at
         each step, the best transition between any two labels) shows most windows to have
         no label; only the others are searched.
         """
-        e = self.emissions(x, n)
         steps, _, width = e.shape
         best = np.zeros((steps, width), dtype=np.uint8)
         lead = e[:, 1]

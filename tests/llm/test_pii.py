@@ -57,6 +57,43 @@ def test_decoding_is_the_best_path():
             assert abs(score(best) - score(got[:k, j])) < 1e-3 and not got[k:, j].any()
 
 
+def slow_path(e, move):
+    """Best path of one text, plainly."""
+    score, back = e[0].astype(np.float64), []
+    for x in e[1:]:
+        way = score[:, None] + move
+        back.append(way.argmax(axis=0))
+        score = way.max(axis=0) + x
+    path = [int(score.argmax())]
+    for frm in reversed(back):
+        path.append(int(frm[path[-1]]))
+    return path[::-1]
+
+
+def test_one_path_over_each_text():
+    rng = np.random.default_rng(8)
+    for scale in (1, 6):
+        lengths = [0, 1, 700, 3, 0, 40, 5]
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        e = rng.normal(0, scale, (at[-1], tg.K)).astype(np.float32)
+        e[:, 0] += 2 * scale
+        model = tg.Tagger(None, None, None, rng.normal(0, 1, (tg.K, tg.K)))
+        got = model.best_of_texts(e, at)
+        for a, b in zip(at, at[1:]):
+            if a < b:
+                assert got[a:b].tolist() == slow_path(e[a:b], model.move)
+
+
+def test_windows_are_averaged(monkeypatch):
+    """A text's scores don't jump where windows meet, and each place's weights add up to one."""
+    model = tg.train(*pii.training_windows(["write to a.b@c.example or call +1 415 555 0100 now"] * 4), steps=2)
+    text = "plain words and 10.0.0.1 " * 60
+    e, at = pii.emissions(model, ["x", text, ""])
+    assert at.tolist() == [0, 1, 1 + len(text), 1 + len(text)]
+    monkeypatch.setattr(tg.Tagger, "emissions", lambda self, x, n: np.ones((x.shape[0], tg.K, x.shape[1]), np.float32))
+    assert np.allclose(pii.emissions(model, [text, "short"])[0], 1)
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(2)
     e, move, y = rng.normal(0, 1, (5, tg.K, 3)), rng.normal(0, 1, (tg.K, tg.K)), rng.integers(0, tg.K, (5, 3))
