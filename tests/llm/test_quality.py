@@ -26,9 +26,12 @@ CASES = [None, "", " \n ", "a", "a b c", "a b c a b c", "x x x x x", "l\nl\n \n\
 
 def test_features_match_brute_force(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(CASES)], SCHEMA)
-    rows = {r.doc_id: r for r in quality.quality_report(df.drop("q")).collect()}
+    report = quality.quality_report(df)
+    assert report.columns == [*df.columns, "_q"]  # the table's own q stays
+    rows = {r.doc_id: r for r in report.collect()}
     for i, t in enumerate(CASES):
-        got = rows[i].q.asDict()
+        assert rows[i].q == "clash"
+        got = rows[i]["_q"].asDict()
         for k, v in brute(t).items():
             assert got[k] == v, (i, k, t)
 
