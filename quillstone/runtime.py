@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder set.
+    Only where the setting is absent and all tasks run in this process (tests, a laptop) is a
+    temporary folder set; on a cluster its absence raises.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return named or given.get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quillstone-checkpoint-")
+    sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
