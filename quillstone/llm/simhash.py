@@ -238,6 +238,8 @@ def hex16(fp: str = "fp"):
 #: fingerprint, bands and minimum hashes in each.
 SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 16
 BANDS, EACH = 12, 4
+#: Bytes of text taken at a time; their hashes take some fifty times as much memory.
+STEP_BYTES = 1 << 19
 
 
 def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -293,7 +295,8 @@ def sketch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     piv = wide_pivots()
     for b in batches:
-        for part in tx.pieces(((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))), lambda x: len(x[1]) + 100):
+        rows = ((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        for part in tx.pieces(rows, lambda x: len(x[1]) + 100, STEP_BYTES):
             fps, bands = sketch([t for _, t in part])
             table = _coordinates(fps, piv).T
             yield pa.RecordBatch.from_arrays(
@@ -308,7 +311,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3))
         rows = ((u, v, x.as_py(), y.as_py()) for u, v, x, y in rows)
-        for part in tx.pieces(rows, lambda x: len(x[2]) + len(x[3]) + 100):
+        for part in tx.pieces(rows, lambda x: len(x[2]) + len(x[3]) + 100, STEP_BYTES):
             h, at = shingle_sets([x[k] for x in part for k in (2, 3)])
             keep = []
             for i, (u, v, _, _) in enumerate(part):
@@ -321,9 +324,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
-    """``(u, v)``: verified links that join similar rows of ``texts(id, text)``; distinct texts as
-    UTF-8 bytes under distinct ids. Texts without words are alike."""
-    sketches = cut(texts.mapInArrow(_sketches, "id long, d int, table binary, fp binary, bands array<long>"))
+    """``(u, v)``: verified links that join similar texts of ``texts(id, text)``; UTF-8 bytes, under ids
+    that name a text each and may repeat with it. Texts without words are alike.
+
+    Only sketches move; of the texts themselves only those that have a link to verify do.
+    """
+    sketches = texts.mapInArrow(_sketches, "id long, d int, table binary, fp binary, bands array<long>")
+    sketches = cut(sketches.dropDuplicates(["id"]))
     bands = sketches.select("id", F.posexplode("bands").alias("t", "key"))
     shared = bands.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = bands.join(shared, ["t", "key"]).join(sketches.drop("bands"), "id")
@@ -331,7 +338,9 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     dealt = groups.select("t", "key", "d", "table", "fp", "id").repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
     found = dealt.mapInArrow(_search(2, WIDTH, *wide_radii(), np.uint16), "u long, v long")
     found = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
+    need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    some = cut(texts.join(need, "id").dropDuplicates(["id"]))
+    one, two = (some.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
     return found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long")
 
 
@@ -346,8 +355,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"))
     known = rows.filter("id is not null")
     body = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
-    texts = known.select(F.col("key").alias("id"), body.alias("text")).dropDuplicates(["id"])
-    comp = connected_components(similar_texts(cut(texts)))
+    comp = connected_components(similar_texts(known.select(F.col("key").alias("id"), body.alias("text"))))
     first = known.groupBy("key").agg(F.min("id").alias("id"))
     named = first.join(comp.select(F.col("v").alias("key"), "component"), "key", "left")
     named = named.select("key", "id", F.coalesce("component", "key").alias("component"))
