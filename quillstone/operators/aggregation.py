@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.sorting import ranked
+from quillstone.runtime import cut
+
 INSTANCE = ["algorithm", "parameters", "size", "instance_seed"]
 TOTAL_FIELDS = ["total_time"]
 ENUM_FIELDS = ["preprocessing", "first_output", "delays", "delay_min", "delay_max", "delay_avg", "delay_inc_max"]
@@ -18,26 +21,36 @@ def streaming(field: str, name: str | None = None) -> list[Column]:
     return [F.count(c).alias(f"{n}_n"), F.min(c).alias(f"{n}_min"), F.max(c).alias(f"{n}_max"), F.avg(c).alias(f"{n}_avg")]
 
 
-def _median(a: Column, start: Column, n: Column) -> Column:
-    """Median of ``n`` values of a sorted array from a 0-based start; the mean of two when even."""
-    low = start + F.floor((n - 1) / 2).cast("int")
-    high = start + F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(a, low) + F.get(a, high)) / 2)
-
+def storing(df: DataFrame, group: list[str], field: str, name: str | None = None) -> DataFrame:
+    """``streaming`` a group, and quartiles: medians of the lower and the upper half, the middle
+    value in neither when the count is odd. NaN and null are left out.
 
-def storing(field: str, name: str | None = None) -> list[Column]:
-    """``streaming`` and quartiles: medians of the lower and the upper half, the middle value in
-    neither when the count is odd. NaN and null are left out."""
+    Values are ranked over all groups in sorted ranges, so a group of any size is spread over
+    tasks; at most six rows a group, those that a median is the mean of, are added up.
+    """
+    if not group:
+        return storing(df.withColumn("__all", F.lit(0)), ["__all"], field, name).drop("__all")
     n = name or field
     c = F.col(field).cast("double")
-    x = F.when(~F.isnan(c), c)
-    a = F.sort_array(F.collect_list(x))
-    size = F.size(a)
-    half = F.floor(size / 2).cast("int")
-    return [
-        F.count(x).alias(f"{n}_n"), F.min(x).alias(f"{n}_min"), F.max(x).alias(f"{n}_max"), F.avg(x).alias(f"{n}_avg"),
-        _median(a, F.lit(0), half).alias(f"{n}_q1"), _median(a, F.lit(0), size).alias(f"{n}_median"), _median(a, size - half, half).alias(f"{n}_q3"),
-    ]
+    rows = df.select(*group, F.when(~F.isnan(c), c).alias("__x"))
+    whole = rows.groupBy(*group).agg(F.count("__x").alias(f"{n}_n"), F.min("__x").alias(f"{n}_min"), F.max("__x").alias(f"{n}_max"), F.avg("__x").alias(f"{n}_avg"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(ranked(rows.filter("__x is not null"), [*group, "__x"], parts, "__seq"))
+    sizes = placed.groupBy(*group).agg(F.min("__seq").alias("__first"), F.count("*").alias("__n"))
+    same = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    at = placed.alias("p").join(sizes.alias("s"), same).select(*[f"p.{g}" for g in group], "__x", "__n", (F.col("__seq") - F.col("__first")).alias("__at"))
+    half = F.floor(F.col("__n") / 2)
+
+    def median(start: Column, size: Column) -> Column:
+        low, high = start + F.floor((size - 1) / 2), start + F.floor(size / 2)
+        here = F.when(F.col("__at") == low, F.col("__x")), F.when(F.col("__at") == high, F.col("__x"))
+        return F.when(F.max(size) > 0, (F.max(here[0]) + F.max(here[1])) / 2)
+
+    halves = {"q1": (F.lit(0), half), "median": (F.lit(0), F.col("__n")), "q3": (F.col("__n") - half, half)}
+    quarters = at.groupBy(*group).agg(*[median(*x).alias(f"{n}_{k}") for k, x in halves.items()])
+    same = [F.col(f"w.{g}").eqNullSafe(F.col(f"q.{g}")) for g in group]
+    joined = whole.alias("w").join(quarters.alias("q"), same, "left")
+    return joined.select(*[f"w.{g}" for g in group], *[f"w.{n}_{k}" for k in ("n", "min", "max", "avg")], *[f"q.{n}_{k}" for k in halves])
 
 
 def reference_quality(runs: DataFrame, algorithm: str) -> DataFrame:
@@ -65,8 +78,14 @@ def per_size(runs: DataFrame, fields: list[str], quantiles: bool = False) -> Dat
     """
     means = per_instance(runs, fields)
     fields = [*fields, *(["ratio"] if "ratio" in runs.columns else [])]
-    columns = [c for f in fields for c in (storing(f) if quantiles else streaming(f))]
-    return means.groupBy("algorithm", "parameters", "size").agg(*columns).orderBy("algorithm", "parameters", "size")
+    by = ["algorithm", "parameters", "size"]
+    if not quantiles:
+        return means.groupBy(*by).agg(*[c for f in fields for c in streaming(f)]).orderBy(*by)
+    means, out = cut(means), None
+    for f in fields:
+        one = storing(means, by, f)
+        out = one if out is None else out.join(one, by)
+    return out.orderBy(*by)
 
 
 # Fixed format of measurement files: size_parameters_seed.algorithm.csv; parameters may have dots.

@@ -6,11 +6,12 @@ orders last. All sources are relaxed in the same jobs, keyed by (source, vertex)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import Graph
 from quillstone.operators.search import bfs_levels
+from quillstone.operators.sorting import ranked
 from quillstone.runtime import cut
 
 
@@ -63,16 +64,23 @@ def _found(graph: Graph, sources: DataFrame, is_weighted: bool) -> DataFrame:
 
 
 def single_source(graph: Graph, source: int, is_weighted: bool = False) -> DataFrame:
-    """All vertices' distances from one."""
+    """All vertices' distances from one; without rows where it isn't a vertex."""
     start = graph.vertices.filter(F.col("id") == source)
-    return _all_pairs(graph, start, _found(graph, start, is_weighted))
+    found = _found(graph, start, is_weighted)
+    if not start.limit(1).count():
+        return found.limit(0)
+    here = F.lit(source).cast(found.schema["src"].dataType).alias("src")
+    return graph.vertices.select(F.col("id").alias("dst")).join(found.select("dst", "dist"), "dst", "left").select(here, "dst", "dist")
+
+
+def _placed(df: DataFrame, *keys: Column | str) -> DataFrame:
+    return ranked(df, list(keys), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def enumerate_single_source(graph: Graph, source: int, is_weighted: bool = False) -> DataFrame:
     """``(phase, seq, src, dst, dist)``: by distance, then vertex; unreachable ones last, by vertex."""
-    w = Window.orderBy(F.col("dist").asc_nulls_last(), "dst")
-    out = single_source(graph, source, is_weighted)
-    return out.select(F.when(F.col("dist").isNull(), "rest").otherwise("search").alias("phase"), F.row_number().over(w).alias("seq"), "src", "dst", "dist")
+    out = _placed(single_source(graph, source, is_weighted), F.col("dist").asc_nulls_last(), "dst")
+    return out.select(F.when(F.col("dist").isNull(), "rest").otherwise("search").alias("phase"), "seq", "src", "dst", "dist")
 
 
 def all_pairs(graph: Graph, is_weighted: bool = False) -> DataFrame:
@@ -125,5 +133,6 @@ def enumerate_no_self(graph: Graph, is_weighted: bool = False) -> DataFrame:
 
 
 def enumerate_sorted(graph: Graph, is_weighted: bool = False) -> DataFrame:
-    """All pairs by distance, unreachable ones last; ties by source, then vertex."""
-    return all_pairs(graph, is_weighted).orderBy(F.col("dist").asc_nulls_last(), "src", "dst")
+    """``(seq, src, dst, dist)``: all pairs by distance, unreachable ones last; ties by source, then
+    vertex."""
+    return _placed(all_pairs(graph, is_weighted), F.col("dist").asc_nulls_last(), "src", "dst").select("seq", "src", "dst", "dist")

@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import Graph
+from quillstone.operators.sorting import ranked
 from quillstone.runtime import cut
 
 
 def dense_ids(nodes: DataFrame, key: str) -> DataFrame:
-    """``(key, id)``: ids 0..n-1 in the order of the keys.
-
-    Ranges of keys are numbered apart and shifted by the sizes of those before; the driver
-    sees a number a range.
-    """
+    """``(key, id)``: ids 0..n-1 in the order of the keys; see ``sorting.ranked``."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(nodes.select(key).distinct().repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()))
-    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
-    shifts, total = [], 0
-    for p in sorted(sizes):
-        shifts.append((p, total))
-        total += sizes[p]
-    shift = F.broadcast(nodes.sparkSession.createDataFrame(shifts, "__part int, __before long"))
-    w = Window.partitionBy("__part").orderBy(key)
-    return ranged.join(shift, "__part").select(key, (F.col("__before") + F.row_number().over(w) - 1).alias("id"))
+    return ranked(nodes.select(key).distinct(), [key], n, "id").select(key, (F.col("id") - 1).alias("id"))
 
 
 def translate(edges: DataFrame, ids: DataFrame, key: str) -> DataFrame:

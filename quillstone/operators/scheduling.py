@@ -8,9 +8,15 @@ can be scheduled in ranges by ``one_machine_in_ranges``.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sorting import sorted_ranges
 from quillstone.runtime import cut
 
 
@@ -29,16 +35,29 @@ def one_machine(jobs: DataFrame) -> DataFrame:
     return out.select("instance_id", F.row_number().over(w).cast("long").alias("seq"), "job", F.col("start").cast("long").alias("start"))
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts of a sorted range's jobs as if it began at time 0, and the time before each."""
+    total, lead = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        p, r = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("p", "r"))
+        before = total + np.cumsum(p) - p
+        most = np.maximum.accumulate(r - before)
+        most = most if lead is None else np.maximum(most, lead)
+        total, lead = int(before[-1] + p[-1]), int(most[-1])
+        cols = [b.column("job"), b.column("__part"), pa.array(p), pa.array(before), pa.array(before + most)]
+        yield pa.RecordBatch.from_arrays(cols, ["job", "part", "p", "before", "start"])
+
+
 def one_machine_in_ranges(jobs: DataFrame, parts: int) -> DataFrame:
     """``(job, start)`` of one instance too large for one task: ranges of release times.
 
     A range maps its entry time t to ``max(t + S, M)``; two numbers a range reach the driver,
-    are composed there, and give each range its entry time.
+    are composed there, and give each range its entry time. Jobs move once.
     """
-    ranged = cut(jobs.repartitionByRange(parts, "r", "job").withColumn("part", F.spark_partition_id()))
-    w = Window.partitionBy("part").orderBy("r", "job")
-    before, start = _starts(w, F.col("r"), F.col("p"))
-    local = ranged.withColumn("before", before).withColumn("start", start)
+    ranged = sorted_ranges(jobs.select(F.col("job").cast("long").alias("job"), F.col("p").cast("long").alias("p"), F.col("r").cast("long").alias("r")), ["r", "job"], parts)
+    local = cut(ranged.mapInArrow(_scan, "job long, part int, p long, before long, start long"))
     sums = local.groupBy("part").agg(F.sum("p").alias("s"), F.max(F.col("start") + F.col("p")).alias("m")).orderBy("part").collect()
     entry, rows = 0, []
     for r in sums:
@@ -73,18 +92,32 @@ def in_order(jobs: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(jobs, ["instance_id", "job"]).select("instance_id", "seq", "job", F.coalesce(F.sum("p").over(w), F.lit(0)).cast("long").alias("start"))
 
 
-def _fold(ordered: Column, machines: Column, loads: Column) -> Column:
-    """Assign jobs of an array, in its order, each to the least loaded machine (the first of equals)."""
-    zero = F.struct(loads.alias("loads"), F.expr("cast(array() as array<struct<job: bigint, machine: int, start: bigint>>)").alias("out"))
-
-    def step(a: Column, j: Column) -> Column:
-        low = F.array_min(a["loads"])
-        at = F.array_position(a["loads"], low).cast("int")
-        loads = F.transform(a["loads"], lambda x, i: F.when(i == at - 1, x + j["p"]).otherwise(x))
-        put = F.struct(j["job"].alias("job"), (at - 1).alias("machine"), low.alias("start"))
-        return F.struct(loads.alias("loads"), F.array_append(a["out"], put).alias("out"))
-
-    return F.aggregate(ordered, zero, step)
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each job of a sorted stream to the least loaded machine (the first of equals) of its
+    instance. A heap of machines is all that is kept from row to row."""
+    held, heap, seq = None, [], 0
+    for b in batches:
+        out = []
+        for i, machines, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if i != held:
+                held, heap, seq = i, [(0, k) for k in range(machines)], 0
+            load, k = heap[0]
+            heapq.heapreplace(heap, (load + p, k))
+            seq += 1
+            out.append((seq, k, load))
+        if out:
+            done = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), *done], ["instance_id", "job", "phase", "seq", "machine", "start"])
+
+
+def _assigned(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``(instance_id, job, phase, seq, machine, start)`` of ``rows(instance_id, machines, p, job,
+    phase)`` in an order. Instances are streams of their own; one is sequential by nature and
+    stays in one task, whose memory doesn't grow with it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "instance_id").sortWithinPartitions("instance_id", *order)
+    cols = [F.col("instance_id").cast("long").alias("instance_id"), F.col("machines").cast("int").alias("machines"), F.col("p").cast("long").alias("p"), F.col("job").cast("long").alias("job"), "phase"]
+    return dealt.select(*cols).mapInArrow(_assign, "instance_id long, job long, phase string, seq long, machine int, start long")
 
 
 def longest_first(jobs: DataFrame, machines: DataFrame) -> DataFrame:
@@ -92,10 +125,8 @@ def longest_first(jobs: DataFrame, machines: DataFrame) -> DataFrame:
 
     ``jobs(instance_id, job, p)``, ``machines(instance_id, machines)``; machines count from 0.
     """
-    by = F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("neg"), "job", F.col("p").cast("long").alias("p"))))
-    inst = jobs.groupBy("instance_id").agg(by.alias("jobs")).join(machines, "instance_id")
-    done = inst.select("instance_id", _fold(F.col("jobs"), F.col("machines"), F.array_repeat(F.lit(0).cast("long"), F.col("machines")))["out"].alias("out"))
-    return done.select("instance_id", F.posexplode("out").alias("seq", "x")).select("instance_id", (F.col("seq") + 1).cast("long").alias("seq"), "x.job", "x.machine", "x.start")
+    rows = jobs.join(machines, "instance_id").withColumn("phase", F.lit("search"))
+    return _assigned(rows, F.col("p").desc(), "job").select("instance_id", "seq", "job", "machine", "start")
 
 
 def enumerate_longest_first(jobs: DataFrame, machines: DataFrame) -> DataFrame:
@@ -110,20 +141,11 @@ def enumerate_longest_first(jobs: DataFrame, machines: DataFrame) -> DataFrame:
     size = 3 * F.col("machines")
     rows = rows.withColumn("block", F.floor(F.col("k") / size)).withColumn("whole", (F.col("block") + 1) * size <= F.col("n"))
     best = F.row_number().over(Window.partitionBy("instance_id", "block").orderBy("p", "k"))
-    rows = rows.withColumn("credit", F.col("whole") & (best == 1))
-    item = lambda *c: F.struct(*c, "job", F.col("p").cast("long").alias("p"))
-    inst = rows.groupBy("instance_id", "machines").agg(
-        F.sort_array(F.collect_list(F.when(F.col("credit"), item("block")))).alias("a"),
-        F.sort_array(F.collect_list(F.when(~F.col("credit"), item((-F.col("p")).alias("neg"))))).alias("b"),
-    )
-    first = inst.withColumn("one", _fold(F.col("a"), F.col("machines"), F.array_repeat(F.lit(0).cast("long"), F.col("machines"))))
-    both = first.withColumn("two", _fold(F.col("b"), F.col("machines"), F.col("one.loads")))
-
-    def tag(parts: Column, phase: str) -> Column:
-        return F.transform(parts, lambda x: F.struct(F.lit(phase).alias("phase"), x["job"].alias("job"), x["machine"].alias("machine"), x["start"].alias("start")))
-
-    tagged = F.concat(tag(F.col("one.out"), "credit"), tag(F.col("two.out"), "search"))
-    return both.select("instance_id", F.posexplode(tagged).alias("seq", "x")).select("instance_id", "x.phase", (F.col("seq") + 1).cast("long").alias("seq"), "x.job", "x.machine", "x.start")
+    credit = F.col("whole") & (F.col("best") == 1)
+    rows = rows.withColumn("best", best).withColumn("phase", F.when(credit, "credit").otherwise("search"))
+    late = F.col("phase") == "search"
+    done = _assigned(rows, late, F.when(~late, F.col("block")), F.when(late, -F.col("p")), "job")
+    return done.select("instance_id", "phase", "seq", "job", "machine", "start")
 
 
 def makespan(schedule: DataFrame, jobs: DataFrame) -> DataFrame:

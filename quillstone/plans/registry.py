@@ -453,7 +453,7 @@ def sort_ranked(spark, d):
     return out.select("l_orderkey", "l_linenumber", "seq")
 
 
-@query("SELECT p_size, p_partkey FROM part")
+@query("SELECT p_size, p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS seq FROM part")
 def sort_counting(spark, d):
     return sorting.counting_sort(table(spark, d, "part").select("p_size", "p_partkey"), "p_size", "p_partkey")
 
@@ -490,7 +490,7 @@ def _quartiles(v: str, source: str, group: str, name: str) -> str:
 
 @query(_quartiles("l_quantity", "lineitem", "l_suppkey", "l_quantity"))
 def agg_storing(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(*aggregation.storing("l_quantity"))
+    return aggregation.storing(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity")
 
 
 @query(f"WITH {_MEASURED} SELECT algorithm, parameters, size, instance_seed, avg(total_time) AS total_time FROM m GROUP BY 1, 2, 3, 4")

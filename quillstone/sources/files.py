@@ -85,3 +85,16 @@ def download(url: str, path: str, opener: Callable | None = None) -> str:
         shutil.copyfileobj(src, out)
     os.replace(f"{path}.part", path)
     return "downloaded"
+
+
+def fetch_links(spark: SparkSession, links: str, folder: str, opener: Callable | None = None, log: Callable[[str], None] = print) -> dict[str, str]:
+    """Fetch every file of a list (see ``read_links``) in turn, below ``folder``; what became of each,
+    by path. One that fails is reported and the next is fetched."""
+    out = {}
+    for r in read_links(spark, links).toLocalIterator():
+        try:
+            out[r["path"]] = download(r["url"], f"{folder}/{r['path']}", opener)
+        except OSError as e:
+            out[r["path"]] = "failed"
+            log(f"{r['url']}: {e}")
+    return out

@@ -1,34 +1,75 @@
+import io
 import itertools
+import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import generate, geo
-from quillstone.operators import aggregation, matrix, search, sorting
-from quillstone.plans import runner, sets
+from quillstone.operators import aggregation, matrix, scheduling, search, sorting
+from quillstone.plans import cli, runner, sets
 from quillstone.sources import files, osm
 from quillstone.streaming import emissions
 
 
 def test_sorting(spark):
-    values = [49, 81, 74, 12, 58, 92, 86, 33, 67, 18, 25, 37, 51, 63, 29, 41]
+    values = [(i * 37) % 101 for i in range(16)]
     df = spark.createDataFrame([(v,) for v in values], "value long")
     assert [r.value for r in sorting.incremental(df, ["value"], first=4)] == sorted(values)
-    assert [r.value for r in itertools.islice(sorting.incremental(df, ["value"], ascending=False), 3)] == [92, 86, 81]
+    assert [r.value for r in itertools.islice(sorting.incremental(df, ["value"], ascending=False), 3)] == sorted(values)[:-4:-1]
     assert "TakeOrderedAndProject" in sorting.smallest(df, ["value"], 3)._jdf.queryExecution().executedPlan().toString()
+    # fixed values: the figure of counting sort in Cormen et al.
     keyed = spark.createDataFrame([(k, i) for i, k in enumerate((2, 5, 3, 0, 2, 3, 0, 3))], "k long, pos long")
-    assert [(r.pos, r.k) for r in sorting.counting_sort(keyed, "k", "pos").collect()] == [(3, 0), (6, 0), (0, 2), (4, 2), (2, 3), (5, 3), (7, 3), (1, 5)]
+    by = sorting.counting_sort(keyed, "k", "pos").orderBy("seq").collect()
+    assert [(r.pos, r.k) for r in by] == [(3, 0), (6, 0), (0, 2), (4, 2), (2, 3), (5, 3), (7, 3), (1, 5)]
     assert [r.seq for r in sorting.ranked(df, ["value"], 3).orderBy("value").collect()] == list(range(1, 17))
     assert {(r.k, r.pos) for r in sorting.first_per_group(keyed, ["k"], ["pos"]).collect()} == {(0, 3), (2, 0), (3, 2), (5, 1)}
 
 
+def test_orders_with_ties(spark):
+    """Rows of equal keys all come, once each, in either way of reading an order."""
+    rows = [(i % 7, i, None if i % 3 else "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, row long, n string").repartition(5)
+    got = list(sorting.incremental(df, ["k"], first=64))
+    assert [r.k for r in got] == sorted(r[0] for r in rows) and sorted((r.k, r.row, r.n) for r in got) == sorted(rows, key=lambda r: r[:2])
+    falling = [r.k for r in sorting.incremental(df, ["k"], ascending=False, first=1)]
+    assert falling == sorted((r[0] for r in rows), reverse=True)
+    place = sorting.ranked(df, ["k"], 4).collect()
+    assert sorted(r.seq for r in place) == list(range(1, 2001))
+    assert [r.k for r in sorted(place, key=lambda r: r.seq)] == sorted(r[0] for r in rows)
+
+
+def test_orders_move_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS k", "id AS row")
+    for out in (sorting.ranked(df, ["k", "row"], 4), scheduling.one_machine_in_ranges(df.selectExpr("row AS job", "k AS p", "row AS r"), 4)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    single = aggregation.storing(df, ["k"], "row")
+    assert "collect_list" not in single._jdf.queryExecution().toString()
+
+
+# fixed values: samples with their quartiles from the encyclopedia's article on quartiles
 @pytest.mark.parametrize(("values", "avg", "quartiles"), [([6, 7, 15, 36, 39, 40, 41, 42, 43, 47, 49], 33.18181, (15, 40, 43)), ([7, 15, 36, 39, 40, 41], 29.66666, (15, 37.5, 40)), ([5], 5, (None, 5, None))])
 def test_quartiles(spark, values, avg, quartiles):
     df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),), (None,)], "x double")
-    r = df.agg(*aggregation.storing("x")).first()
+    r = aggregation.storing(df, [], "x").first()
     assert r.x_n == len(values) and r.x_avg == pytest.approx(avg, abs=1e-4) and (r.x_q1, r.x_median, r.x_q3) == quartiles
 
 
+def test_quartiles_of_groups(spark):
+    rng = random.Random(4)
+    rows = [(k, float(rng.randint(0, 30))) for k in (None, "a", "b") for _ in range(rng.randint(30, 60))] + [("one", 3.0), ("none", None)]
+    got = {r.g: r for r in aggregation.storing(spark.createDataFrame(rows, "g string, x double"), ["g"], "x").collect()}
+    assert set(got) == {None, "a", "b", "one", "none"}
+    for g, r in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        half = len(v) // 2
+        q = [statistics.median(x) if x else None for x in (v[:half], v, v[len(v) - half :])]
+        assert [r.x_q1, r.x_median, r.x_q3] == q and r.x_n == len(v)
+
+
 def test_measurements(spark):
     rows = [("a", "p", 10, "1", 0, 10, 2.0), ("a", "p", 10, "1", 1, 30, 4.0), ("a", "p", 10, "2", 0, 100, 9.0), ("b", "p", 10, "1", 0, 5, 1.5)]
     runs = spark.createDataFrame(rows, runner.MEASUREMENT)
@@ -40,10 +81,10 @@ def test_measurements(spark):
 
 
 def test_file_names(spark):
-    good = "/x/42_parameter1-parameter2_123456.my-algorithm.csv"
+    good = "/x/80_dense-loops_9914.some-way.csv"
     names = [good, "42_n.sqrt(n)_7.a.csv", "x_p_1.a.csv", "42_p.a.csv", "42_p_1.csv", "42_p_1_2.a.csv", "42_p_1.a.json"]
     got = [tuple(r) for r in spark.createDataFrame([(n,) for n in names], "path string").select(*aggregation.parse_path(F.col("path"))).collect()]
-    assert got[0] == ("my-algorithm", "parameter1-parameter2", 42, "123456") and got[1] == ("a", "n.sqrt(n)", 42, "7")
+    assert got[0] == ("some-way", "dense-loops", 80, "9914") and got[1] == ("a", "n.sqrt(n)", 42, "7")
     assert all(r[2] is None for r in got[2:])
     assert aggregation.file_name("a", "p", 3, "9") == "3_p_9.a.csv"
 
@@ -59,6 +100,7 @@ def test_arrays_and_matrices(spark):
 
 
 def test_generators(spark):
+    # fixed values: first draws of the published benchmark generator (Taillard 1993), instance ta001
     first = [r.value for r in generate.lcg_draws(spark, 873654221, 6, 1, 99).orderBy("k").collect()]
     assert first == [54, 83, 15, 71, 77, 36] and generate.lcg_state(2**31 - 1) == 0xBAD
     shop = generate.flow_shop(spark, 20, 5, 873654221)
@@ -170,9 +212,66 @@ def test_emission_measures(spark, tmp_path):
 
 
 def test_runner(spark, tmp_path):
-    out = runner.run_set(spark, [*sets.SETS["sorting"], runner.Algorithm("broken", lambda df: 1 / 0)], lambda n, seed: generate.elements(spark, n, seed), [50, 10**9], 1, runner.Options(runs=2, max_size=1000, log=lambda s: None), f"{tmp_path}/m")
-    assert out.count() == 6 and spark.read.parquet(f"{tmp_path}/m").count() == 6
-    assert set(sets.SETS) >= {"mst", "p-cmax", "apsd-weighted", "lazy-array"} and len(sets.SETS["mst"]) == 10
+    options = runner.Options(runs=2, max_size=1000, log=lambda s: None)
+    broken = runner.Algorithm("broken", lambda df: 1 / 0)
+    total, pulled = runner.run_set(spark, [*sets.SETS["sorting"], broken], lambda n, seed: generate.elements(spark, n, seed), [50, 10**9], 1, options, f"{tmp_path}/m")
+    assert total.count() == 2 and spark.read.parquet(f"{tmp_path}/m/total").count() == 2
+    rows = pulled.collect()
+    assert sorted(r.algorithm for r in rows) == ["enum-ihs"] * 2 + ["enum-iqs"] * 2
+    assert all(r.delays == 50 and 0 < r.preprocessing < r.first_output and r.delay_min <= r.delay_avg <= r.delay_max for r in rows)
+
+
+def test_delays_are_those_of_a_table_of_emissions(spark):
+    rng = random.Random(9)
+    t = list(itertools.accumulate(rng.randint(1, 99) for _ in range(30)))
+    times = list(enumerate(t))
+    want = emissions.measures(spark.createDataFrame([("r", *x) for x in times], "run string, seq long, t long"), ["run"]).drop("run").first()
+    assert runner.delays(times) == pytest.approx(tuple(want))
+    assert runner.delays([(0, 7)]) == (7, None, 0, None, None, None, None)
+    ticks = iter(range(0, 100, 10))
+    assert list(runner.emitted("ab", lambda: next(ticks))) == [(0, 10), (1, 20), (2, 30)]
+
+
+def test_experiment_sets(spark, tmp_path):
+    """All fifteen, each with its smallest place of the grid; instances are kept, statistics written,
+    and measurements aggregated from the folder."""
+    assert len(sets.EXPERIMENTS) == 15 and len(sets.SETS["mst"]) == 10
+    cells = {}
+    for name, x in sets.EXPERIMENTS.items():
+        grid = list(itertools.islice(x.grid(spark, runner.Options()), 3))
+        cells[name] = [(c.size, c.parameters) for c in grid]
+    assert cells["p_cmax"] == [(10, "2"), (10, "3"), (10, "4")] and cells["sssd_u_osm"] == []
+    assert cells["mst"] == [(100, "0.25"), (100, "0.125"), (100, "0.0625")] and cells["sort"][0] == (10, "default")
+    options = runner.Options(runs=1, cache=f"{tmp_path}/c", statistics=[runner.graph_statistics], log=lambda s: pytest.fail(s))
+    for _ in range(2):  # the second time from the kept instance
+        runner.run_grid(spark, sets.SETS["p-cmax"][:1], itertools.islice(sets.EXPERIMENTS["p_cmax"].grid(spark, options), 1), 1, options, f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p/total").count() == 2
+    small = runner.Cell(12, "0.5", lambda spark, seed: generate.undirected(spark, 12, 0.5, seed, weights=(1, 9)))
+    some = [a for a in sets.SETS["mst"] if a.name in ("total-prim", "incremental-kruskal")]
+    runner.run_grid(spark, some, [small], 1, options, f"{tmp_path}/g")
+    assert cli.main(["aggregate", f"{tmp_path}/g", "--offline"], spark) == 0
+    table = spark.read.option("header", True).csv(f"{tmp_path}/g/enumeration-table")
+    assert "delay_avg_q1" in table.columns and table.count() == 1
+    folder = next(p for p in os.listdir(f"{tmp_path}/g/statistics"))
+    assert spark.read.parquet(f"{tmp_path}/g/statistics/{folder}/0").first().num_vertices == 12
+    with pytest.raises(SystemExit):
+        cli.main(["run", "no-such-set", "x"], spark)
+
+
+def test_links_are_fetched_in_turn(spark, tmp_path):
+    (tmp_path / "links.csv").write_text("path,url\na/one.osm.pbf,http://x/1\nb.osm.pbf,http://x/bad\nc.osm.pbf,http://x/3\n")
+    asked = []
+
+    def opener(url):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError("no such file")
+        return io.BytesIO(url.encode())
+
+    get = lambda: files.fetch_links(spark, f"{tmp_path}/links.csv", f"{tmp_path}/f", opener, lambda s: None)
+    assert get() == {"a/one.osm.pbf": "downloaded", "b.osm.pbf": "failed", "c.osm.pbf": "downloaded"}
+    assert asked == ["http://x/1", "http://x/bad", "http://x/3"] and (tmp_path / "f/a/one.osm.pbf").read_bytes() == b"http://x/1"
+    assert get()["a/one.osm.pbf"] == "already exists"
 
 
 def test_sorting_enumerations_give_every_element(spark):
