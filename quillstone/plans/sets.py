@@ -72,13 +72,12 @@ def _both(*grids: Callable) -> Callable:
     return lambda spark, options: chain.from_iterable(g(spark, options) for g in grids)
 
 
-def _roads(is_weighted: bool, **only: str) -> Callable:
+def _roads(is_weighted: bool, **only: list[str]) -> Callable:
     """A cell for each road file; its size is the file's in bytes."""
 
     def read(spark, path: str) -> Graph:
-        osm.register(spark)
-        load = lambda t: spark.read.format("osm_roads").options(table=t, merge_ways="true", **only).load(path)
-        return ingest.build(load("nodes").select("key"), load("edges"), "key", "length" if is_weighted else None)[0]
+        nodes, edges = osm.roads(spark, path, require=only)
+        return ingest.build(nodes.select("key"), edges, "key", "length" if is_weighted else None)[0]
 
     def grid(spark, options: Options) -> Iterator[Cell]:
         return (Cell(size, path.rsplit("/", 1)[-1].split(".")[0].replace("_", "-"), lambda spark, seed, path=path: read(spark, path)) for path, size in road_files(spark, options))
@@ -164,7 +163,7 @@ SETS: dict[str, list[Algorithm]] = {
 _GRAPHS = _steps(100, 200_000)
 _PAIRS = _steps(100, 10_000)
 _CLIQUES = _steps(100, 30_000)
-_MOTORWAYS = {"require": "highway=motorway;highway=motorway_link"}
+_MOTORWAYS = {"highway": ["motorway", "motorway_link"]}
 
 #: The experiment sets by the names they are run by.
 EXPERIMENTS: dict[str, ExperimentSet] = {

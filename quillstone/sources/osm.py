@@ -1,22 +1,28 @@
-"""A Spark data source for OpenStreetMap road graphs in the protobuf format.
+"""OpenStreetMap road graphs from files in the protobuf format.
 
-``spark.read.format("osm_roads").option("table", "nodes" | "edges").load(path)`` after
-``register(spark)``. Options: ``require`` ("key=value;key=value2": of each key one value must
-match), ``merge_ways`` (drop nodes of degree two inside ways, the default) and ``max_size``
-(largest number of edges, else an error). One file is one partition.
+A data source reads raw tables: ``spark.read.format("osm").option("table", "nodes" | "ways")``
+after ``register(spark)``, from a path or URI that Arrow's file systems know (several are parted
+by commas). Files are sequences of independent blocks; the planner reads their headers, and every
+task the blocks of a stretch of a file. ``roads`` joins the tables to nodes and edges.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillstone.functions.geo import RADIUS
+from quillstone.runtime import cut
+
+#: Least bytes of a file that a task reads, but for a file's last.
+STRETCH = 16 << 20
 
 
 class TooLarge(ValueError):
@@ -62,8 +68,23 @@ def _running(values: list[int]) -> list[int]:
     return out
 
 
+def stretches(path: str) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes of a file, each of whole blocks and of ``STRETCH`` bytes or little more; only the
+    headers of blocks are read."""
+    fs, inner = FileSystem.from_uri(path)
+    with fs.open_input_file(inner) as f:
+        size, start, at = f.size(), 0, 0
+        while at + 4 <= size:
+            f.seek(at)
+            n = struct.unpack(">I", f.read(4))[0]
+            at += 4 + n + dict(_fields(f.read(n)))[3]
+            if at - start >= STRETCH or at + 4 > size:
+                yield start, at
+                start = at
+
+
 def blocks(data: bytes) -> Iterator[bytes]:
-    """Unpacked data blocks of a file."""
+    """Unpacked data blocks of a stretch."""
     i = 0
     while i + 4 <= len(data):
         n = struct.unpack(">I", data[i : i + 4])[0]
@@ -75,101 +96,110 @@ def blocks(data: bytes) -> Iterator[bytes]:
             yield blob[1] if 1 in blob else zlib.decompress(blob[3])
 
 
-def parse(data: bytes) -> tuple[dict[int, tuple[float, float]], list[tuple[list[int], dict[str, str]]]]:
-    """Nodes (longitude, latitude) and ways (node ids, tags)."""
-    nodes, ways = {}, []
-    for block in blocks(data):
-        strings, groups, unit, lat0, lon0 = [], [], 100, 0, 0
-        for k, v in _fields(block):
-            if k == 1:
-                strings = [x.decode() for _, x in _fields(v)]
-            elif k == 2:
-                groups.append(v)
-            elif k == 17:
-                unit = v
-            elif k == 19:
-                lat0 = v
-            elif k == 20:
-                lon0 = v
-        degree = lambda x, x0: 1e-9 * (x0 + unit * x)  # noqa: E731,B023
-        for g in groups:
-            for kind, v in _fields(g):
-                f = defaultdict(list)
-                for k, x in _fields(v):
-                    f[k].append(x)
-                if kind == 2:  # dense nodes
-                    ids, lats, lons = (_running(_packed(f[k][0], True)) for k in (1, 8, 9))
-                    nodes |= {i: (degree(lo, lon0), degree(la, lat0)) for i, la, lo in zip(ids, lats, lons)}
-                elif kind == 1:
-                    zig = lambda x: (x >> 1) ^ -(x & 1)
-                    nodes[zig(f[1][0])] = (degree(zig(f[9][0]), lon0), degree(zig(f[8][0]), lat0))
-                elif kind == 3:
-                    keys, vals = (_packed(b"".join(f[k])) for k in (2, 3))
-                    ways.append((_running(_packed(b"".join(f[8]), True)), {strings[a]: strings[b] for a, b in zip(keys, vals)}))
-    return nodes, ways
-
-
-def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
-    lon1, lat1, lon2, lat2 = (math.radians(x) for x in (*a, *b))
-    h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
-    return 2 * RADIUS * math.asin(min(1.0, math.sqrt(h)))
-
-
-def roads(data: bytes, require: dict[str, set[str]], merge: bool, max_size: int | None):
-    """Nodes in use and edges (source, target, length) along the ways that match."""
-    nodes, ways = parse(data)
-    ways = [w for w, tags in ways if all(tags.get(k) in v for k, v in require.items())]
-    uses = Counter(n for w in ways for n in w)
-    edges = []
-    for w in ways:
-        w = [n for n in w if n in nodes]
-        start, length = 0, 0.0
-        for i in range(1, len(w)):
-            length += metres(nodes[w[i - 1]], nodes[w[i]])
-            if not merge or i == len(w) - 1 or uses[w[i]] > 1:
-                edges.append((w[start], w[i], length))
-                start, length = i, 0.0
-        if max_size is not None and len(edges) > max_size:
-            raise TooLarge(f"more than {max_size} edges")
-    used = {n for a, b, _ in edges for n in (a, b)}
-    return [(n, *nodes[n]) for n in sorted(used)], edges
-
-
-class File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def _zig(x: int) -> int:
+    return (x >> 1) ^ -(x & 1)
+
+
+def rows_of(block: bytes, table: str) -> Iterator[tuple]:
+    """A block's nodes (id, longitude, latitude), or its ways (id, node ids, tags)."""
+    strings, groups, unit, lat0, lon0 = [], [], 100, 0, 0
+    for k, v in _fields(block):
+        if k == 1:
+            strings = [x.decode() for _, x in _fields(v)]
+        elif k == 2:
+            groups.append(v)
+        elif k == 17:
+            unit = v
+        elif k == 19:
+            lat0 = v
+        elif k == 20:
+            lon0 = v
+    for g in groups:
+        for kind, v in _fields(g):
+            if (kind == 3) != (table == "ways"):
+                continue
+            f = defaultdict(list)
+            for k, x in _fields(v):
+                f[k].append(x)
+            if kind == 2:  # dense nodes
+                ids, lats, lons = (_running(_packed(f[k][0], True)) for k in (1, 8, 9))
+                yield from ((i, 1e-9 * (lon0 + unit * lo), 1e-9 * (lat0 + unit * la)) for i, la, lo in zip(ids, lats, lons))
+            elif kind == 1:
+                yield _zig(f[1][0]), 1e-9 * (lon0 + unit * _zig(f[9][0])), 1e-9 * (lat0 + unit * _zig(f[8][0]))
+            elif kind == 3:
+                keys, vals = (_packed(b"".join(f[k])) for k in (2, 3))
+                yield f[1][0], _running(_packed(b"".join(f[8]), True)), {strings[a]: strings[b] for a, b in zip(keys, vals)}
+
+
+class Stretch(InputPartition):
+    def __init__(self, path: str, start: int, end: int) -> None:
+        self.path, self.start, self.end = path, start, end
 
 
 class Reader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.options = options
+        self.paths, self.table = options["path"].split(","), options.get("table", "nodes")
 
-    def partitions(self) -> list[File]:
-        return [File(p) for p in self.options["path"].split(",")]
+    def partitions(self) -> list[Stretch]:
+        return [Stretch(p, *x) for p in self.paths for x in stretches(p)]
 
-    def read(self, partition: File) -> Iterator[tuple]:
-        with open(partition.path.removeprefix("file://"), "rb") as f:
-            data = f.read()
-        require = defaultdict(set)
-        for x in filter(None, self.options.get("require", "").split(";")):
-            k, _, v = x.partition("=")
-            require[k].add(v)
-        size = self.options.get("max_size")
-        nodes, edges = roads(data, require, self.options.get("merge_ways", "true") == "true", int(size) if size else None)
-        yield from nodes if self.options.get("table", "edges") == "nodes" else edges
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        fs, inner = FileSystem.from_uri(partition.path)
+        with fs.open_input_file(inner) as f:
+            f.seek(partition.start)
+            data = f.read(partition.end - partition.start)
+        for block in blocks(data):
+            yield from rows_of(block, self.table)
 
 
-class OsmRoads(DataSource):
+class Osm(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "osm_roads"
+        return "osm"
 
     def schema(self) -> str:
-        return "key long, lon double, lat double" if self.options.get("table", "edges") == "nodes" else "src long, dst long, length double"
+        return "way long, refs array<long>, tags map<string, string>" if self.options.get("table", "nodes") == "ways" else "key long, lon double, lat double"
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
 
-def register(spark) -> None:
-    spark.dataSource.register(OsmRoads)
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Osm)
+
+
+def metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Great-circle distance of places in degrees."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
+    h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
+    return 2 * RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def roads(spark: SparkSession, path: str, require: dict[str, list[str]] | None = None, merge_ways: bool = True, max_size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(key, lon, lat)`` of nodes in use, and edges ``(src, dst, length)`` along the ways that match:
+    of each required key one value must. ``merge_ways`` joins what lies between ends and crossings
+    to one edge. References to nodes that aren't in the file are left out. More than ``max_size``
+    edges raise ``TooLarge``.
+    """
+    register(spark)
+    load = lambda t: spark.read.format("osm").option("table", t).load(path)
+    ways = load("ways")
+    for k, values in (require or {}).items():
+        ways = ways.filter(F.col("tags")[k].isin(*values))
+    refs = ways.select("way", F.posexplode("refs").alias("pos", "key"))
+    uses = refs.groupBy("key").agg(F.count("*").alias("uses"))
+    placed = refs.join(load("nodes"), "key").join(uses, "key")
+    w = Window.partitionBy("way").orderBy("pos")
+    before = lambda c: F.lag(c).over(w)
+    steps = placed.select(
+        "way", "pos", "key", before("key").alias("from"), metres(before("lon"), before("lat"), F.col("lon"), F.col("lat")).alias("step"),
+        (F.lit(not merge_ways) | (F.col("uses") > 1) | F.lead("key").over(w).isNull()).alias("ends"),
+    )
+    steps = steps.filter("`from` is not null")
+    part = F.coalesce(F.sum(F.col("ends").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = steps.withColumn("part", part).groupBy("way", "part").agg(F.min_by("from", "pos").alias("src"), F.max_by("key", "pos").alias("dst"), F.sum("step").alias("length"))
+    edges = cut(edges.select("src", "dst", "length"))
+    if max_size is not None and edges.limit(max_size + 1).count() > max_size:
+        raise TooLarge(f"more than {max_size} edges")
+    used = edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    return load("nodes").join(used, "key"), edges

@@ -3,6 +3,7 @@ import itertools
 import os
 import random
 import statistics
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,28 +175,37 @@ def _f(k, v):
     return _v(k << 3) + _v(v) if isinstance(v, int) else _v(k << 3 | 2) + _v(len(v)) + v
 
 
-def test_road_source(spark, tmp_path):
+def test_road_source(spark, tmp_path, monkeypatch):
     zig = lambda xs: b"".join(_v(x << 1 if x >= 0 else ~(x << 1)) for x in xs)
     diff = lambda xs: [b - a for a, b in zip([0, *xs], xs)]
     ids, lat, lon = [10, 11, 12, 13], [500000000, 500010000, 500020000, 500030000], [80000000] * 4
     dense = _f(1, zig(diff(ids))) + _f(8, zig(diff(lat))) + _f(9, zig(diff(lon)))
     way = lambda k, refs, tag: _f(1, k) + _f(2, _v(1)) + _f(3, _v(tag)) + _f(8, zig(diff(refs)))
     strings = b"".join(_f(1, s) for s in (b"", b"highway", b"motorway", b"path"))
-    block = _f(1, strings) + _f(2, _f(2, dense)) + _f(2, _f(3, way(1, [10, 11, 12], 2)) + _f(3, way(2, [12, 13], 3)))
-    blob, data = _f(1, block), b""
-    head = _f(1, b"OSMData") + _f(3, len(blob))
-    data = len(head).to_bytes(4, "big") + head + blob
+    data = b""
+    # nodes and ways in blocks of their own, one of them compressed
+    for i, group in enumerate((_f(2, dense), _f(3, way(1, [10, 11, 12], 2)) + _f(3, way(2, [12, 99, 13], 3)))):
+        raw = _f(1, strings) + _f(2, group)
+        blob = _f(3, zlib.compress(raw)) if i else _f(1, raw)
+        head = _f(1, b"OSMData") + _f(3, len(blob))
+        data += len(head).to_bytes(4, "big") + head + blob
     path = tmp_path / "r.osm.pbf"
     path.write_bytes(data)
+    monkeypatch.setattr(osm, "STRETCH", 1)
+    assert len(list(osm.stretches(str(path)))) == 2 and list(osm.stretches(path.as_uri())) == list(osm.stretches(str(path)))
     osm.register(spark)
-    load = lambda **o: spark.read.format("osm_roads").options(**o).load(str(path))
-    assert {(r.src, r.dst) for r in load().collect()} == {(10, 12), (12, 13)}
-    assert {(r.src, r.dst) for r in load(merge_ways="false").collect()} == {(10, 11), (11, 12), (12, 13)}
-    only = load(require="highway=motorway").collect()
+    read = lambda **o: osm.roads(spark, str(path), **o)
+    assert {(r.src, r.dst) for r in read()[1].collect()} == {(10, 12), (12, 13)}
+    assert {(r.src, r.dst) for r in read(merge_ways=False)[1].collect()} == {(10, 11), (11, 12), (12, 13)}
+    nodes, edges = read(require={"highway": ["motorway"]})
+    only = edges.collect()
     assert [(r.src, r.dst) for r in only] == [(10, 12)] and only[0].length == pytest.approx(222.6, abs=0.3)
-    assert load(table="nodes", require="highway=motorway").count() == 2
-    with pytest.raises(Exception, match="more than 1 edges"):
-        load(max_size="1").collect()
+    assert {r.key for r in nodes.collect()} == {10, 12}
+    with pytest.raises(osm.TooLarge, match="more than 1 edges"):
+        read(max_size=1)
+    cell = next(iter(sets.EXPERIMENTS["sssd_w_osm"].grid(spark, runner.Options(data=str(tmp_path)))))
+    g = cell.make(spark, 1)
+    assert g.num_vertices() == 3 and {r.w for r in g.edges.collect()} == {222, 111}
 
 
 def test_emission_measures(spark, tmp_path):
