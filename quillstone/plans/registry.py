@@ -156,6 +156,12 @@ def graph_components(spark, d):
     return components.connected_components(n).select("v", "component")
 
 
+@query(f"WITH RECURSIVE {DEALS}, {_rounds('arcs', 'SELECT min(src) AS id FROM arcs', '0', 8)} SELECT v, s AS component FROM dist")
+def graph_components_deals(spark, d):
+    """Customers and suppliers that trade: one piece, with hubs."""
+    return components.connected_components(deals(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))).select("v", "component")
+
+
 @query("""SELECT CAST(min(n_nationkey) AS BIGINT) AS component, list_sort(list(CAST(n_nationkey AS BIGINT))) AS members FROM nation GROUP BY n_regionkey""")
 def graph_disjoint_sets(spark, d):
     from quillstone.operators.graph import disjoint_sets, sets
@@ -166,10 +172,12 @@ def graph_disjoint_sets(spark, d):
     return sets(disjoint_sets(pairs, n.select("id"))).select("component", "members")
 
 
-@query(f"WITH {BEST} SELECT src, dst, w FROM best")
+@query("SELECT c_custkey AS src, c_custkey // 3 AS dst, CAST(c_nationkey AS BIGINT) AS w FROM customer WHERE c_custkey // 3 > 0")
 def graph_forest_edges(spark, d):
-    g = best_partners(spark, d)
-    return forest_edges(g.vertices.join(g.edges, g.vertices.id == g.edges.src, "left").select(F.col("id").alias("v"), F.col("dst").alias("parent"), "w"))
+    """Customers as a forest: of key k the parent is the one of key k // 3."""
+    up = F.floor(F.col("c_custkey") / 3).cast("long")
+    forest = table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.when(up > 0, up).alias("parent"), F.col("c_nationkey").cast("long").alias("w"))
+    return forest_edges(forest)
 
 
 # --- ingestion ---------------------------------------------------------------------------
@@ -204,45 +212,56 @@ def search_reachable(spark, d):
     return search.reachable(deals_graph(spark, d), first * 2)
 
 
-@query(f"WITH {JOBS} SELECT instance_id AS graph_id, job AS v, CASE WHEN job > 1 THEN job - 1 END AS parent FROM jobs")
-def search_dfs_forest(spark, d):
-    v, e = _line_chains(spark, d)
-    return search.dfs_forest(v, e)
+def _line_trees(spark, d):
+    """An order's lines as a graph: line j leads to lines 2j and 2j + 1, then, if there are such, to the
+    line before it (across) and to the one that leads to its own (back)."""
+    j = order_jobs(spark, d).select(F.col("instance_id").alias("graph_id"), F.col("job").alias("id"))
+    up = lambda c, adj: F.struct(c.cast("long").alias("src"), F.col("id").alias("dst"), adj.alias("adj"))
+    own = lambda c, adj: F.struct(F.col("id").alias("src"), c.cast("long").alias("dst"), adj.alias("adj"))
+    tree = F.when(F.col("id") > 1, up(F.floor(F.col("id") / 2), F.col("id")))
+    across = F.when((F.col("id") > 1) & (F.col("id") % 2 == 1), own(F.col("id") - 1, F.col("id") + 500))
+    back = F.when(F.col("id") > 3, own(F.floor(F.col("id") / 4), F.col("id") + 1000))
+    arcs = lambda *x: j.select("graph_id", F.explode(F.filter(F.array(*x), lambda a: a.isNotNull())).alias("a")).select("graph_id", "a.*")
+    return j, arcs(tree), arcs(tree, across, back)
 
 
-def _line_chains(spark, d):
-    li = order_jobs(spark, d).select(F.col("instance_id").alias("graph_id"), F.col("job").alias("id"))
-    w = Window.partitionBy("graph_id").orderBy("id")
-    e = li.select("graph_id", F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).filter("dst is not null")
-    return li, e.withColumn("adj", F.col("dst"))
+# where a line is in the tree: ranks of the children on its path
+_PLACES = f"""WITH RECURSIVE {JOBS}, h(j, path) AS (SELECT CAST(1 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT 2 * j + b, list_append(path, b + 1) FROM h, (SELECT unnest([0, 1]) AS b) WHERE 2 * j + b <= (SELECT max(job) FROM jobs)),
+c AS (SELECT instance_id AS graph_id, job AS u, job // 2 AS up, path FROM jobs JOIN h ON job = j)"""
+
+
+@query(f"WITH {JOBS} SELECT instance_id AS graph_id, job AS v, CASE WHEN job > 1 THEN job // 2 END AS parent FROM jobs")
+def search_dfs_forest(spark, d):
+    v, _, e = _line_trees(spark, d)
+    return search.dfs_forest(v, e)
 
 
-@query(f"WITH {JOBS} SELECT instance_id AS graph_id, job - 1 AS seq, job AS v FROM jobs")
+@query(f"{_PLACES} SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY list_transform(path, lambda x: -x)) - 1 AS seq, u AS v FROM c")
 def search_topological_sources(spark, d):
-    v, e = _line_chains(spark, d)
+    v, e, _ = _line_trees(spark, d)
     return search.topological_order(v, e)
 
 
 @query(ORACLES["search_topological_sources"])
 def search_topological_finish(spark, d):
-    v, e = _line_chains(spark, d)
+    v, e, _ = _line_trees(spark, d)
     return search.topological_order(v, e, "finish")
 
 
-_CHAIN = f"WITH {JOBS}, c AS (SELECT instance_id AS graph_id, job AS u, count(*) OVER (PARTITION BY instance_id) AS n FROM jobs)"
-
-
-@query(f"""{_CHAIN} SELECT graph_id, CASE WHEN u = 1 THEN 0 ELSE 3 * u - 4 END AS seq, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v FROM c
-UNION ALL SELECT graph_id, 3 * u - 2, 'tree', u, u + 1 FROM c WHERE u < n UNION ALL SELECT graph_id, CASE WHEN u < n THEN 3 * u ELSE 3 * n - 2 END, 'finished', u, NULL FROM c""")
+@query(f"""{_PLACES}, x AS (SELECT graph_id, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v, CASE WHEN u = 1 THEN [0] ELSE [up, 0, u, 1] END AS turn FROM c
+  UNION ALL SELECT graph_id, 'tree', up, u, [up, 0, u, 0] FROM c WHERE u > 1 UNION ALL SELECT graph_id, 'finished', u, NULL, [u, 1] FROM c)
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY turn) - 1 AS seq, kind, u, v FROM x""")
 def search_bfs_events(spark, d):
-    v, e = _line_chains(spark, d)
+    v, _, e = _line_trees(spark, d)
     return search.bfs(v, e)
 
 
-@query(f"""{_CHAIN} SELECT graph_id, 2 * u - 2 AS seq, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v FROM c
-UNION ALL SELECT graph_id, 2 * u - 1, 'tree', u, u + 1 FROM c WHERE u < n UNION ALL SELECT graph_id, 3 * n - 1 - u, 'finished', u, NULL FROM c""")
+@query(f"""{_PLACES}, x AS (SELECT graph_id, 'discovered' AS kind, u, CAST(NULL AS BIGINT) AS v, list_append(path, 0) AS turn FROM c
+  UNION ALL SELECT graph_id, 'tree', up, u, list_append(path, -1) FROM c WHERE u > 1 UNION ALL SELECT graph_id, 'back', u, u // 4, list_append(path, 8) FROM c WHERE u > 3
+  UNION ALL SELECT graph_id, 'finished', u, NULL, list_append(path, 9) FROM c)
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY turn) - 1 AS seq, kind, u, v FROM x""")
 def search_dfs_events(spark, d):
-    v, e = _line_chains(spark, d)
+    v, _, e = _line_trees(spark, d)
     return search.dfs(v, e)
 
 
@@ -304,7 +323,7 @@ def apsd_enum_bfs_no_self(spark, d):
     return distances.enumerate_no_self(best_partners(spark, d))
 
 
-@query(f"{_HOPS} {_PAIRS}")
+@query(f"{_HOPS} SELECT row_number() OVER (ORDER BY dist NULLS LAST, src, dst) AS seq, src, dst, dist FROM ({_PAIRS})")
 def apsd_enum_bfs_sorted(spark, d):
     return distances.enumerate_sorted(best_partners(spark, d))
 
@@ -329,7 +348,7 @@ def apsd_enum_dijkstra_no_self(spark, d):
     return distances.enumerate_no_self(best_partners(spark, d), True)
 
 
-@query(f"{_DENSE} {_PAIRS}")
+@query(f"{_DENSE} SELECT row_number() OVER (ORDER BY dist NULLS LAST, src, dst) AS seq, src, dst, dist FROM ({_PAIRS})")
 def apsd_enum_dijkstra_sorted(spark, d):
     return distances.enumerate_sorted(trade_graph(spark, d), True)
 
@@ -355,7 +374,10 @@ def mst_kruskal(spark, d):
     return mst.kruskal_order(mst.spanning_forest(trade_graph(spark, d, directed=False)))
 
 
-@query()
+@query(f"""{_TREE}, ways AS (SELECT u AS a, v AS b, w, u, v FROM tree UNION ALL SELECT v, u, w, u, v FROM tree),
+p(seq, seen, v, parent, w) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL SELECT seq + 1, list_append(seen, e.b), e.b, e.a, e.w FROM (SELECT p.seq, p.seen, arg_min(struct_pack(a := ways.a, b := ways.b, w := ways.w), [ways.w, ways.u, ways.v]) AS e FROM p JOIN ways ON list_contains(p.seen, ways.a) AND NOT list_contains(p.seen, ways.b) GROUP BY p.seq, p.seen))
+SELECT CAST(0 AS BIGINT) AS component, seq, v, parent, w FROM p WHERE seq > 0""")
 def mst_prim(spark, d):
     return mst.prim_order(mst.spanning_forest(trade_graph(spark, d, directed=False)))
 
@@ -397,9 +419,10 @@ def sched_one_large_instance(spark, d):
     return scheduling.one_machine_in_ranges(jobs, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("job", F.col("start").cast("long").alias("start"))
 
 
-@query(f"""WITH {JOBS} SELECT instance_id, row_number() OVER (PARTITION BY instance_id ORDER BY job) - 1 AS seq, job, CAST(coalesce(sum(p) OVER (PARTITION BY instance_id ORDER BY job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM jobs""")
+@query(f"""{_PLACES}, o AS (SELECT graph_id, u, row_number() OVER (PARTITION BY graph_id ORDER BY list_transform(path, lambda x: -x)) - 1 AS seq FROM c)
+SELECT instance_id, seq, job, CAST(coalesce(sum(p) OVER (PARTITION BY instance_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM o JOIN jobs ON instance_id = graph_id AND job = u""")
 def sched_precedences(spark, d):
-    v, e = _line_chains(spark, d)
+    v, e, _ = _line_trees(spark, d)
     order = search.topological_order(v, e).select(F.col("graph_id").alias("instance_id"), "seq", F.col("v").alias("job"))
     return scheduling.in_order(order_jobs(spark, d).select("instance_id", "job", "p"), order)
 
@@ -419,7 +442,10 @@ def sched_lpt(spark, d):
     return scheduling.longest_first(jobs, _two_machines(jobs))
 
 
-@query()
+@query(_LPT.replace("o AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY p DESC, job) AS seq FROM jobs)", """k AS (SELECT *, (job - 1) // 6 AS block, count(*) OVER (PARTITION BY instance_id) AS n FROM jobs),
+x AS (SELECT *, (block + 1) * 6 <= n AND row_number() OVER (PARTITION BY instance_id, block ORDER BY p, job) = 1 AS credit FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY NOT credit, CASE WHEN credit THEN block END, CASE WHEN NOT credit THEN -p END, job) AS seq FROM x)""")
+  + " SELECT f.instance_id, CASE WHEN credit THEN 'credit' ELSE 'search' END AS phase, f.seq, f.job, machine, start FROM f JOIN x ON x.instance_id = f.instance_id AND x.job = f.job")
 def sched_lpt_enumerate(spark, d):
     jobs = order_jobs(spark, d).select("instance_id", "job", "p", F.col("job").alias("pos"))
     return scheduling.enumerate_longest_first(jobs, _two_machines(jobs))
@@ -560,14 +586,28 @@ def generate_lcg(spark, d):
     return generate.lcg_draws(spark, 873654221, 100, 1, 99)
 
 
-@query()
+@query("SELECT CAST(60 AS BIGINT) AS num_vertices, true AS connected, true AS simple, true AS as_dense, true AS weights_in_range")
 def generate_connected_graph(spark, d):
-    return generate.connected(spark, 60, 0.08, 1, weights=(1, 50)).edges
-
-
-@query()
+    """What every graph of these parameters has, whatever the seed draws."""
+    g, p = generate.connected(spark, 60, 0.08, 1, weights=(1, 50)), 0.08
+    pairs = F.struct(F.least("src", "dst"), F.greatest("src", "dst"))
+    mean, sd = p * 60 * 59 / 2, (60 * 59 / 2 * p * (1 - p)) ** 0.5
+    return g.edges.agg(
+        F.lit(g.num_vertices()).alias("num_vertices"), F.lit(search.is_connected(g)).alias("connected"),
+        ((F.count_distinct(pairs) == F.count("*")) & (F.count_if(F.col("src") == F.col("dst")) == 0)).alias("simple"),
+        (F.abs(F.count("*") - mean) < 5 * sd).alias("as_dense"), ((F.min("w") >= 1) & (F.max("w") <= 50)).alias("weights_in_range"),
+    )
+
+
+@query("SELECT CAST(200 AS BIGINT) AS num_vertices, CAST(200 AS BIGINT) AS in_order, true AS simple, true AS as_dense, true AS ids_permuted")
 def generate_dag(spark, d):
-    return generate.dag(spark, 200, 0.05, 3).edges
+    g, p = generate.dag(spark, 200, 0.05, 3), 0.05
+    mean, sd = p * 200 * 199 / 2, (200 * 199 / 2 * p * (1 - p)) ** 0.5
+    return g.edges.agg(
+        F.lit(g.num_vertices()).alias("num_vertices"), F.lit(search.topological_levels(g).count()).alias("in_order"),
+        ((F.count_distinct(F.struct("src", "dst")) == F.count("*")) & (F.count_if(F.col("src") == F.col("dst")) == 0)).alias("simple"),
+        (F.abs(F.count("*") - mean) < 5 * sd).alias("as_dense"), ((F.count_if(F.col("src") > F.col("dst")) > 0) & (F.count_if(F.col("src") < F.col("dst")) > 0)).alias("ids_permuted"),
+    )
 
 
 @query("""WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id AS t FROM events),
