@@ -87,11 +87,22 @@ class Tagger:
         """Best labels (steps, windows) of windows apart."""
         return self.best(self.emissions(x, n), n)
 
-    def certain(self) -> float:
-        """How far ``none`` must be ahead at a place for it to be on every best path, whatever the
-        labels around: no other label's transitions gain more."""
-        gain = self.move - self.move[:, :1], self.move - self.move[:1]
-        return float(max(0.0, gain[0].max()) + max(0.0, gain[1].max())) + 1e-3
+    def open_places(self, e: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places that some labelled stretch covers whose score could exceed that of ``none``; on a best
+        path all others are ``none``. A stretch's gain is bounded by the best label at each
+        place and the best transition between any two, so the most that any stretch through a
+        place can gain is a maximum over where it starts and one over where it ends."""
+        rel = self.move - self.move[0, 0]
+        enter, stay, leave = max(0.0, rel[0, 1:].max()), rel[1:, 1:].max(), max(0.0, rel[1:, 0].max())
+        lead = (e[:, 1:].max(axis=1) - e[:, 0]).astype(np.float64)
+        # a step between texts, so that a stretch in one gains nothing in the next; were it too small,
+        # more places than need be would be open
+        apart = np.repeat(np.arange(len(at) - 1) * 1e7, np.diff(at))
+        sums = np.cumsum(lead + stay)
+        left = np.maximum.accumulate(lead - sums + apart) + sums - apart
+        back = np.cumsum((lead + stay)[::-1])[::-1]
+        right = (np.maximum.accumulate((lead - back)[::-1] + apart[-1:] - apart[::-1])[::-1] + back) - (apart[-1:] - apart)
+        return left + right - lead + enter + leave > -1e-3
 
     def best_of_texts(self, e: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Labels on the best path of every text, over all its places; ``e`` is (place, K), texts lie
@@ -101,7 +112,11 @@ class Tagger:
         on each other, so these are searched side by side, each with the places around it.
         """
         out = np.zeros(len(e), dtype=np.uint8)
-        open_ = e[:, 1:].max(axis=1) - e[:, 0] > -self.certain()
+        if not len(e):
+            return out
+        open_ = self.open_places(e, at)
+        e = e.copy()
+        e[~open_, 1:] = -1e6
         edge = np.zeros(len(e) + 1, dtype=bool)
         edge[at] = True
         began = open_ & (edge[:-1] | ~np.concatenate(([False], open_[:-1])))
