@@ -17,8 +17,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import text as tx
@@ -84,6 +85,15 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return src.mapInArrow(run, "doc_id long, fingerprint binary")
 
 
+def homes_of(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` tasks a number that Spark's hash partitioning deals to it: numbers of ranges
+    themselves collide, so that some tasks would get several ranges and others none."""
+    enough = int(n * (np.log(n + 1) + 12))
+    found = spark.range(enough).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("id"))
+    at = {r["task"]: r["id"] for r in found.collect()}
+    return [at[k] for k in range(n)]
+
+
 def ordered_ranges(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(bucket, ghost, key, id, text)``: rows in ranges of the id, sorted, every range led by
     the row just before it, and the first range by the last row of all.
@@ -100,20 +110,22 @@ def ordered_ranges(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     @F.pandas_udf("int")
     def range_of(k):
-        return k.map(lambda x: int(np.searchsorted(cuts, x, side="left"))).astype("int32")
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="left").astype(np.int32))
 
     tops = {r.b: r.top for r in ids.groupBy(range_of("key").alias("b")).agg(F.max("key").alias("top")).collect()}
-    order = sorted(tops)
+    order, home = sorted(tops), homes_of(spark, n)
     # the last row of each range also leads the range that follows, in a circle
     led = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
 
     @F.pandas_udf("array<int>")
     def homes(k):
-        return k.map(lambda x: [int(np.searchsorted(cuts, x, side="left"))] + ([led[x]] if x in led else []))
+        own = np.searchsorted(cuts, k.to_numpy(), side="left").tolist()
+        return pd.Series([[b, led[x]] if x in led else [b] for b, x in zip(own, k.tolist())])
 
     rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.select("key", "id", "text", F.posexplode(homes("key")).alias("ghost", "bucket"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("ghost").desc(), "key", "text")
+    dealt = dealt.withColumn("home", F.get(F.lit(home), F.col("bucket") % n))
+    return dealt.repartition(n, "home").sortWithinPartitions("bucket", F.col("ghost").desc(), "key", "text")
 
 
 SCHEMA = (
