@@ -15,8 +15,9 @@ positions are sorted that can still matter:
   repeats. Of equal spans all but the first repeat entirely. First runs of a gram with
   several spans stay open, and only their windows enter the next round.
 
-The rank of a gram is a 64-bit hash, which names it everywhere without a round trip; it is
-what a pair of ranks at an offset would be renamed to. Runs are taken as equal by 88 bits of two ranks.
+A round's rank is a 64-bit hash of the pair of ranks of the round before, at a position and at
+the offset that reaches the gram's end: a name that is the same everywhere, so that renaming
+needs no round trip, and open positions alone go on. Runs are taken as equal by 88 bits of two ranks.
 Sorted rows are read as a stream that keeps one row: no group of repeats is ever gathered,
 of whatever size.
 
@@ -56,10 +57,18 @@ def _slid(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(g) - width + 1], out[width - step : width - step + len(g) - width + 1])
 
 
-def _grams(sums: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all grams of a length."""
-    n = len(sums) - length
-    return tx.mix((sums[length:] - sums[:-length]) * tx.POWERS.get(len(sums))[1][:n])
+def _ranks(sums: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of all grams of a round's length: those of the first round name bytes, every other is
+    named by the pair of the ranks, in the round before, at its place and at the offset that
+    reaches its end."""
+    first = ROUNDS[0]
+    rank, reach = tx.mix((sums[first:] - sums[:-first]) * tx.POWERS.get(len(sums))[1][: len(sums) - first]), first
+    for longer in ROUNDS[1:]:
+        if reach == length:
+            break
+        offset = longer - reach
+        rank, reach = tx.mix(rank[:-offset] * np.uint64(0x9E3779B97F4A7C15) + rank[offset:]), longer
+    return rank
 
 
 def _anchors(texts: list[bytes], gram: int, open_: list[np.ndarray | None]) -> tuple[np.ndarray, ...] | None:
@@ -72,7 +81,7 @@ def _anchors(texts: list[bytes], gram: int, open_: list[np.ndarray | None]) -> t
     if not room.sum():
         return None
     sums = tx.prefix_hash(buf)
-    g = _grams(sums, gram)
+    g = _ranks(sums, gram)
     least = _slid((g & ~_INDEX) | np.arange(len(g), dtype=np.uint64), LENGTH - gram + 1)
     doc = np.repeat(np.arange(len(texts)), room)
     base = np.concatenate(([0], np.cumsum(room)))
