@@ -6,11 +6,13 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import mixing, pieces, pii, quality, simhash
-from quillstone.runtime import cut, table
+from quillstone.runtime import ensure_checkpoint_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of texts whose five-word shingles have a similarity of 0.8 or more, the document
+    of the smallest id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -53,10 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage but the last is written and read again."""
+    """All stages over ``documents``; every stage but the last is written as Parquet and read again.
+
+    Texts of any length are taken whole. Rows that share an id but not the text are documents of
+    their own; repeated rows are copies, of which one stays. Null texts go with the quality rules.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            path = f"{folder}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
