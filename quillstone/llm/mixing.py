@@ -14,7 +14,10 @@ holds the cut, and the exact order inside that bucket alone. Nothing sorts a who
 Null and missing languages, sources and domains are leaves of their own. Null and empty
 texts have no tokens: they never fill a budget, and are taken with the whole epochs of
 their leaf and with a prefix that reaches them. Rows that repeat are documents of their
-own. Without any token nothing is taken.
+own. Without any token nothing is taken. Texts of any length count whole. Tables need the
+columns ``doc_id``, ``text``, ``lang`` and ``source`` and raise without them; others pass through,
+whatever their names. The tree has at most ``MAX_LEAVES`` leaves, which bounds what the driver
+gets; a corpus with more raises, and needs sources merged before it is mixed.
 """
 
 from __future__ import annotations

@@ -42,6 +42,54 @@ def test_budgets_by_hand():
     assert got == {("x", "en", "p"): 10, ("x", "en", "q"): 40, ("y", "en", "r"): 50}
 
 
+def level_of(budget, children):
+    """Shares of siblings by water-filling: the level at which what flows in is the budget, found by
+    halving. Written without the operator's own rounds."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(c, w * mid) for w, c in children.values()) < budget:
+            low = mid
+        else:
+            high = mid
+    return {k: min(c, w * high) for k, (w, c) in children.items()}
+
+
+def test_budgets_by_water_filling():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        children = {f"c{i}": (float(rng.integers(1, 7)), int(rng.integers(0, 400))) for i in range(n)}
+        budget = int(rng.integers(0, 1500))
+        got = mixing.split_budget(budget, children)
+        assert sum(got.values()) == min(budget, sum(c for _, c in children.values()))
+        assert all(0 <= got[k] <= c for k, (_, c) in children.items())
+        want = level_of(min(budget, sum(got.values())), children)
+        assert all(abs(got[k] - want[k]) < 1 + 1e-6 for k in children)
+
+
+def test_tree_by_water_filling():
+    """Every level of the tree shares what its parent got, by weight and room."""
+    rng = np.random.default_rng(18)
+    leaves = {(d, la, f"{d}{la}{s}"): int(rng.integers(1, 500)) for d in "xy" for la in ("de", "en") for s in range(3)}
+    plan = mixing.Plan(weights=(("x", 3.0), ("x/en", 2.0), ("y/de/yde1", 4.0)), share=0.7, max_epochs=2)
+    got, weights = mixing.allocate(leaves, plan), dict(plan.weights)
+    assert sum(got.values()) == int(0.7 * sum(leaves.values()))
+    for depth in (0, 1, 2):
+        for path in {k[:depth] for k in leaves}:
+            kids = sorted({k[depth] for k in leaves if k[:depth] == path})
+            total = lambda table, *p: sum(v for k, v in table.items() if k[: len(p)] == p)
+            children = {c: (weights.get("/".join((*path, c)), 1.0), 2 * total(leaves, *path, c)) for c in kids}
+            want = level_of(total(got, *path), children)
+            assert all(abs(total(got, *path, c) - want[c]) < 1 + 1e-6 for c in kids)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 200_000, "en", "src1", 0, "c"), (2, "a b", "en", "src1", 0, "c"), (3, "a b c", "en", "src2", 0, "c")]
+    got = {r.row.doc_id: r.copies for r in mixing.with_copies(spark.createDataFrame(rows, SCHEMA), mixing.Plan(weights=(), share=1.0, max_epochs=1)).collect()}
+    assert got[1] == 1 and got[3] == 1
+
+
 def test_against_brute_force(spark):
     rows = corpus()
     for plan in (mixing.Plan(), mixing.Plan(share=0.4, max_epochs=1, seed=3), mixing.Plan(share=5.0, max_epochs=3)):
