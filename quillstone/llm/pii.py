@@ -274,7 +274,7 @@ def detect(docs: DataFrame, model: tg.Tagger, id_col: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1))
-            for part in tx.pieces(((i, t.as_py() or "") for i, t in rows), lambda x: len(x[1]) + 400, 2 << 20):
+            for part in tx.pieces(((i, t.as_py() or "") for i, t in rows), lambda x: len(x[1]) + 400, 1 << 20):
                 base, every = find_spans(model, [t for _, t in part])
                 counts = [[sum(k == kind for k, *_ in x) for x in base] for kind in range(4)]
                 yield pa.RecordBatch.from_arrays(
@@ -310,7 +310,7 @@ def redact(docs: DataFrame, model: tg.Tagger, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, new = b.column(at), []
-            for part in tx.pieces((t.as_py() for t in texts), lambda x: len(x or "") + 400, 2 << 20):
+            for part in tx.pieces((t.as_py() for t in texts), lambda x: len(x or "") + 400, 1 << 20):
                 _, spans = find_spans(model, [t or "" for t in part])
                 new += [None if t is None else redact_text(t, s) if s else t for t, s in zip(part, spans)]
             cols = [pa.array(new, texts.type) if i == at else c for i, c in enumerate(b.columns)]

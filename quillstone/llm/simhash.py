@@ -135,12 +135,13 @@ def _join(label: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return root[label]
 
 
-def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray, sure: int, radius: int, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within ``sure`` bits that join all such rows of a group, and pairs within the
-    radius of rows that aren't joined so. Rows are sorted by group and ``d``; pairs among the
-    first ``fresh`` rows were seen before."""
+def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray, part: np.ndarray, sure: int, radius: int, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different parts within the radius. Rows are sorted by group and ``d``; pairs
+    among the first ``fresh`` rows were seen before. A pair within ``sure`` bits joins the parts
+    of its rows, and of joined parts no more pairs are given."""
     n = len(group)
-    label, live, k, out = np.arange(n), np.arange(n), 1, []
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    label, live, k, out = first[of], np.arange(n), 1, []
     while True:
         live = live[live + k < n]
         live = live[(group[live] == group[live + k]) & (d[live + k] - d[live] <= radius)]
@@ -175,7 +176,7 @@ def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray
 
 
 def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
-    """Links inside groups, from rows ``(keys..., d, table, fp, id)`` sorted by keys and ``d``."""
+    """Links inside groups, from rows ``(keys..., d, table, fp, id, part)`` sorted by keys and ``d``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -187,16 +188,16 @@ def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
             table = b.column(n_keys + 1)
             table = _rows_of(table, pair_type, len(table[0].as_py()) // np.dtype(pair_type).itemsize)
             fp = _rows_of(b.column(n_keys + 2), np.uint64, words) if words > 1 else b.column(n_keys + 2).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
-            rows = [keys, d, table, fp, b.column(n_keys + 3).to_numpy(zero_copy_only=False)]
+            rows = [keys, d, table, fp, *(b.column(n_keys + k).to_numpy(zero_copy_only=False) for k in (3, 4))]
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 rows = [np.concatenate(x) for x in zip(held, rows)]
-            keys, d, table, fp, id_ = rows
+            keys, d, table, fp, id_, part = rows
             new = np.ones(len(d), dtype=bool)
             new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
             group = np.cumsum(new)
-            a, c = _matches(group, d, table, fp, sure, radius, fresh)
+            a, c = _matches(group, d, table, fp, part, sure, radius, fresh)
             keep = (group == group[-1]) & (d >= d[-1] - radius)
             held = [x[keep] for x in rows]
             if len(a):
@@ -207,7 +208,7 @@ def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
 
 def links(fps: DataFrame) -> DataFrame:
     """``(u, v)`` links that connect all distinct fingerprints within the radius."""
-    groups = _grouped(fps).select("t", "key", "cell", "d", "table", "fp", F.col("fp").alias("id"))
+    groups = _grouped(fps).select("t", "key", "cell", "d", "table", "fp", F.col("fp").alias("id"), F.col("fp").alias("part"))
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(n, "t", "key", "cell").sortWithinPartitions("t", "key", "cell", "d", "fp")
     return dealt.mapInArrow(_search(3, 1, RADIUS, RADIUS, np.uint8), "u long, v long").distinct()
@@ -240,6 +241,8 @@ SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 16
 BANDS, EACH = 12, 4
 #: Bytes of text taken at a time; their hashes take some fifty times as much memory.
 STEP_BYTES = 1 << 19
+#: Rounds in which a row is joined by one pair, before one in which every pair is given.
+ROUNDS = 3
 
 
 def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -333,15 +336,35 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     sketches = cut(sketches.dropDuplicates(["id"]))
     bands = sketches.select("id", F.posexplode("bands").alias("t", "key"))
     shared = bands.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = bands.join(shared, ["t", "key"]).join(sketches.drop("bands"), "id")
+    bands = cut(bands.join(shared, ["t", "key"]))
+    sketches = sketches.drop("bands").withColumn("part", F.col("id"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.select("t", "key", "d", "table", "fp", "id").repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
-    found = dealt.mapInArrow(_search(2, WIDTH, *wide_radii(), np.uint16), "u long, v long")
-    found = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    some = cut(texts.join(need, "id").dropDuplicates(["id"]))
-    one, two = (some.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "uv")
-    return found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long")
+    sure, radius = wide_radii()
+    verified: DataFrame | None = None
+    for k in range(ROUNDS + 1):
+        # pairs of the last round join nothing unless they are sure, so all that could be similar
+        # are given; before it a row is joined by one pair, and few rows are left for the last
+        dealt = bands.join(sketches, "id").select("t", "key", "d", "table", "fp", "id", "part").repartition(n, "t", "key")
+        dealt = dealt.sortWithinPartitions("t", "key", "d", F.xxhash64("id", F.lit(k)))
+        found = dealt.mapInArrow(_search(2, WIDTH, sure if k == ROUNDS else radius, radius, np.uint16), "u long, v long")
+        found = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        tried = found.count()
+        if not tried:
+            break
+        need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        some = cut(texts.join(need, "id").dropDuplicates(["id"]))
+        one, two = (some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+        good = cut(found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long"))
+        verified = good if verified is None else cut(verified.unionByName(good))
+        if k == ROUNDS or good.count() == tried:
+            break
+        # go on with what a pair that failed had joined, in the parts that hold
+        failed = found.join(good, ["u", "v"], "left_anti")
+        whole = connected_components(found.unionByName(verified)).select(F.col("v").alias("id"), "component")
+        open_ = whole.join(failed.select(F.col("u").alias("id")).join(whole, "id").select("component").distinct(), "component")
+        part = connected_components(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
+        sketches = cut(sketches.drop("part").join(open_.select("id"), "id").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    return verified if verified is not None else texts.sparkSession.createDataFrame([], "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
