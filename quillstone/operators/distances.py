@@ -6,6 +6,10 @@ orders last. All sources are relaxed in the same jobs, keyed by (source, vertex)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,14 @@ from quillstone.operators.sorting import ranked
 from quillstone.runtime import cut
 
 
+#: Rounds of relaxation between two times that all distances are written.
+MERGE = 8
+#: Vertices a side of a block of the distance matrix.
+SIDE = 512
+#: Beyond all distances: weights times vertices must stay below half of it.
+FAR = 1 << 60
+
+
 def _all_pairs(graph: Graph, sources: DataFrame, found: DataFrame) -> DataFrame:
     """Found distances, and nulls for the pairs that weren't. The result is n rows a source by
     contract, so the pairing is its own size, not a detour."""
@@ -45,17 +57,25 @@ def weighted(graph: Graph, sources: DataFrame, negative: bool = False, max_round
         raise ValueError("negative weights")
     n = graph.vertices.count()
     best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("d")))
-    front = best
+    front, later = best, []
+    low = lambda df, name: df.groupBy("source", "id").agg(F.min("d").alias(name))
     for k in range(max_rounds):
         step = front.join(arcs, front["id"] == arcs["src"]).select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
-        step = step.groupBy("source", "id").agg(F.min("d").alias("d"))
-        old = best.withColumnRenamed("d", "old")
+        step = low(step, "d")
+        # what is known of these pairs; all others stay where they were written
+        known = best
+        for x in later:
+            known = known.unionByName(x)
+        old = low(known.join(step.select("source", "id"), ["source", "id"], "left_semi"), "old")
         front = cut(step.join(old, ["source", "id"], "left").filter("old is null or d < old").select("source", "id", "d"))
         if not front.limit(1).count():
-            return best.select(F.col("source").alias("src"), F.col("id").alias("dst"), F.col("d").alias("dist"))
+            return low(known, "dist").select(F.col("source").alias("src"), F.col("id").alias("dst"), "dist")
         if k >= n:
             raise ValueError("a cycle of negative length")
-        best = cut(best.unionByName(front).groupBy("source", "id").agg(F.min("d").alias("d")))
+        later.append(front)
+        if len(later) == MERGE:
+            best = cut(low(known.unionByName(front), "d"))
+            later = []
     raise RuntimeError("distances did not settle")
 
 
@@ -87,22 +107,115 @@ def all_pairs(graph: Graph, is_weighted: bool = False) -> DataFrame:
     return _all_pairs(graph, graph.vertices, _found(graph, graph.vertices, is_weighted))
 
 
+def _closed(block: np.ndarray) -> np.ndarray:
+    """Shortest distances inside a block."""
+    block = block.copy()
+    for k in range(len(block)):
+        np.minimum(block, block[:, k, None] + block[None, k], out=block)
+    return block
+
+
+def _product(out: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of ``out`` and all ways over the vertices between ``a`` and ``b``."""
+    out = out.copy()
+    for k in range(len(b)):
+        np.minimum(out, a[:, k, None] + b[None, k], out=out)
+    return out
+
+
+BLOCKS = "i int, j int, data binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[tuple]:
+    """Rows with binaries as square blocks."""
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            yield tuple(np.frombuffer(x, np.int64).reshape(side, side) if isinstance(x, bytes) else x for x in row)
+
+
+def _out(rows: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for i, j, x in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["i", "j", "data"])
+
+
+def _filled(side: int):
+    """Blocks from cells ``(i, j, cell, dist)`` sorted by block; a cell's place is counted by rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for b in batches:
+            i, j, cell, dist = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for k in np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(i) else []):
+                key = (int(i[k]), int(j[k]))
+                if key != held:
+                    if held is not None:
+                        yield from _out([(*held, block)])
+                    held, block = key, np.full(side * side, FAR, np.int64)
+                own = (i == key[0]) & (j == key[1])
+                block[cell[own]] = dist[own]
+        if held is not None:
+            yield from _out([(*held, block)])
+
+    return run
+
+
 def floyd_warshall(graph: Graph) -> DataFrame:
-    """All pairs by min-plus squaring; negative weights allowed, parallel edges by the least.
+    """All pairs by blocks of the distance matrix; negative weights allowed, parallel edges by the least.
 
-    Raises where a vertex lies on a cycle of negative length."""
+    For each stretch of ``SIDE`` vertices, paths may pass through one more: the stretch's own block
+    is closed, then the blocks in its row and column, then every other from those two. So there
+    are n / SIDE rounds, each a pass over the matrix's blocks, and a task holds three of them.
+    Raises where a vertex lies on a cycle of negative length.
+    """
+    n = graph.vertices.count()
+    size = max(1, min(SIDE, n))
+    parts = int(graph.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = cut(ranked(graph.vertices.select("id"), ["id"], parts, "at").select("id", (F.col("at") - 1).alias("at")))
     zero = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("dist"))
-    d = graph.arcs().select("src", "dst", F.col("w").cast("long").alias("dist")).unionByName(zero)
-    d = cut(d.groupBy("src", "dst").agg(F.min("dist").alias("dist")))
-    n, reach = graph.vertices.count(), 1
-    while reach < n:
-        mid = d.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("dist").alias("more"))
-        longer = d.join(mid, d["dst"] == mid["mid"]).select("src", F.col("end").alias("dst"), (F.col("dist") + F.col("more")).alias("dist"))
-        d = cut(longer.groupBy("src", "dst").agg(F.min("dist").alias("dist")))
-        reach *= 2
+    d = graph.arcs().select("src", "dst", F.col("w").cast("long").alias("dist")).unionByName(zero).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     if d.filter("src = dst and dist < 0").limit(1).count():
         raise ValueError("a cycle of negative length")
-    return _all_pairs(graph, graph.vertices, d)
+    a, b = (ids.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at")) for c in ("src", "dst"))
+    block = lambda c: F.floor(F.col(f"{c}_at") / size).cast("int")
+    cells = d.join(a, "src").join(b, "dst").select(block("src").alias("i"), block("dst").alias("j"), (F.col("src_at") % size * size + F.col("dst_at") % size).alias("cell"), "dist")
+    rows = cut(cells.repartition(parts, "i", "j").sortWithinPartitions("i", "j").mapInArrow(_filled(size), BLOCKS))
+    side = -(-n // size)
+    # blocks without an edge are there too: paths may lead through them
+    spark = graph.vertices.sparkSession
+    every = spark.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("i"), (F.col("id") % side).cast("int").alias("j"))
+    none = F.lit(np.full(size * size, FAR, np.int64).tobytes()) if side > 1 else F.lit(b"")
+    rows = cut(every.join(rows, ["i", "j"], "left").select("i", "j", F.coalesce("data", none).alias("data")))
+    for k in range(side):
+        own = rows.filter((F.col("i") == k) & (F.col("j") == k)).select(F.col("data").alias("own"))
+        # one block, of a fixed size
+        with_own = rows.filter((F.col("i") == k) | (F.col("j") == k)).join(F.broadcast(own))
+
+        def cross(batches, k=k):
+            for i, j, x, own in _blocks(batches, size):
+                c = _closed(own)
+                yield from _out([(i, j, c if i == j else _product(x, c, x) if i == k else _product(x, x, c))])
+
+        near = cut(with_own.select("i", "j", "data", "own").mapInArrow(cross, BLOCKS))
+        rest = rows.filter((F.col("i") != k) & (F.col("j") != k))
+        left = near.filter(F.col("j") == k).select("i", F.col("data").alias("a"))
+        right = near.filter(F.col("i") == k).select("j", F.col("data").alias("b"))
+
+        def others(batches):
+            yield from _out((i, j, _product(x, a, b)) for i, j, x, a, b in _blocks(batches, size))
+
+        far = rest.join(left, "i").join(right, "j").select("i", "j", "data", "a", "b").mapInArrow(others, BLOCKS)
+        rows = cut(near.unionByName(far))
+
+    def found(batches):
+        for i, j, x in _blocks(batches, size):
+            s, t = np.nonzero(x < FAR // 2)
+            yield pa.RecordBatch.from_arrays([pa.array(s + i * size), pa.array(t + j * size), pa.array(x[s, t])], ["src_at", "dst_at", "dist"])
+
+    known = rows.mapInArrow(found, "src_at long, dst_at long, dist long").join(a, "src_at").join(b, "dst_at").select("src", "dst", "dist")
+    known = cut(known)
+    if known.filter("src = dst and dist < 0").limit(1).count():
+        raise ValueError("a cycle of negative length")
+    return _all_pairs(graph, graph.vertices, known)
 
 
 def enumerate_all_pairs(graph: Graph, is_weighted: bool = False) -> DataFrame:

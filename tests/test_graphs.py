@@ -190,6 +190,27 @@ def test_all_pairs(spark):
         assert by == [(i + 1, every[k], *k) for i, k in enumerate(want)]
 
 
+def test_distances_in_blocks(spark, monkeypatch):
+    """A matrix of several blocks, with negative weights and pieces that don't meet."""
+    monkeypatch.setattr(distances, "SIDE", 4)
+    n, up = 14, list(range(40, 54))
+    edges = [(a, b, w - 3 * (a < b)) for a, b, w in random_edges(n - 2, 30, 5, loops=False, weights=(20, 60))]
+    d = [[0 if a == b else None for b in range(n)] for a in range(n)]
+    for a, b, w in edges:
+        d[a][b] = w
+    for k in range(n):
+        for a in range(n):
+            for b in range(n):
+                if d[a][k] is not None and d[k][b] is not None and (d[a][b] is None or d[a][k] + d[k][b] < d[a][b]):
+                    d[a][b] = d[a][k] + d[k][b]
+    e = spark.createDataFrame([(up[a], up[b], w) for a, b, w in edges], "src long, dst long, w long")
+    g = Graph(spark.createDataFrame([(x,) for x in up], "id long"), e)
+    got = {(r.src, r.dst): r.dist for r in distances.floyd_warshall(g).collect()}
+    assert got == {(up[a], up[b]): d[a][b] for a in range(n) for b in range(n)}
+    with pytest.raises(ValueError):
+        distances.floyd_warshall(graph(spark, 9, [(0, 5, 2), (5, 8, -4), (8, 0, 1)]))
+
+
 def test_spanning_trees(spark):
     g = graph(spark, 9, TREE, False)
     t = mst.spanning_forest(g).collect()
