@@ -51,6 +51,14 @@ def test_fingerprints_and_components(spark):
     assert len(set(components(fps).values())) < len(texts) - 10
 
 
+def test_very_long_text():
+    """Votes are added up over stretches of shingles."""
+    rng = np.random.default_rng(4)
+    for n in (1 << 15, (1 << 15) + 2, 70_001):
+        t = " ".join("w%d" % x for x in rng.integers(0, 50, n))
+        assert simhash.fingerprint(t.encode()) == brute([(0, t)])[0]
+
+
 def test_planted_distances_and_hot_group(spark):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 2**63, 40)
