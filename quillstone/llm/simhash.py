@@ -242,7 +242,7 @@ BANDS, EACH = 12, 4
 #: Bytes of text taken at a time; their hashes take some fifty times as much memory.
 STEP_BYTES = 1 << 19
 #: Rounds in which a row is joined by one pair, before one in which every pair is given.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -358,12 +358,9 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         verified = good if verified is None else cut(verified.unionByName(good))
         if k == ROUNDS or good.count() == tried:
             break
-        # go on with what a pair that failed had joined, in the parts that hold
-        failed = found.join(good, ["u", "v"], "left_anti")
-        whole = connected_components(found.unionByName(verified)).select(F.col("v").alias("id"), "component")
-        open_ = whole.join(failed.select(F.col("u").alias("id")).join(whole, "id").select("component").distinct(), "component")
+        # what a pair that failed had joined is looked into again, in the parts that hold
         part = connected_components(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
-        sketches = cut(sketches.drop("part").join(open_.select("id"), "id").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
+        sketches = cut(sketches.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
     return verified if verified is not None else texts.sparkSession.createDataFrame([], "u long, v long")
 
 
