@@ -11,7 +11,10 @@ into place when they are whole; the index lists only bundles of tasks that ended
 a task that runs again after a lost executor leaves at most a stray file.
 
 Null html is an empty payload. Rows with a null page id are ``response`` records. Rows
-that repeat an id and a payload are each written.
+that repeat an id and a payload are each written. Pages have no time of their own, so all records
+have the date ``DATE`` and archives of equal pages are equal. A payload is held whole, as Spark
+holds it (2 GB at most, which is also within the 32-bit sizes of the seek table); a frame holds
+``FRAME_BYTES`` and one record.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import hashlib
+import io
 
 import zstandard
 
@@ -50,3 +51,23 @@ def test_empty(spark):
     root = warc.new_root(spark)
     index = warc.write_archives(spark.createDataFrame([], SCHEMA), root)
     assert warc.read_archives(index, root).count() == 0
+
+
+def test_frames_and_records_longer_than_one(monkeypatch):
+    """Records fill frames of bounded size; a longer one closes its frame; each is read by one seek."""
+    monkeypatch.setattr(warc, "FRAME_BYTES", 600)
+    made = warc.Bundle()
+    bodies = [b"a" * 10, b"b" * 5000, b"", b"c" * 200, b"d" * 200, b"\r\n\r\n", b"e" * 700]
+    for i, x in enumerate(bodies):
+        made.add(warc.record_id(i), warc.make_record(i, "http://x", x, None))
+    made.close_frame()
+    made.close_frame()  # an empty frame isn't written
+    f = io.BytesIO(b"".join([*made.frames, made.footer()]))
+    table = warc.seek_table(f)
+    assert len(table) == len(made.frames) > 3 and [r[0] for r in made.rows] == [warc.record_id(i) for i in range(len(bodies))]
+    for i, (_, frame, at, n, begin, size) in enumerate(made.rows):
+        assert table[frame] == (at, n)
+        f.seek(at)
+        data = zstandard.ZstdDecompressor().decompress(f.read(n))
+        assert warc.parse_record(data[begin : begin + size])["payload"] == bodies[i]
+        assert len(data) < 600 + max(len(x) for x in bodies) + 500
