@@ -241,8 +241,9 @@ SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 16
 BANDS, EACH = 12, 4
 #: Bytes of text taken at a time; their hashes take some fifty times as much memory.
 STEP_BYTES = 1 << 19
-#: Rounds in which a row is joined by one pair, before one in which every pair is given.
-ROUNDS = 2
+#: Bands of the rounds in which parts are joined by one pair: most copies share one of the first,
+#: so that later bands find them joined.
+ROUNDS = ((0, 1), (2, 3, 4), (5, 6, 7, 8, 9, 10, 11))
 
 
 def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -340,28 +341,35 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     sketches = sketches.drop("bands").withColumn("part", F.col("id"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sure, radius = wide_radii()
-    verified: DataFrame | None = None
-    for k in range(ROUNDS + 1):
-        # pairs of the last round join nothing unless they are sure, so all that could be similar
-        # are given; before it a row is joined by one pair, and few rows are left for the last
-        dealt = bands.join(sketches, "id").select("t", "key", "d", "table", "fp", "id", "part").repartition(n, "t", "key")
-        dealt = dealt.sortWithinPartitions("t", "key", "d", F.xxhash64("id", F.lit(k)))
-        found = dealt.mapInArrow(_search(2, WIDTH, sure if k == ROUNDS else radius, radius, np.uint16), "u long, v long")
-        found = cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        tried = found.count()
-        if not tried:
-            break
+    verified, failed = None, None
+    for k, some_bands in enumerate((*ROUNDS, range(BANDS))):
+        last = k == len(ROUNDS)
+        # pairs of the last round join nothing unless they are sure, so all that could be similar are
+        # given; before it a part of rows is joined by one pair, and what such a pair that failed
+        # has hidden lies in the parts that its ends belong to, which alone go on to the last round
+        own = sketches
+        if last:
+            if failed is None or not failed.limit(1).count():
+                break
+            ends = failed.select(F.explode(F.array("u", "v")).alias("id")).join(sketches, "id").select("part").distinct()
+            own = sketches.join(ends, "part")
+        dealt = bands.filter(F.col("t").isin(*some_bands)).join(own, "id")
+        dealt = dealt.select("t", "key", "d", "table", "fp", "id", "part").repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
+        found = dealt.mapInArrow(_search(2, WIDTH, sure if last else radius, radius, np.uint16), "u long, v long")
+        found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = cut(found if failed is None else found.join(failed, ["u", "v"], "left_anti"))
         need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         some = cut(texts.join(need, "id").dropDuplicates(["id"]))
         one, two = (some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
         good = cut(found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long"))
         verified = good if verified is None else cut(verified.unionByName(good))
-        if k == ROUNDS or good.count() == tried:
+        if last:
             break
-        # what a pair that failed had joined is looked into again, in the parts that hold
+        bad = found.join(good, ["u", "v"], "left_anti")
+        failed = cut(bad if failed is None else failed.unionByName(bad))
         part = connected_components(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
         sketches = cut(sketches.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
-    return verified if verified is not None else texts.sparkSession.createDataFrame([], "u long, v long")
+    return verified
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
