@@ -8,9 +8,10 @@ language and topic) with the last three bytes, the word before with the word so
 two words before with it. The first two are counted over all training words, as often as they
 occur, the others over all training tokens. The log odds of a slot, drawn towards zero the more
 the less it holds, are mixed by weights of several sets; a gate, how often the word so far was
-seen and whether the word before is known to lead here, chooses among them. Two tables of the
-text itself, of words so far and of the last two bytes, are added. Weights and tables start
-alike for each text and follow the gradient of all bits after every ``BLOCK`` tokens, so a
+seen and whether the word before is known to lead here, chooses among them for each byte. Two
+tables of the text itself, of words so far and of the last two bytes, are added. Weights and
+tables start alike for each text and follow the gradient of all bits after every block of tokens
+(``BLOCK``, four times as many after the first thousand), so a
 prediction rests on what came before it only, and the mix refines itself through the whole
 text. A new word has no mark or code of its own: it is spelled by the same bits, so
 the score is a probability over all strings. It is the sum of log10 over the tokens.
@@ -479,7 +480,7 @@ _READERS: dict[tuple, Reader] = {}
 
 
 def reader(model: Model) -> Reader:
-    key = (model.train_tokens, model.distinct, len(model.hot), *(int(c.astype(np.int64).sum()) for c in model.cells))
+    key = (model.train_tokens, model.distinct, len(model.hot), *(int(c.sum(dtype=np.int64)) for c in model.cells))
     if key not in _READERS:
         _READERS.clear()
         _READERS[key] = Reader(model)
@@ -523,10 +524,11 @@ SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader(model).read
         for part in _steps(batches, 3):
             u = units([x[-1] for x in part])
             first = np.cumsum(u.tokens) - u.tokens
-            bits = np.add.reduceat(reader(model).read(u), first)
+            bits = np.add.reduceat(read(u), first)
             place, hit = find(model.hot, u.word)
             log = np.zeros(len(hit))
             log[hit] = model.hot_log[place[hit]]
