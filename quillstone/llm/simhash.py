@@ -135,10 +135,10 @@ def _join(label: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return root[label]
 
 
-def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray, part: np.ndarray, sure: int, radius: int, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different parts within the radius. Rows are sorted by group and ``d``; pairs
-    among the first ``fresh`` rows were seen before. A pair within ``sure`` bits joins the parts
-    of its rows, and of joined parts no more pairs are given."""
+def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray, part: np.ndarray, radius: int, fresh: int, sets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different parts within the radius and, where their sets are given, similar.
+    Rows are sorted by group and ``d``; pairs among the first ``fresh`` rows were seen before. A
+    pair joins the parts of its rows, and of joined parts no more pairs are given."""
     n = len(group)
     _, first, of = np.unique(part, return_index=True, return_inverse=True)
     label, live, k, out = first[of], np.arange(n), 1, []
@@ -158,12 +158,15 @@ def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray
         ok = bits <= radius
         if ok.any():
             a, c, bits = a[ok], c[ok], bits[ok]
-            # of pairs of the same two parts in this step the nearest is enough
-            by = np.argsort(bits, kind="stable")
-            _, one = np.unique((label[a] * n + label[c])[by], return_index=True)
-            a, c, joins = a[by][one], c[by][one], bits[by][one] <= sure
+            if sets is None:  # of pairs of the same two parts in this step the nearest is enough
+                by = np.argsort(bits, kind="stable")
+                _, one = np.unique((label[a] * n + label[c])[by], return_index=True)
+                a, c = a[by][one], c[by][one]
+            else:
+                ok = np.array([alike(sets[x], sets[y]) for x, y in zip(a.tolist(), c.tolist())])
+                a, c = a[ok], c[ok]
             out.append((a, c))
-            label = _join(label, a[joins], c[joins])
+            label = _join(label, a, c)
         if k & (k - 1) == 0:  # now and then, groups whose rows are all joined are left
             first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             size = np.diff(np.append(first, n))
@@ -175,8 +178,9 @@ def _matches(group: np.ndarray, d: np.ndarray, table: np.ndarray, fp: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
-    """Links inside groups, from rows ``(keys..., d, table, fp, id, part)`` sorted by keys and ``d``."""
+def _search(n_keys: int, words: int, radius: int, pair_type, exact: bool = False):
+    """Links inside groups, from rows ``(keys..., d, table, fp, id, part)`` sorted by keys and ``d``;
+    ``exact`` ones from rows that hold their shingle sets as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -189,15 +193,19 @@ def _search(n_keys: int, words: int, sure: int, radius: int, pair_type):
             table = _rows_of(table, pair_type, len(table[0].as_py()) // np.dtype(pair_type).itemsize)
             fp = _rows_of(b.column(n_keys + 2), np.uint64, words) if words > 1 else b.column(n_keys + 2).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             rows = [keys, d, table, fp, *(b.column(n_keys + k).to_numpy(zero_copy_only=False) for k in (3, 4))]
+            if exact:
+                sets = np.empty(b.num_rows, dtype=object)
+                sets[:] = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(n_keys + 5)]
+                rows.append(sets)
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
                 rows = [np.concatenate(x) for x in zip(held, rows)]
-            keys, d, table, fp, id_, part = rows
+            keys, d, table, fp, id_, part = rows[:6]
             new = np.ones(len(d), dtype=bool)
             new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
             group = np.cumsum(new)
-            a, c = _matches(group, d, table, fp, part, sure, radius, fresh)
+            a, c = _matches(group, d, table, fp, part, radius, fresh, rows[6] if exact else None)
             keep = (group == group[-1]) & (d >= d[-1] - radius)
             held = [x[keep] for x in rows]
             if len(a):
@@ -211,7 +219,7 @@ def links(fps: DataFrame) -> DataFrame:
     groups = _grouped(fps).select("t", "key", "cell", "d", "table", "fp", F.col("fp").alias("id"), F.col("fp").alias("part"))
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(n, "t", "key", "cell").sortWithinPartitions("t", "key", "cell", "d", "fp")
-    return dealt.mapInArrow(_search(3, 1, RADIUS, RADIUS, np.uint8), "u long, v long").distinct()
+    return dealt.mapInArrow(_search(3, 1, RADIUS, np.uint8), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,13 +254,12 @@ STEP_BYTES = 1 << 19
 ROUNDS = ((0, 1), (2, 3, 4), (5, 6, 7, 8, 9, 10, 11))
 
 
-def wide_radii(similarity: float = SIMILARITY) -> tuple[int, int]:
-    """Differing bits of wide fingerprints by which a pair is taken as similar, and up to which it
-    may be: 1.5 standard deviations below and 3 above those of a pair of the least similarity."""
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits of wide fingerprints that a pair of the least similarity stays within, but for a
+    chance of 0.001: three standard deviations above the mean."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * WIDTH
-    sd = np.sqrt(bits * share * (1 - share))
-    return int(bits * share - 1.5 * sd), int(np.ceil(bits * share + 3 * sd))
+    return int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share))))
 
 
 def wide_pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -310,6 +317,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links whose texts are similar enough, from ``(u, v, text of u, text of v)``."""
     for b in batches:
@@ -317,16 +329,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((u, v, x.as_py(), y.as_py()) for u, v, x, y in rows)
         for part in tx.pieces(rows, lambda x: len(x[2]) + len(x[3]) + 100, STEP_BYTES):
             h, at = shingle_sets([x[k] for x in part for k in (2, 3)])
-            keep = []
-            for i, (u, v, _, _) in enumerate(part):
-                x, y = h[at[2 * i] : at[2 * i + 1]], h[at[2 * i + 1] : at[2 * i + 2]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= SIMILARITY * (len(x) + len(y) - both):
-                    keep.append((u, v))
+            sets = [h[a:b] for a, b in zip(at, at[1:])]
+            keep = [(u, v) for i, (u, v, _, _) in enumerate(part) if alike(sets[2 * i], sets[2 * i + 1])]
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keep)], ["u", "v"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in tx.pieces(((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))), lambda x: len(x[1]) + 100, STEP_BYTES):
+            h, at = shingle_sets([t for _, t in part])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["id", "shingles"])
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``(u, v)``: verified links that join similar texts of ``texts(id, text)``; UTF-8 bytes, under ids
     that name a text each and may repeat with it. Texts without words are alike.
@@ -340,36 +355,34 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     bands = cut(bands.join(shared, ["t", "key"]))
     sketches = sketches.drop("bands").withColumn("part", F.col("id"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sure, radius = wide_radii()
+    radius = wide_radius()
+    cols = ["t", "key", "d", "table", "fp", "id", "part"]
+    deal = lambda df: df.repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     verified, failed = None, None
-    for k, some_bands in enumerate((*ROUNDS, range(BANDS))):
-        last = k == len(ROUNDS)
-        # pairs of the last round join nothing unless they are sure, so all that could be similar are
-        # given; before it a part of rows is joined by one pair, and what such a pair that failed
-        # has hidden lies in the parts that its ends belong to, which alone go on to the last round
-        own = sketches
-        if last:
-            if failed is None or not failed.limit(1).count():
-                break
-            ends = failed.select(F.explode(F.array("u", "v")).alias("id")).join(sketches, "id").select("part").distinct()
-            own = sketches.join(ends, "part")
-        dealt = bands.filter(F.col("t").isin(*some_bands)).join(own, "id")
-        dealt = dealt.select("t", "key", "d", "table", "fp", "id", "part").repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
-        found = dealt.mapInArrow(_search(2, WIDTH, sure if last else radius, radius, np.uint16), "u long, v long")
-        found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for some_bands in ROUNDS:
+        # a part of rows is joined by one pair, which is verified afterwards
+        rows = bands.filter(F.col("t").isin(*some_bands)).join(sketches, "id").select(*cols)
+        found = ordered(deal(rows).mapInArrow(_search(2, WIDTH, radius, np.uint16), "u long, v long"))
         found = cut(found if failed is None else found.join(failed, ["u", "v"], "left_anti"))
         need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         some = cut(texts.join(need, "id").dropDuplicates(["id"]))
         one, two = (some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
         good = cut(found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long"))
         verified = good if verified is None else cut(verified.unionByName(good))
-        if last:
-            break
         bad = found.join(good, ["u", "v"], "left_anti")
         failed = cut(bad if failed is None else failed.unionByName(bad))
         part = connected_components(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
         sketches = cut(sketches.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
-    return verified
+    if not failed.limit(1).count():
+        return verified
+    # what a pair that failed has hidden lies in the parts of its ends: their rows alone are dealt
+    # out once more, with their shingles, and joined by similar pairs only
+    ends = failed.select(F.explode(F.array("u", "v")).alias("id")).join(sketches, "id").select("part").distinct()
+    own = cut(sketches.join(ends, "part"))
+    sets = cut(texts.join(own.select("id"), "id").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary"))
+    rows = bands.join(own, "id").join(sets, "id").select(*cols, "shingles")
+    return verified.unionByName(ordered(deal(rows).mapInArrow(_search(2, WIDTH, radius, np.uint16, True), "u long, v long")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
