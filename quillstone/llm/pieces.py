@@ -304,10 +304,12 @@ class Coder:
 
 
 _CODERS: dict[str, Coder] = {}
+tx.KEPT["pieces"] = _CODERS
 
 
 def coder(raw: bytes) -> Coder:
     """The coder of a model, built once a process."""
+    tx.begin("pieces")
     key = hashlib.sha256(raw).hexdigest()
     if key not in _CODERS:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))

@@ -272,6 +272,7 @@ def detect(docs: DataFrame, model: tg.Tagger, id_col: str = "doc_id", text: str
     """One row a text: counts of base spans by kind, their digest, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.begin("pii")
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1))
             for part in tx.pieces(((i, t.as_py() or "") for i, t in rows), lambda x: len(x[1]) + 400, 1 << 20):
@@ -308,6 +309,7 @@ def redact(docs: DataFrame, model: tg.Tagger, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.begin("pii")
         for b in batches:
             texts, new = b.column(at), []
             for part in tx.pieces((t.as_py() for t in texts), lambda x: len(x or "") + 400, 1 << 20):

@@ -183,6 +183,7 @@ def _search(n_keys: int, words: int, radius: int, pair_type, exact: bool = False
     ``exact`` ones from rows that hold their shingle sets as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.begin("simhash")
         held = None
         for b in batches:
             if not b.num_rows:
@@ -252,6 +253,9 @@ STEP_BYTES = 1 << 19
 #: Bands of the rounds in which parts are joined by one pair: most copies share one of the first,
 #: so that later bands find them joined.
 ROUNDS = ((0, 1), (2, 3, 4), (5, 6, 7, 8, 9, 10, 11))
+#: Rows of a partition of links, which bounds a task's memory; ends of ids that are told apart where
+#: texts are looked up (a power of two).
+ROWS_EACH, ENDS = 1 << 18, 1 << 20
 
 
 def wide_radius(similarity: float = SIMILARITY) -> int:
@@ -304,6 +308,7 @@ def sketch(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tx.begin("simhash")
     piv = wide_pivots()
     for b in batches:
         rows = ((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1)))
@@ -324,6 +329,7 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links whose texts are similar enough, from ``(u, v, text of u, text of v)``."""
+    tx.begin("simhash")
     for b in batches:
         rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3))
         rows = ((u, v, x.as_py(), y.as_py()) for u, v, x, y in rows)
@@ -336,12 +342,56 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tx.begin("simhash")
     for b in batches:
         for part in tx.pieces(((i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))), lambda x: len(x[1]) + 100, STEP_BYTES):
             h, at = shingle_sets([t for _, t in part])
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["id", "shingles"])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a partition's links, and the smallest that it reaches by them."""
+    node, least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        ends = [np.concatenate((x, b.column(k).to_numpy(zero_copy_only=False))) for k, x in enumerate((node, least))]
+        names, at = np.unique(np.concatenate(ends), return_inverse=True)
+        u, v = np.split(at, 2)
+        label = np.arange(len(names))
+        while len(u):
+            label = _join(label, u, v)
+            apart = label[u] != label[v]
+            u, v = u[apart], v[apart]
+        node, least = names, names[label]
+    if len(node):
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["v", "component"])
+
+
+def _few(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, written, in partitions of about ``ROWS_EACH`` rows, and its rows: what reads a small
+    result then leaves few files."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(max(1, -(-n // ROWS_EACH))), n
+
+
+def parts_of(links: DataFrame) -> DataFrame:
+    """``(v, component)``, written, for every node of ``links(u, v)``; component is the smallest node.
+    Links are contracted where they lie, so rounds between partitions are left to many links."""
+    links, n = _few(links)
+    stars = links.mapInArrow(_stars, "v long, component long")
+    if n <= ROWS_EACH:
+        return _few(stars)[0]
+    return _few(connected_components(stars.select(F.col("v").alias("u"), F.col("component").alias("v"))))[0]
+
+
+def texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The text of each of ``need(id)``, once. Only texts whose id ends like a needed one are dealt
+    out; of such ends there are few enough to be sent to all tasks."""
+    end = F.col("id").bitwiseAND(ENDS - 1).alias("end")
+    near = texts.select("*", end).join(F.broadcast(need.select(end).distinct()), "end", "left_semi").drop("end")
+    return near.join(need, "id", "left_semi").dropDuplicates(["id"])
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
     """``(u, v)``: verified links that join similar texts of ``texts(id, text)``; UTF-8 bytes, under ids
     that name a text each and may repeat with it. Texts without words are alike.
@@ -353,35 +403,38 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     bands = sketches.select("id", F.posexplode("bands").alias("t", "key"))
     shared = bands.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     bands = cut(bands.join(shared, ["t", "key"]))
-    sketches = sketches.drop("bands").withColumn("part", F.col("id"))
+    sketches = sketches.drop("bands")
+    named = sketches.withColumn("part", F.col("id"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     radius = wide_radius()
     cols = ["t", "key", "d", "table", "fp", "id", "part"]
     deal = lambda df: df.repartition(n, "t", "key").sortWithinPartitions("t", "key", "d", "id")
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    verified, failed = None, None
+    verified, failed, n_failed = None, None, 0
     for some_bands in ROUNDS:
         # a part of rows is joined by one pair, which is verified afterwards
-        rows = bands.filter(F.col("t").isin(*some_bands)).join(sketches, "id").select(*cols)
+        rows = bands.filter(F.col("t").isin(*some_bands)).join(named, "id").select(*cols)
         found = ordered(deal(rows).mapInArrow(_search(2, WIDTH, radius, np.uint16), "u long, v long"))
-        found = cut(found if failed is None else found.join(failed, ["u", "v"], "left_anti"))
-        need = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        some = cut(texts.join(need, "id").dropDuplicates(["id"]))
+        found, _ = _few(found if failed is None else found.join(failed, ["u", "v"], "left_anti"))
+        some = cut(texts_of(texts, found.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
         one, two = (some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-        good = cut(found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long"))
-        verified = good if verified is None else cut(verified.unionByName(good))
+        good, _ = _few(found.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long"))
+        verified = good if verified is None else verified.unionByName(good)
         bad = found.join(good, ["u", "v"], "left_anti")
-        failed = cut(bad if failed is None else failed.unionByName(bad))
-        part = connected_components(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
-        sketches = cut(sketches.drop("part").join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
-    if not failed.limit(1).count():
+        failed, n_failed = _few(bad if failed is None else failed.unionByName(bad))
+        part = parts_of(verified).select(F.col("v").alias("id"), F.col("component").alias("part"))
+        named = sketches.join(part, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    if not n_failed:
         return verified
     # what a pair that failed has hidden lies in the parts of its ends: their rows alone are dealt
-    # out once more, with their shingles, and joined by similar pairs only
-    ends = failed.select(F.explode(F.array("u", "v")).alias("id")).join(sketches, "id").select("part").distinct()
-    own = cut(sketches.join(ends, "part"))
-    sets = cut(texts.join(own.select("id"), "id").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary"))
-    rows = bands.join(own, "id").join(sets, "id").select(*cols, "shingles")
+    # out once more, with their shingles, and joined by similar pairs only; a group of one part has none
+    ends = failed.select(F.explode(F.array("u", "v")).alias("id")).join(named, "id").select("part").distinct()
+    own = cut(named.join(ends, "part"))
+    near = bands.join(own.select("id", "part"), "id")
+    mixed = near.groupBy("t", "key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("t", "key")
+    near = cut(near.drop("part").join(mixed, ["t", "key"]))
+    sets = cut(texts_of(texts, near.select("id").distinct()).mapInArrow(_sets, "id long, shingles binary"))
+    rows = near.join(own, "id").join(sets, "id").select(*cols, "shingles")
     return verified.unionByName(ordered(deal(rows).mapInArrow(_search(2, WIDTH, radius, np.uint16, True), "u long, v long")))
 
 
@@ -396,7 +449,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"))
     known = rows.filter("id is not null")
     body = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
-    comp = connected_components(similar_texts(known.select(F.col("key").alias("id"), body.alias("text"))))
+    comp = parts_of(similar_texts(known.select(F.col("key").alias("id"), body.alias("text"))))
     first = known.groupBy("key").agg(F.min("id").alias("id"))
     named = first.join(comp.select(F.col("v").alias("key"), "component"), "key", "left")
     named = named.select("key", "id", F.coalesce("component", "key").alias("component"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters that part words: space and U+0009 to U+000D (fixed values).
 SPACES = b" \t\n\x0b\x0c\r"
@@ -102,6 +106,23 @@ def shingle_hashes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
+#: What this process keeps from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def begin(operator: str) -> None:
+    """A task of ``operator`` begins: what the process, which tasks of all operators use in turn, keeps
+    for others is given back to the system."""
+    others = [x for name, x in KEPT.items() if x and name != operator]
+    for x in others:
+        x.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(items: Iterable, size, limit: int = _PIECE) -> Iterator[list]:
     """Lists of items whose sizes add up to about ``limit``: the bound on a step's memory."""
     got, total = [], 0

@@ -1,9 +1,11 @@
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from quillstone.llm import pieces
+from quillstone.llm import pieces, simhash
 
 ODD = ["", " ", "  ", "a", "▁", "▁▁ a", "Hello  wörld\n\tx ▁ y 日本 <s> </s> 🤖 ", "<0x0A>", "\n", "\n\n  \n x", "a\u0000b", "aaaa" * 50, "é é", "\r\n\x0b", "<unk>"]
 ODD += [" " * k + "the  x" + " " * (k // 2) for k in range(1, 70, 3)]
@@ -65,3 +67,14 @@ def test_other_models(kind, extra):
     model = sentencepiece.SentencePieceProcessor(model_proto=raw)
     texts = ["the thing and an ant", "hand in hand", " a  the ", "xyz é", "", "thethethe\nand", "an" * 40]
     assert [list(x) for x in pieces.Coder(raw).encode(texts)] == model.encode(texts)
+
+
+def test_other_operators_tasks_give_the_coder_back():
+    """Workers are used again by the pipeline's other stages, which need their memory."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"a b c d e f"])], ["id", "text"])
+    for run, batches in ((simhash._sketches, [batch]), (simhash._sets, [batch]), (simhash._search(2, simhash.WIDTH, 1, np.uint16), [])):
+        held = pieces.coder(pieces.read_model(None))
+        assert pieces.coder(pieces.read_model(None)) is held
+        list(run(iter(batches)))
+        assert not pieces._CODERS
+    assert pieces.coder(pieces.read_model(None)).decode(held.encode(["give it back"])) == ["give it back"]

@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import xxhash
 
 from quillstone.llm import simhash
+from quillstone.runtime import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -139,6 +142,42 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
 
 
+def test_parts_of_links(spark, monkeypatch):
+    """Contracted in one partition, and in many whose stars are joined."""
+    rng = np.random.default_rng(17)
+    links = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (350, 2))] + [(900 + i, 901 + i) for i in range(60)] + [(2000, 2000)]
+    part = {x: x for e in links for x in e}
+    for _ in part:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    for each in (simhash.ROWS_EACH, 64):
+        monkeypatch.setattr(simhash, "ROWS_EACH", each)
+        got = simhash.parts_of(spark.createDataFrame(links, "u long, v long").repartition(8)).collect()
+        assert len(got) == len(part) and {r.v: r.component for r in got} == part
+    assert simhash.parts_of(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_small_rounds_leave_few_files(spark):
+    """Links and parts are few however many partitions there are; each file forks a process."""
+    folder = spark._jvm.java.net.URI(ensure_checkpoint_dir(spark)).getPath()
+    rng = np.random.default_rng(18)
+    w = rng.choice(["w%d" % i for i in range(300)], 200).tolist()
+    rows = [(i, " ".join(w[:i] + ["edit"] + w[i:]) if i < 30 else " ".join(rng.permutation(w)), "en", "s", 1) for i in range(60)]
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    files = lambda: sum(x.startswith("part-") for _, _, names in os.walk(folder) for x in names)
+    before = files()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
+        assert {r.doc_id for r in kept.collect()} == kept_by_brute_force([r[:2] for r in rows])[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert files() - before < 32 * 20
+
+
 def test_rows_that_share_an_id(spark):
     """An unlike text under the id of a copy stays."""
     rng = np.random.default_rng(14)
