@@ -311,11 +311,12 @@ def redact(docs: DataFrame, model: tg.Tagger, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.begin("pii")
         for b in batches:
-            texts, new = b.column(at), []
+            texts, done = b.column(at), 0
             for part in tx.pieces((t.as_py() for t in texts), lambda x: len(x or "") + 400, 1 << 20):
                 _, spans = find_spans(model, [t or "" for t in part])
-                new += [None if t is None else redact_text(t, s) if s else t for t, s in zip(part, spans)]
-            cols = [pa.array(new, texts.type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+                new = [None if t is None else redact_text(t, s) if s else t for t, s in zip(part, spans)]
+                cols = [pa.array(new, texts.type) if i == at else c for i, c in enumerate(b.slice(done, len(part)).columns)]
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+                done += len(part)
 
     return docs.mapInArrow(run, docs.schema)

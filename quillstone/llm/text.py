@@ -108,19 +108,23 @@ def shingle_hashes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: What this process keeps from task to task, by operator.
 KEPT: dict[str, dict] = {}
+_last = ""
 
 
 def begin(operator: str) -> None:
     """A task of ``operator`` begins: what the process, which tasks of all operators use in turn, keeps
-    for others is given back to the system."""
-    others = [x for name, x in KEPT.items() if x and name != operator]
-    for x in others:
-        x.clear()
-    if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+    from others is given back to the system."""
+    global _last
+    if operator == _last:
+        return
+    _last = operator
+    for name, x in KEPT.items():
+        if name != operator:
+            x.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(items: Iterable, size, limit: int = _PIECE) -> Iterator[list]:
