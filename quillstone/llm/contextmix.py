@@ -29,7 +29,7 @@ null id is learnt from. Words are counted by a 64-bit hash. Texts of any length
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -58,8 +58,13 @@ BLOCKS = 64
 BLOCK, LANES = 16, 256
 #: Slots of a text's own tables, as a power of two.
 OWN_BITS = 11
+#: Where a bit's slots in both own tables and its cells in both spelling contexts lie in one number,
+#: above its node and value.
+OWN_AT, CELL_AT = (6, 6 + OWN_BITS), (32, 48)
 #: Bytes taken at a time: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
+#: Distinct words that are spelled at a time, and tokens whose contexts are counted at a time.
+WORDS, TOKENS = 1 << 13, 1 << 13
 #: Words whose counts for the base score are sent to all tasks; others are joined.
 HOT_WORDS = 1 << 17
 #: Eighths of a binary log of 1 + times seen that part gates: never, about once, a few, often.
@@ -94,6 +99,7 @@ class Code:
     first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
+    step: np.ndarray  # both: the node, and ``NODES`` for a one
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +134,8 @@ def code_of(pairs: np.ndarray) -> Code:
     length = np.concatenate([x[0] for x in got])
     # the root is 0, and nodes that are passed more often come before others
     node = np.concatenate([(len(pairs) - 2 - x[1]) & (NODES - 1) for x in got]).astype(np.uint8)
-    return Code(length, np.cumsum(length) - length, node, np.concatenate([x[2] for x in got]))
+    bit = np.concatenate([x[2] for x in got])
+    return Code(length, np.cumsum(length) - length, node, bit, node | bit * np.uint8(NODES))
 
 
 @dataclass
@@ -159,7 +166,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def units(texts: list[bytes]) -> Units:
     split = [[*t.lower().split(), b""] for t in texts]
     tokens = np.fromiter(map(len, split), np.int64, len(split))
-    index = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__  # a new word takes the next number
     of = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int32, int(tokens.sum()))
     names = list(index)
     size, data = closed(names)
@@ -170,20 +178,13 @@ def units(texts: list[bytes]) -> Units:
 class Spelled:
     """Bytes of distinct words, one after the other, and all bits of those."""
 
-    size: np.ndarray  # bytes of each word
-    count: np.ndarray  # bits of each word
     length: np.ndarray  # bits of each byte
+    byte: np.ndarray  # the byte of each bit
     two: np.ndarray  # hash of the two bytes before each
     three: np.ndarray
     four: np.ndarray
     word: np.ndarray  # hash of the word so far
-    node: np.ndarray  # low bits of the number of each bit's node
-    bit: np.ndarray
-
-    @property
-    def keys(self) -> list[np.ndarray]:
-        """What the contexts of words before are hashed with."""
-        return [self.three, self.word, self.word]
+    step: np.ndarray  # see ``Code``
 
 
 def back(data: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
@@ -208,6 +209,15 @@ def _bits_of(begin: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.arange(int(c.sum())) + np.repeat(begin - (np.cumsum(c) - c), c)
 
 
+def bytes_of(size: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some tokens: places among those of the distinct words, and numbers of the tokens."""
+    c = size.take(of)
+    token = np.repeat(np.arange(len(of), dtype=np.int32), c)
+    j = (first.take(of) - (np.cumsum(c) - c)).take(token)
+    j += np.arange(len(token))
+    return j, token
+
+
 def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
     """Bits of words that lie one after the other in ``data``."""
     first = np.cumsum(size) - size
@@ -221,9 +231,18 @@ def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
     three = two | back(data, pos, 3) << np.uint32(16)
     four = three | back(data, pos, 4) << np.uint32(24)
     length = code.length[value]
-    step = _bits_of(code.first[value], length)
-    count = np.add.reduceat(length, first) if len(first) else length
-    return Spelled(size, count, length, two * _C, (three ^ np.uint32(0x5BD1E995)) * _C, four * _C, so_far, code.node[step], code.bit[step])
+    byte = np.repeat(np.arange(len(data), dtype=np.int32), length)
+    step = (code.first[value] - (np.cumsum(length) - length)).take(byte)
+    step += np.arange(len(byte))
+    return Spelled(length, byte, two * _C, (three ^ np.uint32(0x5BD1E995)) * _C, four * _C, so_far, code.step.take(step))
+
+
+def spelled_in_parts(u: Units, code: Code) -> Iterator[Spelled]:
+    """``spelled`` of ``WORDS`` distinct words after the other, which keeps the work in the processor's cache."""
+    end = np.cumsum(u.size)
+    for a in range(0, len(u.size), WORDS):
+        size = u.size[a : a + WORDS]
+        yield spelled(size, u.data[end[a] - size[0] : end[a + len(size) - 1]], code)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int = 0) -> Iterator[tuple]:
@@ -260,6 +279,11 @@ def _blocks(flat: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(data, pa.binary())], ["block", "data"])
 
 
+def low_of(step: np.ndarray) -> np.ndarray:
+    """A slot's part that no context changes, and which of its counts."""
+    return (step & np.uint8(NODES - 1)) << np.uint8(1) | step // np.uint8(NODES)
+
+
 def _count_spelling(code: Code, sizes: tuple[int, ...]):
     """Zeros and ones of the spelling contexts over a task's distinct words, as compressed blocks."""
 
@@ -268,13 +292,12 @@ def _count_spelling(code: Code, sizes: tuple[int, ...]):
         for part in _steps(batches, 1):
             any_, at = True, 0
             n = np.array([n for n, _ in part]).astype(np.uint32)
-            d = spelled(*closed([w for _, w in part]), code)
-            times = np.repeat(n, d.count)
+            size, data = closed([w for _, w in part])
+            d = spelled(size, data, code)
+            times, low = np.repeat(n, size).take(d.byte), low_of(d.step)
             for h, bits in zip((d.four, d.word), sizes):
-                slot = np.repeat(places(h, bits), d.length)
-                slot ^= d.node
-                slot <<= 1
-                slot += d.bit
+                slot = (places(h, bits) << 1).take(d.byte)
+                slot ^= low
                 np.add.at(flat[at : at + (2 << bits)], slot, times)
                 at += 2 << bits
         if any_:
@@ -307,17 +330,20 @@ def _count_contexts(code: Code, sizes: tuple[int, ...]):
         for part in _steps(batches):
             any_ = True
             u = units([t for (t,) in part])
-            d, contexts = spelled(u.size, u.data, code), before(u)
-            begin, first = np.cumsum(d.count) - d.count, np.cumsum(d.size) - d.size
-            low = d.node << np.uint8(1) | d.bit  # the slot's part that no context changes, and which count
-            for a in range(0, len(u.of), 20_000):
-                of = u.of[a : a + 20_000]
-                j = _bits_of(first[of], d.size[of])
-                mine, length, at = low[_bits_of(begin[of], d.count[of])], d.length[j], 0
-                for k, bits in enumerate(sizes):
-                    h = np.repeat(contexts[k][a : a + 20_000], d.size[of])
-                    h ^= d.keys[k][j]
-                    slot = np.repeat(places(h, bits) << 1, length)
+            got = [(d.length, d.three, d.word, low_of(d.step)) for d in spelled_in_parts(u, code)]
+            lengths, three, word, low = map(np.concatenate, zip(*got))
+            contexts, first, begin = before(u), np.cumsum(u.size) - u.size, np.cumsum(lengths) - lengths
+            for a in range(0, len(u.of), TOKENS):
+                j, token = bytes_of(u.size, first, u.of[a : a + TOKENS])
+                length, at = lengths.take(j), 0
+                byte = np.repeat(np.arange(len(j)), length)  # a byte's bits side by side, in one line of memory
+                mine = (begin.take(j) - (np.cumsum(length) - length)).take(byte)
+                mine += np.arange(len(mine))
+                mine = low.take(mine).astype(np.intp)
+                for k, (bits, key) in enumerate(zip(sizes, (three, word, word))):
+                    h = contexts[k][a : a + TOKENS].take(token)
+                    h ^= key.take(j)
+                    slot = (places(h, bits).astype(np.intp) << 1).take(byte, mode="clip")
                     slot ^= mine
                     np.add.at(flat[at : at + (2 << bits)], slot, np.uint32(1))
                     at += 2 << bits
@@ -409,62 +435,80 @@ class Reader:
         u = units(texts)
         return np.add.reduceat(self.read(u), np.cumsum(u.tokens) - u.tokens)
 
+    def words(self, d: Spelled) -> tuple[np.ndarray, ...]:
+        """What depends on the word alone: of its bytes bits, hashes and gates, of each bit its node and value,
+        own slots and cells in one number."""
+        node, rows, begin = d.step & np.uint8(NODES - 1), d.step.astype(np.uint64), np.cumsum(d.length) - d.length
+        for shift, h in zip(OWN_AT, (d.word, d.two)):
+            rows |= (places(h * _C, OWN_BITS).take(d.byte) ^ node).astype(np.uint64) << np.uint64(shift)
+        for k, h in enumerate((d.four, d.word)):
+            cell = self.model.cells[k].take(places(h, self.sizes[k]).take(d.byte) ^ node)
+            rows |= cell.astype(np.uint64) << np.uint64(CELL_AT[k])
+        return d.length, d.three, d.word, rows, np.searchsorted(KNOWN, cell.take(begin) >> np.uint16(8), side="right")
+
     def read(self, u: Units) -> np.ndarray:
         """log2 probability of each token; texts of most tokens come first, ``LANES`` side by side."""
-        d = spelled(u.size, u.data, self.model.code)
-        # what depends on the word alone: a row for each bit, and gates of bytes
-        cells = [self.model.cells[k][np.repeat(places(h, self.sizes[k]), d.length) ^ d.node] for k, h in enumerate((d.four, d.word))]
-        lead = np.cumsum(d.length) - d.length
-        gate = np.searchsorted(KNOWN, cells[1][lead] >> np.uint16(8), side="right")
-        packed = d.node | d.bit.astype(np.uint32) << np.uint32(5)
-        for k, h in enumerate((d.word, d.two)):
-            own = np.repeat(places(h * _C, OWN_BITS), d.length) ^ d.node
-            packed |= own.view(np.uint32) << np.uint32(6 + OWN_BITS * k)
-        rows = np.stack([*(odds[cell] for odds, cell in zip(self.odds, cells)), packed.view(np.float32)], axis=1)
-        begin, first_byte, contexts = np.cumsum(d.count) - d.count, np.cumsum(d.size) - d.size, before(u)
+        lengths, three, word, rows, gate = map(np.concatenate, zip(*(self.words(d) for d in spelled_in_parts(u, self.model.code))))
+        begin, first_byte, contexts = np.cumsum(lengths) - lengths, np.cumsum(u.size) - u.size, before(u)
         first, out = np.cumsum(u.tokens) - u.tokens, np.zeros(len(u.of))
         order = np.argsort(-u.tokens, kind="stable")
         for s in range(0, len(order), LANES):
             lanes = order[s : s + LANES]
             size, start = u.tokens[lanes], first[lanes]
-            w = [np.full(len(lanes) * GATES, x, np.float32) for x in START]
+            w = np.repeat(START[:, None], len(lanes) * GATES, axis=1)
             tables = [np.zeros(len(lanes) << OWN_BITS, np.float32) for _ in OWN_RATES]
             for b, block in blocks(int(size[0])):
                 live = int(np.searchsorted(-size, -b, side="left"))
-                n = np.minimum(size[:live] - b, block)
-                token, lane = _bits_of(start[:live] + b, n), np.repeat(np.arange(live), n)
-                of = u.of[token]
-                c, n_bytes = d.count[of], d.size[of]
-                j = _bits_of(first_byte[of], n_bytes)
-                length = d.length[j]
-                lead = np.cumsum(length) - length
-                row = np.ascontiguousarray(rows.take(_bits_of(begin[of], c), axis=0).T)
-                packed, xs = row[2].view(np.int32), [row[0], row[1]]
-                node, word, g = packed & NODES - 1, d.word[j], gate[j] + np.repeat(lane, n_bytes) * GATES
+                n_tokens = np.minimum(size[:live] - b, block)
+                token = _bits_of(start[:live] + b, n_tokens)
+                # bytes of longest codes first: the k-th bits of the first n of them lie from o on, so a byte's
+                # value meets its bits, and their sum the byte, slice by slice
+                j, t = bytes_of(u.size, first_byte, u.of[token])
+                length = lengths.take(j)
+                by = np.argsort(255 - length.astype(np.uint8), kind="stable")
+                j, t, n = j.take(by), t.take(by), len(j) - np.cumsum(np.bincount(length))[:-1]
+                slices = [*zip(range(len(n)), n.tolist(), (np.cumsum(n) - n).tolist())]
+                lane = np.repeat(np.arange(live, dtype=np.int32), n_tokens).take(t)
+                many, bits = len(j), int(n.sum())
+                # of every byte: its slots in the contexts of words before, its lane's own tables
+                byte = np.empty((CONTEXTS - SPELLING + 1, many), np.int32)
+                for k, key in enumerate((three, word, word)):
+                    byte[k] = places(contexts[k].take(token).take(t) ^ key.take(j), self.sizes[SPELLING + k])
+                byte[-1] = lane << OWN_BITS
+                at, slot, lead = np.empty(bits, np.intp), np.empty((len(byte), bits), np.int32), begin.take(j)
+                for i, n, o in slices:
+                    np.add(lead[:n], i, out=at[o : o + n])
+                    slot[:, o : o + n] = byte[:, :n]
+                row = rows.take(at, mode="clip")
+                low = row.astype(np.uint32).view(np.int32)
+                slot[:-1] ^= low & NODES - 1
+                x = np.empty((CONTEXTS, bits), np.float32)
+                for k in range(SPELLING):
+                    self.odds[k].take((row >> np.uint64(CELL_AT[k])).astype(np.uint16), out=x[k], mode="clip")
                 for k in range(SPELLING, CONTEXTS):
-                    h = np.repeat(contexts[k - SPELLING][token], n_bytes)
-                    h ^= d.three[j] if k == SPELLING else word
-                    slot = np.repeat(places(h, self.sizes[k]), length)
-                    slot ^= node
-                    cell = self.model.cells[k].take(slot)
-                    xs.append(self.odds[k].take(cell))
+                    cell = self.model.cells[k].take(slot[k - SPELLING], mode="clip")
+                    self.odds[k].take(cell, out=x[k], mode="clip")
                     if k == SPELLING + 1:
-                        g += (cell[lead] > 255) * (GATES // 2)
-                at = np.repeat(lane << OWN_BITS, c)
-                slots = [(packed >> 6 + OWN_BITS * k & (1 << OWN_BITS) - 1) + at for k in range(2)]
-                z = tables[0].take(slots[0])
-                z += tables[1].take(slots[1])
-                for v, x in zip(w, xs):
-                    z += np.repeat(v.take(g), length) * x
+                        known = cell[:many] > 255
+                g = gate.take(j) + lane * GATES + known * (GATES // 2)
+                slots = [(low >> shift & (1 << OWN_BITS) - 1 | slot[-1]).astype(np.intp) for shift in OWN_AT]
+                z, v = tables[0].take(slots[0], mode="clip"), w.take(g, axis=1, mode="clip")
+                z += tables[1].take(slots[1], mode="clip")
+                for _, n, o in slices:
+                    z[o : o + n] += np.einsum("kb,kb->b", v[:, :n], x[:, o : o + n])
                 np.clip(z, -12, 12, out=z)
-                err = (packed >> 5 & 1).astype(np.float32) - 1 / (1 + np.exp(-z))
-                out[token] = np.add.reduceat(np.log2(1 - np.abs(err)), np.cumsum(c) - c)
+                err = (low >> 5 & 1).astype(np.float32) - 1 / (1 + np.exp(-z))
+                log, step = np.log2(1 - np.abs(err)), np.zeros((CONTEXTS, many), np.float32)
+                for _, n, o in slices:
+                    step[:, :n] += err[o : o + n] * x[:, o : o + n]
+                    if o:
+                        log[:n] += log[o : o + n]
+                out[token] = np.bincount(t, log[:many], len(token))
                 # one step along the gradient of the block's bits
-                for table, slot, rate in zip(tables, slots, OWN_RATES):
-                    np.add.at(table, slot, rate * err)
-                err *= RATE
-                for v, x in zip(w, xs):
-                    v[: live * GATES] += np.bincount(g, np.add.reduceat(err * x, lead), live * GATES)
+                for table, own, rate in zip(tables, slots, OWN_RATES):
+                    np.add.at(table, own, rate * err)
+                for k in range(CONTEXTS):
+                    w[k, : live * GATES] += RATE * np.bincount(g, step[k], live * GATES).astype(np.float32)
         return out
 
 

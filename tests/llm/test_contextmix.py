@@ -177,6 +177,37 @@ def test_against_plain_loops():
     assert cm.Reader(model).bits(texts) == pytest.approx([slow_score(t, model) for t in texts], rel=2e-4)
 
 
+def test_in_small_parts(monkeypatch):
+    """Counts and scores don't depend on how many words or tokens are worked on at a time."""
+    rows = [t.encode() for _, t, _ in corpus(40)] + [b"", b"w" * 3000]
+    model, counts = model_of(rows)
+    bits = cm.Reader(model).bits(rows)
+    monkeypatch.setattr(cm, "WORDS", 3)
+    monkeypatch.setattr(cm, "TOKENS", 2)
+    again, others = model_of(rows)
+    assert all(np.array_equal(a, b) for a, b in zip(counts, others))
+    assert cm.Reader(again).bits(rows) == pytest.approx(bits, rel=1e-5)
+
+
+def test_nothing_is_spread_over_the_bits_of_a_text(monkeypatch):
+    """A byte's slots, gates and weights meet its bits slice by slice: what is repeated is less than a value a bit."""
+    rows = [t.encode() for _, t, _ in corpus(200)] * 3
+    model, _ = model_of(rows[:200])
+    u, many, repeat = cm.units(rows), [0], np.repeat
+
+    def counted(*args, **named):
+        got = repeat(*args, **named)
+        many[0] += got.size
+        return got
+
+    length = cm.spelled(u.size, u.data, model.code).length
+    bits = int(np.add.reduceat(length, np.cumsum(u.size) - u.size)[u.of].sum())
+    reader = cm.Reader(model)
+    monkeypatch.setattr(np, "repeat", counted)
+    reader.read(u)
+    assert many[0] < bits
+
+
 def test_probabilities_add_up():
     """Over all words of one byte, closed, and the end: less than one in sum, as the rest is longer."""
     model, _ = model_of([b"a b c a b", b"a c a b", b"d"])
