@@ -29,7 +29,7 @@ null id is learnt from. Words are counted by a 64-bit hash. Texts of any length
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -63,8 +63,9 @@ OWN_BITS = 11
 OWN_AT, CELL_AT = (6, 6 + OWN_BITS), (32, 48)
 #: Bytes taken at a time: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
-#: Distinct words that are spelled at a time, and tokens whose contexts are counted at a time.
-WORDS, TOKENS = 1 << 13, 1 << 13
+#: What is worked on at a time, so that it fits the processor's cache: bytes to hash, distinct words to spell,
+#: tokens whose contexts are counted.
+HASH_BYTES, WORDS, TOKENS = 1 << 17, 1 << 13, 1 << 13
 #: Words whose counts for the base score are sent to all tasks; others are joined.
 HOT_WORDS = 1 << 17
 #: Eighths of a binary log of 1 + times seen that part gates: never, about once, a few, often.
@@ -142,13 +143,18 @@ def code_of(pairs: np.ndarray) -> Code:
 class Units:
     """Distinct words (with what closes them) of some texts, and where the texts use them."""
 
-    names: list[bytes]  # each without its end; the end of a text is the empty one
-    size: np.ndarray  # bytes of each with its end
+    size: np.ndarray  # bytes of each with its end; the end of a text is a word without bytes
     data: np.ndarray  # their bytes, one after the other
     word: np.ndarray  # hash of each without its end
     of: np.ndarray  # distinct word at every token place
     tokens: np.ndarray  # of each text
 
+    def names(self) -> pa.Array:
+        """Each distinct word without its end."""
+        end = np.cumsum(self.size)
+        at = np.concatenate(([0], end - np.arange(1, len(end) + 1))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(at), pa.py_buffer(np.delete(self.data, end - 1))])
+
 
 def closed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and bytes of words with what closes them."""
@@ -164,14 +170,25 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def units(texts: list[bytes]) -> Units:
-    split = [[*t.lower().split(), b""] for t in texts]
-    tokens = np.fromiter(map(len, split), np.int64, len(split))
-    index: defaultdict[bytes, int] = defaultdict()
-    index.default_factory = index.__len__  # a new word takes the next number
-    of = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int32, int(tokens.sum()))
-    names = list(index)
-    size, data = closed(names)
-    return Units(names, size, data, word_hashes(names), of, tokens)
+    """Words by their hashes, numbered as they come."""
+    got, done = [], 0
+    for part in tx.pieces(texts, len, HASH_BYTES):
+        buf, start = tx.joined([t.lower() for t in part])
+        a, b = tx.words(buf)
+        last = np.searchsorted(a, start)  # words before each text
+        # a text's end is an empty word in the place of the line feed that closes it
+        h = np.insert(tx.word_hashes(buf, a, b), last[1:], tx.mix(np.zeros(1, np.uint64))[0])
+        got.append((h, np.insert(a, last[1:], start[1:] - 1) + done, np.insert(b - a, last[1:], 0) + 1, np.diff(last) + 1, buf))
+        done += len(buf)
+    h, at, size, tokens, buf = map(np.concatenate, zip(*got))
+    seen = pa.array(h).dictionary_encode()
+    of = seen.indices.to_numpy()
+    top = np.maximum.accumulate(of)
+    new = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))  # where a word comes first
+    size = size[new]
+    data, end = buf[_bits_of(at[new], size)], np.cumsum(size) - 1
+    data[end] = np.where(size > 1, ord(" "), ord("\n"))
+    return Units(size, data, seen.dictionary.to_numpy(), of, tokens)
 
 
 @dataclass
@@ -309,17 +326,22 @@ def _count_spelling(code: Code, sizes: tuple[int, ...]):
 def before(u: Units) -> list[np.ndarray]:
     """Hashes of the last short word, of the word before and of the two words before each token,
     all of the same text."""
-    h, n = u.word[u.of], len(u.of)
-    first = np.cumsum(u.tokens) - u.tokens
-    began, at = np.repeat(first, u.tokens), np.arange(n)
-    none = tx.mix(np.arange(3, dtype=np.uint64))
+    n, none = len(u.of), tx.mix(np.arange(3, dtype=np.uint64))
+    began, at = np.repeat(np.cumsum(u.tokens) - u.tokens, u.tokens), np.arange(n)
+
+    def top(x: np.ndarray) -> np.ndarray:
+        return (tx.mix(x + np.uint64(3)) >> np.uint64(32)).astype(np.uint32)
+
+    # of distinct words, and of none in their place, by numbers that stand for it behind them
+    words = np.concatenate((u.word, none[:2]))
     short = np.maximum.accumulate(np.where((u.size <= SHORT)[u.of], at, -1))
     last = np.concatenate(([-1], short[:-1]))
-    topic = np.where(last >= began, h[np.maximum(last, 0)], none[0])
-    one = np.where(at - 1 >= began, h[np.maximum(at - 1, 0)], none[1])
-    two = np.where(at - 2 >= began, h[np.maximum(at - 2, 0)], none[2])
-    both = tx.mix(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(7))
-    return [(tx.mix(x + np.uint64(3)) >> np.uint64(32)).astype(np.uint32) for x in (topic, one, both)]
+    topic = np.where(last >= began, u.of[np.maximum(last, 0)], len(u.word))
+    one = np.where(at > began, np.concatenate((u.of[:1], u.of[:-1])), len(u.word) + 1)
+    two = np.where(at - 2 >= began, u.word.take(u.of[np.maximum(at - 2, 0)]), none[2])
+    both = tx.mix(words.take(one) * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(7))
+    tops = top(words)
+    return [tops.take(topic), tops.take(one), top(both)]
 
 
 def _count_contexts(code: Code, sizes: tuple[int, ...]):
@@ -563,7 +585,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(code, cells, hot, np.log10(c.astype(np.float64) + 1), size.n or 0, size.v), words
 
 
-SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, n_bytes long, words array<binary>"
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, hot_log double, hot_known long, score double, n_bytes long, words array<struct<word: binary, n: long>>"
 
 
 def _score(model: Model):
@@ -581,8 +603,9 @@ def _score(model: Model):
             hot_n = np.bincount(text_of, hit[u.of], len(part)).astype(np.int64)
             n_bytes = np.add.reduceat(u.size[u.of], first)
             use = np.flatnonzero(~hit[u.of])  # for the join with their counts
-            rare = pa.array([u.names[k] for k in u.of[use].tolist()], pa.binary())
-            at = pa.array(np.searchsorted(text_of[use], np.arange(len(part) + 1)).astype(np.int32))
+            rare, n = np.unique(text_of[use] * len(hit) + u.of[use], return_counts=True)
+            at = pa.array(np.searchsorted(rare, np.arange(len(part) + 1) * len(hit)).astype(np.int32))
+            rare = pa.StructArray.from_arrays([u.names().take(pa.array(rare % len(hit))), pa.array(n)], ["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in part], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
                 + [pa.array(u.tokens), pa.array(hot_log), pa.array(hot_n), pa.array(bits * np.log10(2)), pa.array(n_bytes.astype(np.int64))]
@@ -604,12 +627,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull())
     data = F.col("text").cast("binary")
     scored = cut(rows.select(key.alias("key"), "doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), data.alias("text")).mapInArrow(_score(model), SCORED))
-    # counts of a word in a text are added before the words are dealt out, so that no word is hot
-    cold = scored.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
-    hits = cold.join(words, "word").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"), F.sum("n").alias("known"))
-    # rows that repeat share a key, so their words met the counts as often as there are rows
-    copies = scored.groupBy("key").agg(F.count("*").alias("rows"))
-    extra = hits.join(copies, "key").select("key", (F.col("log") / F.col("rows")).alias("log"), (F.col("known") / F.col("rows")).cast("long").alias("known"))
+    # rows that repeat share a key and send their words once, so that no word is hot
+    cold = scored.groupBy("key").agg(F.first("words").alias("words")).select("key", F.inline("words"))
+    extra = cold.join(words, "word").groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"), F.sum("n").alias("known"))
     base = F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(model.train_tokens + model.distinct + 1)))
     return scored.join(extra, "key", "left").select(
         "doc_id",
