@@ -23,16 +23,15 @@ How words are counted for the base score (``HOT_WORDS`` by a list, the rest by a
 touch the score.
 
 Null texts are empty: one token, the end. Rows that repeat are scored alike; a row with a
-null id is learnt from. Words are counted by a 64-bit hash. Texts of any length are read whole.
+null id is learnt from. Words are counted as they are; a step of the scoring and the list of frequent
+words tell them apart by a 64-bit hash. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +63,9 @@ OWN_AT, CELL_AT = (6, 6 + OWN_BITS), (32, 48)
 #: Bytes taken at a time: bounds a task's memory.
 STEP_BYTES, COUNT_BYTES = 2 << 20, 4 << 20
 #: What is worked on at a time, so that it fits the processor's cache: bytes to hash, distinct words to spell,
-#: tokens whose contexts are counted.
-HASH_BYTES, WORDS, TOKENS = 1 << 17, 1 << 13, 1 << 13
+#: tokens whose contexts are hashed, bytes whose contexts are counted.
+HASH_BYTES, WORDS, TOKENS, EVENTS = 1 << 17, 1 << 13, 1 << 13, 1 << 15
+SPACES = np.frombuffer(tx.SPACES, np.uint8)
 #: Words whose counts for the base score are sent to all tasks; others are joined.
 HOT_WORDS = 1 << 17
 #: Eighths of a binary log of 1 + times seen that part gates: never, about once, a few, often.
@@ -156,12 +156,6 @@ class Units:
         return pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(at), pa.py_buffer(np.delete(self.data, end - 1))])
 
 
-def closed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and bytes of words with what closes them."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    return size, np.frombuffer(b"".join([w + b" " if w else b"\n" for w in words]), dtype=np.uint8)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     size = np.fromiter(map(len, words), np.int64, len(words))
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -235,10 +229,10 @@ def bytes_of(size: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.nd
     return j, token
 
 
-def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
-    """Bits of words that lie one after the other in ``data``."""
-    first = np.cumsum(size) - size
-    start = np.repeat(first, size)
+def hashed(size: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all bytes of words that lie one after the other: the byte and the one before it in one number,
+    and hashes of the two, three and four bytes before and of the word so far."""
+    start = np.repeat(np.cumsum(size) - size, size)
     pos = np.arange(len(data)) - start
     one, two = back(data, pos, 1), back(data, pos, 2)
     sums = tx.prefix_hash(data)
@@ -247,19 +241,31 @@ def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
     two = one | two << np.uint32(8)
     three = two | back(data, pos, 3) << np.uint32(16)
     four = three | back(data, pos, 4) << np.uint32(24)
-    length = code.length[value]
-    byte = np.repeat(np.arange(len(data), dtype=np.int32), length)
-    step = (code.first[value] - (np.cumsum(length) - length)).take(byte)
+    return value, two * _C, (three ^ np.uint32(0x5BD1E995)) * _C, four * _C, so_far
+
+
+def bits_of(value: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of each byte, the byte of each bit and its place in the code."""
+    length = code.length.take(value)
+    byte = np.repeat(np.arange(len(value), dtype=np.int32), length)
+    step = (code.first.take(value) - (np.cumsum(length) - length)).take(byte)
     step += np.arange(len(byte))
-    return Spelled(length, byte, two * _C, (three ^ np.uint32(0x5BD1E995)) * _C, four * _C, so_far, code.step.take(step))
+    return length, byte, step
 
 
-def spelled_in_parts(u: Units, code: Code) -> Iterator[Spelled]:
-    """``spelled`` of ``WORDS`` distinct words after the other, which keeps the work in the processor's cache."""
+def spelled(size: np.ndarray, data: np.ndarray, code: Code) -> Spelled:
+    """Bytes of words that lie one after the other in ``data``."""
+    value, two, three, four, so_far = hashed(size, data)
+    length, byte, step = bits_of(value, code)
+    return Spelled(length, byte, two, three, four, so_far, code.step.take(step))
+
+
+def in_parts(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sizes and bytes of ``WORDS`` distinct words after the other, which keeps the work in the processor's cache."""
     end = np.cumsum(u.size)
     for a in range(0, len(u.size), WORDS):
         size = u.size[a : a + WORDS]
-        yield spelled(size, u.data[end[a] - size[0] : end[a + len(size) - 1]], code)
+        yield size, u.data[end[a] - size[0] : end[a + len(size) - 1]]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int = 0) -> Iterator[tuple]:
@@ -275,18 +281,36 @@ def _steps(batches, k: int = 0, limit: int = 0):
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Times of each word; the end is the empty one."""
     for part in _steps(batches, 0, COUNT_BYTES):
-        n = Counter(chain.from_iterable([*t.lower().split(), b""] for (t,) in part))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
+        buf, _ = tx.joined([t.lower() for (t,) in part])
+        a, b = tx.words(buf)
+        at = np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(buf[~np.isin(buf, SPACES)])])
+        n = words.value_counts()
+        yield pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], ["word", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([len(part)], pa.int64())], ["word", "c"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Times, sizes and bytes of words with what closes them, at most about ``STEP_BYTES`` at a time."""
+    for b in batches:
+        times, words = b.column(0).to_numpy(), b.column(1).cast(pa.binary())
+        _, at, data = words.buffers()
+        at = np.frombuffer(at, np.int32, len(words) + 1, 4 * words.offset)
+        data = np.frombuffer(data or b"", np.uint8)
+        cuts = np.unique((at[:-1] - at[0]) // STEP_BYTES, return_index=True)[1].tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(words)]):
+            size = np.diff(at[lo : hi + 1]).astype(np.int64)
+            end = np.where(size > 0, ord(" "), ord("\n")).astype(np.uint8)
+            yield times[lo:hi], size + 1, np.insert(data[at[lo] : at[hi]], at[lo + 1 : hi + 1] - at[lo], end)
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each byte follows each in words, by 256 * byte before + byte."""
     total = np.zeros(1 << 16, dtype=np.int64)
-    for part in _steps(batches, 1):
-        (size, data), n = closed([w for _, w in part]), np.array([n for n, _ in part])
+    for n, size, data in _words(batches):
         pos = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
         value = back(data, pos, 1) << np.uint32(8) | data
-        np.add.at(total, value, np.repeat(n, size))
+        np.add.at(total, value.astype(np.intp), np.repeat(n, size))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
 
@@ -306,12 +330,10 @@ def _count_spelling(code: Code, sizes: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
-        for part in _steps(batches, 1):
+        for n, size, data in _words(batches):
             any_, at = True, 0
-            n = np.array([n for n, _ in part]).astype(np.uint32)
-            size, data = closed([w for _, w in part])
             d = spelled(size, data, code)
-            times, low = np.repeat(n, size).take(d.byte), low_of(d.step)
+            times, low = np.repeat(n.astype(np.uint32), size).take(d.byte), low_of(d.step)
             for h, bits in zip((d.four, d.word), sizes):
                 slot = (places(h, bits) << 1).take(d.byte)
                 slot ^= low
@@ -348,33 +370,47 @@ def _count_contexts(code: Code, sizes: tuple[int, ...]):
     """Zeros and ones of the contexts of words before, over all tokens of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, any_ = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False
-        for part in _steps(batches):
-            any_ = True
+        flat, any_, low = np.zeros(sum(2 << b for b in sizes), dtype=np.uint32), False, low_of(code.step)
+        for part in _steps(batches, 0, STEP_BYTES // 2):
+            any_, at = True, 0
             u = units([t for (t,) in part])
-            got = [(d.length, d.three, d.word, low_of(d.step)) for d in spelled_in_parts(u, code)]
-            lengths, three, word, low = map(np.concatenate, zip(*got))
-            contexts, first, begin = before(u), np.cumsum(u.size) - u.size, np.cumsum(lengths) - lengths
+            value, three, word = map(np.concatenate, zip(*((h[0], h[2], h[4]) for h in (hashed(*x) for x in in_parts(u)))))
+            contexts, first = before(u), np.cumsum(u.size) - u.size
+            # a byte in a context: the slot, and the byte with the one before it, which tell its bits
+            seen, o = np.empty((len(sizes), int(u.size[u.of].sum())), np.uint64), 0
             for a in range(0, len(u.of), TOKENS):
                 j, token = bytes_of(u.size, first, u.of[a : a + TOKENS])
-                length, at = lengths.take(j), 0
-                byte = np.repeat(np.arange(len(j)), length)  # a byte's bits side by side, in one line of memory
-                mine = (begin.take(j) - (np.cumsum(length) - length)).take(byte)
-                mine += np.arange(len(mine))
-                mine = low.take(mine).astype(np.intp)
+                mine = value.take(j)
                 for k, (bits, key) in enumerate(zip(sizes, (three, word, word))):
                     h = contexts[k][a : a + TOKENS].take(token)
                     h ^= key.take(j)
-                    slot = (places(h, bits).astype(np.intp) << 1).take(byte, mode="clip")
-                    slot ^= mine
-                    np.add.at(flat[at : at + (2 << bits)], slot, np.uint32(1))
-                    at += 2 << bits
+                    x = places(h, bits).astype(np.uint64)
+                    x <<= np.uint64(16)
+                    x |= mine
+                    seen[k, o : o + len(j)] = x
+                o += len(j)
+            for bits, x in zip(sizes, seen):
+                x.sort()  # those that are alike count at once, and slots come in order
+                for a in range(0, o, EVENTS):
+                    _add_bytes(flat[at : at + (2 << bits)], x[a : a + EVENTS], code, low)
+                at += 2 << bits
         if any_:
             yield _blocks(flat)
 
     return run
 
 
+def _add_bytes(table: np.ndarray, x: np.ndarray, code: Code, low: np.ndarray) -> None:
+    """Adds the bits of bytes in a context, which are sorted (see ``_count_contexts``)."""
+    new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    times = np.diff(new, append=len(x)).astype(np.uint32)
+    x = x.take(new)
+    _, byte, step = bits_of((x & np.uint64(0xFFFF)).astype(np.intp), code)
+    slot = ((x >> np.uint64(16)).astype(np.intp) << 1).take(byte)
+    slot ^= low.take(step)
+    np.add.at(table, slot, times.take(byte))
+
+
 def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of (zeros, ones) in twelfths, and eighths of the binary log of 1 + their sum: a byte each."""
     n = n.astype(np.float64)
@@ -470,7 +506,7 @@ class Reader:
 
     def read(self, u: Units) -> np.ndarray:
         """log2 probability of each token; texts of most tokens come first, ``LANES`` side by side."""
-        lengths, three, word, rows, gate = map(np.concatenate, zip(*(self.words(d) for d in spelled_in_parts(u, self.model.code))))
+        lengths, three, word, rows, gate = map(np.concatenate, zip(*(self.words(spelled(*x, self.model.code)) for x in in_parts(u))))
         begin, first_byte, contexts = np.cumsum(lengths) - lengths, np.cumsum(u.size) - u.size, before(u)
         first, out = np.cumsum(u.tokens) - u.tokens, np.zeros(len(u.of))
         order = np.argsort(-u.tokens, kind="stable")

@@ -189,6 +189,23 @@ def test_in_small_parts(monkeypatch):
     assert cm.Reader(again).bits(rows) == pytest.approx(bits, rel=1e-5)
 
 
+def test_words_of_batches(monkeypatch):
+    """Words are counted as a dictionary counts them, and read from parts of batches, whatever their sizes."""
+    texts = [t.encode() for _, t, _ in corpus(30)] + [b"", b" \n", b"A\x0bb\x0c\ra  B \xc3\x89", b"\x00 \xff"]
+    counted = Counter()
+    for b in cm._count_words(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])])):
+        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counted[w] += c
+    assert counted == Counter(w for t in texts for w in [*t.lower().split(), b""])
+    words = [b"", b"ab", b"c" * 50, b"", b"d", b"ef"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(words, pa.binary())], ["n", "word"])
+    monkeypatch.setattr(cm, "STEP_BYTES", 40)
+    for lo in range(6):
+        n, size, data = map(np.concatenate, zip(*cm._words(iter([batch.slice(lo, 0), batch.slice(lo)]))))
+        assert n.tolist() == list(range(lo, 6)) and size.tolist() == [len(w) + 1 for w in words[lo:]]
+        assert data.tobytes() == b"".join(w + b" " if w else b"\n" for w in words[lo:])
+
+
 def test_nothing_is_spread_over_the_bits_of_a_text(monkeypatch):
     """A byte's slots, gates and weights meet its bits slice by slice: what is repeated is less than a value a bit."""
     rows = [t.encode() for _, t, _ in corpus(200)] * 3
