@@ -67,7 +67,11 @@ class Graph:
         """Edges as they can be walked."""
         if self.directed:
             return self.edges
-        return self.edges.unionByName(swapped(self.edges.filter("src <> dst")))
+        # both directions of an edge at once, so that the edges are made once
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ways = F.when(F.col("src") != F.col("dst"), both).otherwise(F.slice(both, 1, 1))
+        return self.edges.select(F.explode(ways).alias("__way"), *rest).select("__way.src", "__way.dst", *rest).select(*self.edges.columns)
 
     def transpose(self) -> Graph:
         return Graph(self.vertices, swapped(self.edges), self.directed)

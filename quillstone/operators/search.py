@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.components import connected_components
 from quillstone.operators.graph import Graph
-from quillstone.runtime import cut
+from quillstone.runtime import cut, cut_dealt, tasks_for
 
 EVENTS = "graph_id long, seq long, kind string, u long, v long"
 
@@ -21,36 +21,39 @@ class HasCycles(ValueError):
     """The graph has no topological order."""
 
 
-def bfs_levels(graph: Graph, sources: DataFrame, max_levels: int | None = None) -> Iterator[DataFrame]:
-    """One DataFrame ``(source, id, dist)`` a level, from all ``sources(id)`` at once.
+def bfs_states(graph: Graph, sources: DataFrame, max_levels: int | None = None) -> Iterator[DataFrame]:
+    """What was met after each level, as ``(source, id, dist)``, from all ``sources(id)`` at once.
 
-    A level joins the last one with the edges and drops what was met before. All searches
-    advance in the same job, so the number of jobs is the longest distance, not the number
-    of sources.
+    Arcs lie dealt out by their start and stay there; a level moves what was met and what its
+    last level leads to. All searches advance in the same job, so the number of jobs is the longest
+    distance, not the number of sources.
     """
-    arcs = cut(graph.arcs().select("src", "dst").distinct())
-    level = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist")))
-    met, k = level.select("source", "id"), 0
-    while level.limit(1).count():
-        yield level
-        if max_levels is not None and k >= max_levels:
-            return
+    parts = tasks_for(graph.edges)
+    arcs = cut_dealt(graph.arcs().select("src", "dst").repartition(parts, "src").distinct(), "src")
+    start = sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist"))
+    met, k = cut_dealt(start.repartition(parts, "id"), "id"), 0
+    yield met
+    while (max_levels is None or k < max_levels) and met.filter(F.col("dist") == k).limit(1).count():
         k += 1
-        step = level.join(arcs, level["id"] == arcs["src"]).select("source", F.col("dst").alias("id")).distinct()
-        level = cut(step.join(met, ["source", "id"], "left_anti").withColumn("dist", F.lit(k).cast("long")))
-        met = met.unionByName(level.select("source", "id"))
-        if k % 8 == 0:
-            met = cut(met)
+        step = met.filter(F.col("dist") == k - 1).join(arcs.hint("merge"), F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), F.lit(k).cast("long").alias("dist"))
+        met = cut_dealt(met.unionByName(step).repartition(parts, "id").groupBy("source", "id").agg(F.min("dist").alias("dist")), "id")
+        yield met
+
+
+def bfs_levels(graph: Graph, sources: DataFrame, max_levels: int | None = None) -> Iterator[DataFrame]:
+    """One DataFrame ``(source, id, dist)`` a level; see ``bfs_states``."""
+    for k, met in enumerate(bfs_states(graph, sources, max_levels)):
+        level = met.filter(F.col("dist") == k)
+        if not level.limit(1).count():
+            return
+        yield level
 
 
 def reachable(graph: Graph, source: int) -> DataFrame:
     """``(id, dist)`` of what a vertex reaches."""
-    out = None
-    start = graph.vertices.filter(F.col("id") == source)
-    for level in bfs_levels(graph, start):
-        level = level.select("id", "dist")
-        out = level if out is None else out.unionByName(level)
-    return out if out is not None else start.select("id", F.lit(0).cast("long").alias("dist"))
+    for met in bfs_states(graph, graph.vertices.filter(F.col("id") == source)):
+        pass
+    return met.select("id", "dist")
 
 
 def is_connected(graph: Graph) -> bool:

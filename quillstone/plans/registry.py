@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import generate, geo
 from quillstone.operators import aggregation, components, distances, ingest, matrix, mst, scheduling, search, sorting
 from quillstone.operators.graph import Graph, forest_edges
-from quillstone.runtime import table
+from quillstone.runtime import table, tasks_for
 from quillstone.streaming import emissions
 
 QUERIES: dict = {}
@@ -81,11 +81,18 @@ def best_partners(spark: SparkSession, d: str) -> Graph:
 BEST = f"{TRADE}, best AS (SELECT src, arg_min(dst, w) AS dst, min(w) AS w FROM trade WHERE src <> dst GROUP BY src)"
 
 
+def _by_order(li: DataFrame, o: DataFrame) -> DataFrame:
+    """Lines with their orders, dealt out to as many tasks as the tables ask for."""
+    n = tasks_for(li, o)
+    return li.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def deals(spark: SparkSession, d: str) -> DataFrame:
     """``(src, dst, w)``: customers (even ids) and suppliers (odd ids) that trade, by least quantity."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.min("l_quantity").cast("long").alias("w"))
+    ends = _by_order(li, o).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), "l_quantity")
+    return ends.repartition(tasks_for(li, o), "src", "dst").groupBy("src", "dst").agg(F.min("l_quantity").cast("long").alias("w"))
 
 
 def deals_graph(spark: SparkSession, d: str) -> Graph:
