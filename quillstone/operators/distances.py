@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import Graph
-from quillstone.operators.search import bfs_levels
+from quillstone.operators.search import bfs_states
 from quillstone.operators.sorting import ranked
-from quillstone.runtime import cut
+from quillstone.runtime import cut, cut_dealt, tasks_for
 
 
-#: Rounds of relaxation between two times that all distances are written.
-MERGE = 8
+#: Open pairs that are always relaxed at once, and rounds after which all are.
+FEW, NEAREST_ROUNDS = 10_000, 64
 #: Vertices a side of a block of the distance matrix.
 SIDE = 512
 #: Beyond all distances: weights times vertices must stay below half of it.
@@ -37,45 +37,41 @@ def _all_pairs(graph: Graph, sources: DataFrame, found: DataFrame) -> DataFrame:
 
 def hops(graph: Graph, sources: DataFrame) -> DataFrame:
     """``(src, dst, dist)`` of reachable pairs by number of edges."""
-    out = None
-    for level in bfs_levels(graph, sources):
-        level = level.select(F.col("source").alias("src"), F.col("id").alias("dst"), "dist")
-        out = level if out is None else out.unionByName(level)
-    if out is None:
-        out = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("dist"))
-    return cut(out)
+    for met in bfs_states(graph, sources):
+        pass
+    return met.select(F.col("source").alias("src"), F.col("id").alias("dst"), "dist")
 
 
 def weighted(graph: Graph, sources: DataFrame, negative: bool = False, max_rounds: int = 10_000) -> DataFrame:
     """``(src, dst, dist)`` of reachable pairs by weight: rounds of relaxation from what improved.
 
-    Weights are whole numbers; below zero they are refused unless ``negative``. A cycle of
-    negative length raises.
+    Arcs lie dealt out by their start, and pairs by their vertex, so a round moves only pairs
+    and what reaches them. Of many pairs that improved the nearest are relaxed first, as the others may
+    improve again: so most arcs are walked once. Weights are whole numbers; below zero they are
+    refused unless ``negative``. A cycle of negative length raises.
     """
-    arcs = cut(graph.arcs().groupBy("src", "dst").agg(F.min("w").alias("w")).filter("src <> dst or w < 0"))
+    parts = tasks_for(graph.edges)
+    arcs = graph.arcs().select("src", "dst", "w").repartition(parts, "src").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    arcs = cut_dealt(arcs.filter("src <> dst or w < 0"), "src")
     if arcs.filter("w < 0").limit(1).count() and not negative:
         raise ValueError("negative weights")
     n = graph.vertices.count()
-    best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("d")))
-    front, later = best, []
-    low = lambda df, name: df.groupBy("source", "id").agg(F.min("d").alias(name))
+    few = max(FEW, n // 100)
+    first = sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("d"), F.lit(True).alias("open"))
+    pairs = cut_dealt(first.repartition(parts, "id"), "id")
     for k in range(max_rounds):
-        step = front.join(arcs, front["id"] == arcs["src"]).select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
-        step = low(step, "d")
-        # what is known of these pairs; all others stay where they were written
-        known = best
-        for x in later:
-            known = known.unionByName(x)
-        old = low(known.join(step.select("source", "id"), ["source", "id"], "left_semi"), "old")
-        front = cut(step.join(old, ["source", "id"], "left").filter("old is null or d < old").select("source", "id", "d"))
-        if not front.limit(1).count():
-            return low(known, "dist").select(F.col("source").alias("src"), F.col("id").alias("dst"), "dist")
-        if k >= n:
+        now = pairs.filter("open").agg(F.count("*").alias("n"), F.percentile_approx("d", 0.25, 100).alias("near")).first()
+        if not now.n:
+            return pairs.select(F.col("source").alias("src"), F.col("id").alias("dst"), F.col("d").alias("dist"))
+        if negative and k > n:
             raise ValueError("a cycle of negative length")
-        later.append(front)
-        if len(later) == MERGE:
-            best = cut(low(known.unionByName(front), "d"))
-            later = []
+        relaxed = F.col("open")
+        if not negative and now.n > few and k < NEAREST_ROUNDS:
+            relaxed = relaxed & (F.col("d") <= F.lit(now.near))
+        step = pairs.filter(relaxed).join(arcs.hint("merge"), F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("open"))
+        every = pairs.withColumn("open", F.col("open") & ~relaxed).unionByName(step).repartition(parts, "id")
+        low = every.groupBy("source", "id").agg(F.min("d").alias("d"), F.min(F.when(~F.col("open"), F.col("d"))).alias("done"))
+        pairs = cut_dealt(low.select("source", "id", "d", (F.col("done").isNull() | (F.col("d") < F.col("done"))).alias("open")), "id")
     raise RuntimeError("distances did not settle")
 
 

@@ -256,3 +256,38 @@ def test_ingest(spark):
     bad = spark.createDataFrame([(5, 71, 1.0)], "src long, dst long, length double")
     with pytest.raises(Exception, match="unknown node 71"):
         ingest.build(nodes, bad)[0].edges.collect()
+
+
+def _exchanges(spark, monkeypatch, run):
+    """Exchanges in the plan of each written step of ``run``."""
+    cls, counts = type(spark.range(1)), []
+    written = cls.checkpoint
+
+    def checkpoint(self, *args, **kwargs):
+        counts.append(self._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return written(self, *args, **kwargs)
+
+    with monkeypatch.context() as m:
+        m.setattr(cls, "checkpoint", checkpoint)
+        run()
+    return counts
+
+
+def test_distances_leave_arcs_where_they_lie(spark, monkeypatch):
+    """After the arcs are dealt out a round moves its pairs once."""
+    g = graph(spark, 6, [(i, i + 1, 1 + i % 3) for i in range(5)], False)
+    counts = _exchanges(spark, monkeypatch, lambda: distances.single_source(g, 0, True))
+    assert len(counts) > 6 and max(counts) == 1
+
+
+def test_nearest_pairs_are_relaxed_first(spark, monkeypatch):
+    monkeypatch.setattr(distances, "FEW", 0, raising=False)
+    n, edges = 12, random_edges(12, 40, 5, weights=(0, 9))
+    best = {(v, v): 0 for v in range(n)}
+    for _ in range(n):
+        for s in range(n):
+            for a, b, w in edges:
+                if (s, a) in best:
+                    best[s, b] = min(best.get((s, b), 1 << 40), best[s, a] + w)
+    got = distances.all_pairs(graph(spark, n, edges), True).collect()
+    assert {(r.src, r.dst): r.dist for r in got if r.dist is not None} == best and len(got) == n * n
