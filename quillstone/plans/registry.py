@@ -38,6 +38,7 @@ def order_jobs(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     qty = F.col("l_quantity").cast("long")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition(tasks_for(li), "l_orderkey")
     li = li.withColumn("job", F.row_number().over(w).cast("long"))
     return li.select(F.col("l_orderkey").alias("instance_id"), "job", qty.alias("p"), qty.alias("p1"), (F.col("l_partkey") % 37 + 1).alias("p2"), (F.col("l_suppkey") % 53).alias("r"))
 
