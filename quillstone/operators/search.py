@@ -152,7 +152,7 @@ def _grouped(graphs: DataFrame, arcs: DataFrame, body, schema: str) -> DataFrame
     Vertices and edges are dealt out and sorted by graph, and a task reads them as a stream:
     one graph is held at a time, and many small ones cost no call each.
     """
-    n = int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(graphs, arcs)
     v = graphs.select("graph_id", F.lit(0).alias("part"), F.col("id").alias("adj"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"))
     e = arcs.select("graph_id", F.lit(1).alias("part"), F.col("adj").cast("long").alias("adj"), "src", "dst")
     rows = v.unionByName(e).repartition(n, "graph_id").sortWithinPartitions("graph_id", "part", "adj").select("graph_id", "src", "dst")
@@ -199,8 +199,16 @@ def bfs(graphs: DataFrame, arcs: DataFrame, source: int | None = None) -> DataFr
 
 def dfs_forest(graphs: DataFrame, arcs: DataFrame) -> DataFrame:
     """``(graph_id, v, parent)`` from the tree edges of the search."""
-    events = dfs(graphs, arcs).filter("kind = 'tree'").select("graph_id", F.col("v"), F.col("u").alias("parent"))
-    return graphs.select("graph_id", F.col("id").alias("v")).join(events, ["graph_id", "v"], "left")
+
+    def parents(near):
+        """Each vertex where it is discovered, after the edge that led there."""
+        led = None
+        for kind, u, v in dfs_events(near):
+            if kind == "discovered":
+                yield u, led
+            led = u if kind == "tree" else None
+
+    return _grouped(graphs, arcs, parents, "graph_id long, v long, parent long")
 
 
 def topological_order(graphs: DataFrame, arcs: DataFrame, method: str = "sources") -> DataFrame:
