@@ -503,8 +503,9 @@ def sort_first_per_group(spark, d):
 
 def measured(spark, d):
     """Lines as measurements: order status is the algorithm, line number the size, supplier the instance."""
-    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_orderstatus").alias("algorithm"), F.col("l_returnflag").alias("parameters"), F.col("l_linenumber").alias("size"), F.col("l_suppkey").cast("string").alias("instance_seed"), F.col("l_quantity").cast("long").alias("total_time"), F.col("l_quantity").alias("quality"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_suppkey", "l_quantity")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return _by_order(li, o).select(F.col("o_orderstatus").alias("algorithm"), F.col("l_returnflag").alias("parameters"), F.col("l_linenumber").alias("size"), F.col("l_suppkey").cast("string").alias("instance_seed"), F.col("l_quantity").cast("long").alias("total_time"), F.col("l_quantity").alias("quality"))
 
 
 _MEASURED = "m AS (SELECT o_orderstatus AS algorithm, l_returnflag AS parameters, l_linenumber AS size, CAST(l_suppkey AS VARCHAR) AS instance_seed, CAST(l_quantity AS BIGINT) AS total_time, l_quantity AS quality FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

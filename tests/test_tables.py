@@ -290,3 +290,19 @@ def test_sorting_enumerations_give_every_element(spark):
     for a in sets.SETS["sorting"][1:]:
         got = [r.value for r in sorted(a.solve(df).collect(), key=lambda r: r.seq)]
         assert got == sorted(values, reverse=a.name == "enum-ihs")
+
+
+def test_measured_tasks_follow_the_files(spark, tmp_path, monkeypatch):
+    """Lines meet their orders in more tasks than the session says where the files are large."""
+    from quillstone import runtime
+    from quillstone.plans import registry
+
+    li = spark.range(400).selectExpr("id div 4 AS l_orderkey", "id % 9 AS l_suppkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "cast(id % 50 + 1 AS double) AS l_quantity", "'R' AS l_returnflag")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS o_orderkey", "id % 30 AS o_custkey", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(runtime, "TASK_BYTES", 1000, raising=False)
+    for out, keys in ((registry.measured(spark, str(tmp_path)), ("l_orderkey", "o_orderkey")), (registry.deals(spark, str(tmp_path)), ("l_orderkey", "o_orderkey", "src"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        for key in keys:
+            dealt = [int(line.split("), ")[0].rsplit(", ", 1)[1]) for line in plan.splitlines() if f"Exchange hashpartitioning({key}#" in line]
+            assert dealt and min(dealt) > 4, (key, dealt)
