@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.sorting import sorted_ranges
-from quillstone.runtime import cut
+from quillstone.runtime import cut, tasks_for
 
 
 def _starts(order: Window, release: Column, p: Column) -> tuple[Column, Column]:
@@ -85,11 +85,17 @@ def two_machine_flow_shop(jobs: DataFrame, second: str = "p2") -> DataFrame:
     return out.select("instance_id", F.row_number().over(by).cast("long").alias("seq"), "job", "machine", "start")
 
 
+def _met(schedule: DataFrame, jobs: DataFrame, how: str = "inner") -> DataFrame:
+    """A schedule's rows with those of their jobs, dealt out by instance to as many tasks as the input asks for."""
+    n, keys = tasks_for(schedule, jobs), ["instance_id", "job"]
+    return schedule.repartition(n, *keys).join(jobs.repartition(n, *keys), keys, how).repartition(n, "instance_id")
+
+
 def in_order(jobs: DataFrame, order: DataFrame) -> DataFrame:
     """``(instance_id, seq, job, start)``: jobs ``(instance_id, job, p)`` one after the other, in the
     topological ``order(instance_id, seq, job)``."""
     w = Window.partitionBy("instance_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return order.join(jobs, ["instance_id", "job"]).select("instance_id", "seq", "job", F.coalesce(F.sum("p").over(w), F.lit(0)).cast("long").alias("start"))
+    return _met(order, jobs).select("instance_id", "seq", "job", F.coalesce(F.sum("p").over(w), F.lit(0)).cast("long").alias("start"))
 
 
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +120,7 @@ def _assigned(rows: DataFrame, *order: Column | str) -> DataFrame:
     """``(instance_id, job, phase, seq, machine, start)`` of ``rows(instance_id, machines, p, job,
     phase)`` in an order. Instances are streams of their own; one is sequential by nature and
     stays in one task, whose memory doesn't grow with it."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(rows)
     dealt = rows.repartition(n, "instance_id").sortWithinPartitions("instance_id", *order)
     cols = [F.col("instance_id").cast("long").alias("instance_id"), F.col("machines").cast("int").alias("machines"), F.col("p").cast("long").alias("p"), F.col("job").cast("long").alias("job"), "phase"]
     return dealt.select(*cols).mapInArrow(_assign, "instance_id long, job long, phase string, seq long, machine int, start long")
@@ -152,4 +158,4 @@ def makespan(schedule: DataFrame, jobs: DataFrame) -> DataFrame:
     """``(instance_id, makespan)``; a scheduled job that isn't one of the instance raises."""
     known = jobs.select("instance_id", "job", "p")
     end = F.when(F.col("p").isNull(), F.raise_error(F.lit("a job isn't known")).cast("long")).otherwise(F.col("start") + F.col("p"))
-    return schedule.join(known, ["instance_id", "job"], "left").groupBy("instance_id").agg(F.max(end).cast("long").alias("makespan"))
+    return _met(schedule, known, "left").groupBy("instance_id").agg(F.max(end).cast("long").alias("makespan"))
